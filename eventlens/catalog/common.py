@@ -43,7 +43,7 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("new_ip") == 1, reason("NEW_IP", "New address")),
     ))
     return (
-        df.withColumn("anom_score", r("anom_score")).withColumn("reasons", found)
+        df.withColumn("anom_score", r("anom_score", 9)).withColumn("reasons", found)
         .withColumn("explain", F.array_join(F.col("reasons.desc"), "; ")).drop("new_device", "new_ip")
     )
 
@@ -54,7 +54,7 @@ day_counts AS (SELECT user_id, us // 86400000000 * 86400 AS bucket, count(*) AS
 day_stats AS (SELECT user_id, bucket, x, avg(x) OVER w AS m, stddev_samp(x) OVER w AS s FROM day_counts
   WINDOW w AS (PARTITION BY user_id ORDER BY bucket ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
 day_z AS (SELECT user_id, bucket, coalesce(CASE WHEN s > 0 THEN (x - m) / s ELSE 0.0::DOUBLE END, 0.0::DOUBLE) AS z FROM day_stats),
-flagged AS (SELECT e.*, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)), 6) AS anom_score, z > {SCORE_Z} AS anomaly,
+flagged AS (SELECT e.*, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)), 9) AS anom_score, z > {SCORE_Z} AS anomaly,
   row_number() OVER (PARTITION BY e.user_id, coalesce(device_id, 'unknown') ORDER BY ts, event_id) = 1 AS new_device,
   row_number() OVER (PARTITION BY e.user_id, coalesce(ip, 'unknown') ORDER BY ts, event_id) = 1 AS new_ip
   FROM ev e JOIN day_z d ON e.user_id = d.user_id AND e.us // 86400000000 * 86400 = d.bucket),
