@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from eventlens.catalog.common import load_events, r, scored_events, table, with_ev, with_scored
-from eventlens.functions.scales import bucket_epoch
+from eventlens.catalog.common import load_events, r, table, with_ev
 from eventlens.operators import profile, steps
 from eventlens.operators.quantiles import grouped_quantiles
 from eventlens.registry import query
@@ -46,10 +45,10 @@ def agg_first_last(spark, sf):
     return steps.aggregate(load_events(spark, sf), ["user_id"], [agg("first", "device_id", "first_device"), agg("last", "amount", "last_amount")])
 
 
-@query("agg_std_var", with_ev("SELECT user_id, round(stddev_samp(amount), 6) AS sd, round(var_samp(amount), 4) AS va FROM ev WHERE event_type = 'payment' GROUP BY user_id"))
+@query("agg_std_var", with_ev("SELECT user_id, round(stddev_samp(amount), 6) AS sd, round(var_samp(amount), 6) AS va FROM ev WHERE event_type = 'payment' GROUP BY user_id"))
 def agg_std_var(spark, sf):
     out = steps.aggregate(load_events(spark, sf).where("event_type = 'payment'"), ["user_id"], [agg("std", "amount", "sd"), agg("var", "amount", "va")])
-    return out.select("user_id", r("sd").alias("sd"), r("va", 4).alias("va"))
+    return out.select("user_id", r("sd").alias("sd"), r("va").alias("va"))
 
 
 @query("agg_median", with_ev("SELECT country, round(quantile_cont(amount, 0.5), 6) AS middle, count(*) AS n FROM ev GROUP BY country"))
@@ -172,9 +171,3 @@ def distinct_subset(spark, sf):
     df = load_events(spark, sf).select("event_id", "ts", "user_id", "device_id", "event_type")
     return steps.distinct_rows(df, ["user_id", "device_id"]).drop("ts")
 
-
-@query("anomaly_rate_by_hour", with_scored("""
-SELECT us // 3600000000 * 3600 AS bucket, count(*) AS n, count(*) FILTER (anomaly) AS hits FROM scored GROUP BY ALL"""))
-def anomaly_rate_by_hour(spark, sf):
-    rows = scored_events(spark, sf).groupBy(bucket_epoch(F.col("ts"), 3600).alias("bucket"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("anomaly").alias("hits"))

@@ -131,12 +131,11 @@ filled AS (SELECT mads.*, {mad} AS mad FROM mads, fb),
 rz AS (SELECT *, (x - mu) / (1.4826 * (mad + 1e-6)) AS z, 1.0::DOUBLE / (1 + exp(-abs((x - mu) / (1.4826 * (mad + 1e-6))))) AS score FROM filled)"""
 
 
-ONE = F.lit(1)
 FAIL = "contains(event_type, 'fail')::INT"
 
 
 def _series(spark, sf):
-    return ft.bucket_grid(ft.bucket_values(load_events(spark, sf), ONE, 3600), 3600)
+    return ft.bucket_grid(ft.bucket_values(load_events(spark, sf), F.lit(1), 3600), 3600)
 
 
 @query("bucket_grid", with_ev("SELECT user_id, bucket, x FROM ser", series_sql("1")))
@@ -156,7 +155,7 @@ def rolling_mad(spark, sf):
 
 @query("robust_z", with_ev("SELECT user_id, bucket, round(z, 6) AS z, round(score, 9) AS score FROM rz", series_sql("1"), robust_sql(24, 3)))
 def robust_z(spark, sf):
-    out = ft.dense_robust_z(load_events(spark, sf), ONE, "1h")
+    out = ft.dense_robust_z(load_events(spark, sf), F.lit(1), "1h")
     return out.select("user_id", "bucket", r("z").alias("z"), r("score", 9).alias("score"))
 
 
@@ -181,5 +180,5 @@ SELECT user_id, bucket, x, round(coalesce(CASE WHEN s > 0 THEN (x - m) / s ELSE
 (SELECT *, avg(x) OVER w AS m, stddev_samp(x) OVER w AS s FROM spb WINDOW w AS (PARTITION BY user_id ORDER BY bucket ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""",
     series_sql("1", 86400).split(",\ngrid AS")[0]))
 def trailing_z(spark, sf):
-    out = ft.trailing_z(ft.bucket_values(load_events(spark, sf), ONE, 86400))
+    out = ft.trailing_z(ft.bucket_values(load_events(spark, sf), F.lit(1), 86400))
     return out.select("user_id", "bucket", "x", r("z").alias("z"), r("score", 9).alias("score"), "anomaly")

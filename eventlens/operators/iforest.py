@@ -37,13 +37,12 @@ def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
     while pending:
         node, members, depth = pending.pop()
         part = points[members]
-        low, high = part.min(axis=0), part.max(axis=0)
-        open_features = np.flatnonzero(high > low)
-        if depth >= limit or len(members) <= 1 or len(open_features) == 0:
+        open_features = np.flatnonzero(np.ptp(part, axis=0) > 0) if len(members) > 1 else ()
+        if depth >= limit or len(open_features) == 0:
             nodes.append((node, -1, 0.0, -1, -1, depth + expected_path(len(members))))
             continue
         feature = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        cut = float(rng.uniform(part[:, feature].min(), part[:, feature].max()))
         goes_left = part[:, feature] <= cut
         left, right = next_id, next_id + 1
         next_id += 2
