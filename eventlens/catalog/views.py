@@ -111,8 +111,8 @@ def grid_anomaly_flag(spark, sf):
 
 @query("grid_top_reason", with_scored("""
 SELECT g.country, g.bucket, g.value, t.code AS top_reason FROM (SELECT country, us // 86400000000 * 86400 AS bucket, count(*) AS value FROM scored GROUP BY ALL) g
-LEFT JOIN (SELECT country, bucket, code FROM (SELECT country, us // 86400000000 * 86400 AS bucket, unnest(codes) AS code FROM scored) GROUP BY ALL
-  QUALIFY row_number() OVER (PARTITION BY country, bucket ORDER BY count(*) DESC, code) = 1) t ON g.country = t.country AND g.bucket = t.bucket"""))
+LEFT JOIN (SELECT country, bucket, code FROM (SELECT country, bucket, code, count(*) AS n FROM (SELECT country, us // 86400000000 * 86400 AS bucket, unnest(codes) AS code FROM scored) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY country, bucket ORDER BY n DESC, code) = 1) t ON g.country = t.country AND g.bucket = t.bucket"""))
 def grid_top_reason(spark, sf):
     return viz.grid_top_reason(scored_events(spark, sf), ["country", "bucket"], "1d")
 
@@ -216,11 +216,11 @@ def hex_bins(spark, sf):
 
 
 @query("geo_grid_clusters", with_scored("""
-SELECT CAST(floor(geo_lat / (300 / 111.32::DOUBLE)) AS BIGINT) AS cell_y, CAST(floor(geo_lon / (300 / 111.32::DOUBLE)) AS BIGINT) AS cell_x, round(avg(geo_lat), 6) AS lat, round(avg(geo_lon), 6) AS lon,
+SELECT CAST(floor(geo_lat / (300 / 111.32::DOUBLE)) AS BIGINT) AS cell_y, CAST(floor(geo_lon / (300 / 111.32::DOUBLE)) AS BIGINT) AS cell_x, round(avg(geo_lat), 9) AS lat, round(avg(geo_lon), 9) AS lon,
   round(avg(anom_score), 6) AS mean_score, count(*) AS size FROM scored WHERE geo_lat IS NOT NULL GROUP BY ALL"""))
 def geo_grid_clusters(spark, sf):
     out = viz.geo_grid_clusters(scored_events(spark, sf), 300.0)
-    return out.withColumns({c: r(c) for c in ("lat", "lon", "mean_score")})
+    return out.withColumns({"lat": r("lat", 9), "lon": r("lon", 9), "mean_score": r("mean_score")})
 
 
 @query("globe_events", with_scored("""

@@ -52,10 +52,15 @@ def add_travel(df: DataFrame) -> DataFrame:
 
 
 def user_homes(df: DataFrame) -> DataFrame:
-    """Median position per user."""
-    lat = grouped_quantiles(df, ["user_id"], "geo_lat", {"home_lat": 0.5})
-    lon = grouped_quantiles(df, ["user_id"], "geo_lon", {"home_lon": 0.5})
-    return lat.join(lon, "user_id", "full")
+    """Median position per user; both axes in one quantile job."""
+    axes = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in ("geo_lat", "geo_lon")])
+    long = df.select("user_id", F.explode(axes).alias("a")).select("user_id", "a.axis", "a.v")
+    middle = grouped_quantiles(long, ["user_id", "axis"], "v", {"middle": 0.5})
+
+    def of(axis: str) -> Column:
+        return F.max(F.when(F.col("axis") == axis, F.col("middle")))
+
+    return middle.groupBy("user_id").agg(of("geo_lat").alias("home_lat"), of("geo_lon").alias("home_lon"))
 
 
 def user_totals(df: DataFrame) -> DataFrame:
@@ -272,4 +277,6 @@ def feature_matrix(features: DataFrame, names: list[str] = FEATURES) -> DataFram
     medians = grouped_quantiles(long.select("cell.name", "cell.v"), ["name"], "v", {"median": 0.5})
     # One row of at most len(names) entries.
     wide = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("m")).scalar()
-    return clean.select("event_id", *[F.coalesce(F.col(n), wide[n], F.lit(0.0)).alias(n) for n in names])
+    return materialize(
+        clean.select("event_id", *[F.coalesce(F.col(n), wide[n], F.lit(0.0)).alias(n) for n in names]), "matrix"
+    )

@@ -1,9 +1,10 @@
-"""Exact quantiles that never gather a whole group in one task.
+"""Exact quantiles that never gather a hot group in one task.
 
-``percentile`` keeps every distinct value of a group in one hash map, which a
-hot group outgrows. Here a sketch only *cuts* each group into zones, narrow around
-the wanted rank; exact counts per zone say which zone holds the rank; only that
-zone is ordered. The sketch affects speed, never the result.
+``percentile`` keeps every distinct value of a group in one hash map. It is used
+where the largest group has been counted and is small. Beyond that, a sketch
+*cuts* each group into zones, narrow around the wanted rank; exact counts per
+zone say which zone holds the rank; only that zone is ordered. The sketch
+affects speed, never the result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 # four times the sketch's error bound; about 0.1 % of a group lies in the zone.
 ACCURACY = 10_000
 HALF_WIDTH = 4.0 / ACCURACY
+# Largest group, in rows, that one aggregation buffer may hold.
+SMALL_GROUP = 1_000_000
 # Evenly spaced borders besides: with heavy ties the rank may fall anywhere, and
 # then still only this share of a group's distinct values is ordered.
 GRID = 16
@@ -44,6 +47,31 @@ def grouped_quantiles(
     """
     keys = list(keys)
     column = F.col(value) if isinstance(value, str) else value
+    if largest_group(df, keys) <= SMALL_GROUP:
+        return _buffered_quantiles(df, keys, column, quantiles, weight)
+    return zoned_quantiles(df, keys, column, quantiles, weight)
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; reads the key columns only."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _buffered_quantiles(
+    df: DataFrame, keys: list[str], column: Column, quantiles: Mapping[str, float], weight: Column | None,
+) -> DataFrame:
+    number = column.cast("double")
+    times = F.lit(1) if weight is None else weight
+    rows = df.select(*keys, number.alias("__x"), times.cast("bigint").alias("__w"))
+    rows = rows.where(F.col("__x").isNotNull() & ~F.isnan("__x") & (F.col("__w") > 0))
+    return rows.groupBy(*keys).agg(*[F.percentile("__x", F.lit(float(q)), F.col("__w")).alias(a) for a, q in quantiles.items()])
+
+
+def zoned_quantiles(
+    df: DataFrame, keys: list[str], column: Column, quantiles: Mapping[str, float], weight: Column | None = None,
+) -> DataFrame:
+    """The way for groups of any size."""
     values = counted_values(df, keys, column, weight)
     if not keys:
         values = values.withColumn("__all", F.lit(1))

@@ -8,7 +8,7 @@ top-N; everything else keeps all groups.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +18,8 @@ from eventlens.functions.predicates import field_column
 from eventlens.functions.scales import SEVERITY_FLOOR, bucket_epoch, bucket_seconds, severity
 from eventlens.operators.features import bucket_values, trailing_z
 from eventlens.operators.joins import attach_stats
-from eventlens.operators.quantiles import grouped_quantiles, quantile_scalar
+from eventlens.operators.quantiles import quantile_scalar
+from eventlens.session import materialize
 
 KM_PER_DEGREE = 111.32
 OTHERS = "Others"
@@ -180,6 +181,7 @@ def grid_aggregate(df: DataFrame, group_by: Sequence[str], metric: str = "count"
 def grid_anomaly_flag(grid: DataFrame, contamination: float = 0.05) -> DataFrame:
     """Groups whose highest score reaches the (1 - contamination) quantile over groups."""
     score = F.coalesce(F.col("anom_score"), F.lit(0.0))
+    grid = materialize(grid, "grid")  # read twice; one row per group
     return grid.withColumn("anomaly", score >= quantile_scalar(grid, score, 1 - contamination))
 
 
@@ -389,6 +391,3 @@ def globe_events(scored: DataFrame, bucket: str, tz: str | None, contamination:
     out = rows.withColumn("bucket", bucket_epoch(F.col("ts"), bucket_seconds(bucket), tz))
     return out.withColumn("high", F.col("anom_score") >= cut)
 
-
-def label_quantiles(grid: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    return grouped_quantiles(grid, keys, value, quantiles)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from eventlens.session import scratch_path
 
@@ -47,7 +47,7 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append", also: Call
         .foreachBatch(write).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(StructType([*schema.fields]).add("batch_id", "bigint")).parquet(out)
+    return spark.read.schema(StructType([*schema.fields]).add("batch_id", LongType())).parquet(out)
 
 
 def latest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -108,13 +108,25 @@ def ewma_updater(alpha: float, seconds: int) -> Callable:
     return update
 
 
-def online_ewma(events: DataFrame, alpha: float = 0.2, width: str = "1 hour", seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
-    """Closed hourly buckets per user with the running mean, emitted once each."""
+def closed_buckets(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """(user, bucket, rows), each emitted once, when the watermark has passed it."""
     buckets = events.withWatermark("ts", delay).groupBy(F.window("ts", width), "user_id").agg(
         F.count(F.lit(1)).alias("rows")
     )
-    closed = buckets.select("user_id", F.unix_seconds("window.start").alias("bucket"), "rows")
-    return closed.groupBy("user_id").applyInPandasWithState(
+    return buckets.select("user_id", F.unix_seconds("window.start").alias("bucket"), "rows")
+
+
+def online_ewma(events: DataFrame, alpha: float = 0.2, width: str = "1 hour", seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """Closed buckets with the user's running mean.
+
+    Two jobs in a row, since custom state may not follow an aggregation in one:
+    the first appends closed buckets to a folder, the second streams that folder.
+    """
+    spark = events.sparkSession
+    closed = run_to_table(closed_buckets(events, width, delay), "closed")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(closed.inputFiles()[0]).getParent().getParent().toString()
+    buckets = spark.readStream.schema(closed.schema).parquet(folder).drop("batch_id")
+    return buckets.groupBy("user_id").applyInPandasWithState(
         ewma_updater(alpha, seconds), EWMA_OUT, EWMA_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
