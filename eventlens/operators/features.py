@@ -12,6 +12,7 @@ from eventlens.functions.scales import bucket_epoch, bucket_seconds, haversine_k
 from eventlens.operators.joins import attach_stats
 from eventlens.operators.quantiles import grouped_quantiles, quantile_scalar
 from eventlens.operators.windows import (
+    Heavy,
     with_first_seen,
     with_previous,
     with_recent_repeat,
@@ -38,8 +39,8 @@ def is_failure(event_type: Column) -> Column:
 
 # --- geography ----------------------------------------------------------------
 
-def add_previous_position(df: DataFrame) -> DataFrame:
-    return with_previous(df, "user_id", {"lat_prev": "geo_lat", "lon_prev": "geo_lon", "ts_prev": "ts"})
+def add_previous_position(df: DataFrame, heavy: Heavy | None = None) -> DataFrame:
+    return with_previous(df, "user_id", {"lat_prev": "geo_lat", "lon_prev": "geo_lon", "ts_prev": "ts"}, heavy)
 
 
 def add_travel(df: DataFrame) -> DataFrame:
@@ -67,12 +68,25 @@ def user_totals(df: DataFrame) -> DataFrame:
     return df.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_rows"))
 
 
-def add_home(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """``source`` holds the rows the statistics come from; ``df`` itself by default."""
-    source = source or df
-    stats = user_totals(source).join(user_homes(source), "user_id", "left")
-    out = attach_stats(df, stats, ["user_id"], F.col("event_id"), rows="user_rows").drop("user_rows")
-    return out.withColumn(
+def add_home(df: DataFrame, heavy: Heavy | None = None) -> DataFrame:
+    """Home position and distance from it.
+
+    Users of ordinary size get their median within the user's partition; heavy
+    users get it from the zoned quantiles, attached with salt.
+    """
+    heavy = heavy or Heavy(df, "user_id")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        whole = Window.partitionBy("user_id")
+        return rows.withColumns({
+            f"home_{a}": F.percentile(f"geo_{a}", F.lit(0.5)).over(whole) for a in ("lat", "lon")
+        })
+
+    def salted(rows: DataFrame) -> DataFrame:
+        stats = user_totals(rows).join(user_homes(rows), "user_id", "left")
+        return attach_stats(rows, stats, ["user_id"], F.col("event_id"), rows="user_rows").drop("user_rows")
+
+    return heavy.split(df, plain, salted).withColumn(
         "dist_home_km",
         haversine_km(F.col("geo_lat"), F.col("geo_lon"), F.col("home_lat"), F.col("home_lon")),
     )
@@ -86,13 +100,26 @@ def hour_profile(df: DataFrame) -> DataFrame:
     # At most 24 rows per user.
     total = F.sum("hour_rows").over(Window.partitionBy("user_id"))
     return counts.withColumn("hour_prob", F.col("hour_rows") / total).withColumn(
-        "hour_rarity", -F.log(F.greatest(F.col("hour_prob"), F.lit(1e-6)))
+        "hour_rarity", rarity(F.col("hour_prob"))
     )
 
 
-def add_hour_rarity(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    hourly = df.withColumn("hour", F.hour("ts"))
-    return attach_stats(hourly, hour_profile(source or df), ["user_id", "hour"], F.col("event_id"), rows="hour_rows").drop("hour_rows")
+def add_hour_rarity(df: DataFrame, heavy: Heavy | None = None) -> DataFrame:
+    heavy = heavy or Heavy(df, "user_id")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        mine, at_hour = Window.partitionBy("user_id"), Window.partitionBy("user_id", "hour")
+        rows = rows.withColumn("hour_prob", F.count(F.lit(1)).over(at_hour) / F.count(F.lit(1)).over(mine))
+        return rows.withColumn("hour_rarity", rarity(F.col("hour_prob")))
+
+    def salted(rows: DataFrame) -> DataFrame:
+        return attach_stats(rows, hour_profile(rows), ["user_id", "hour"], F.col("event_id"), rows="hour_rows").drop("hour_rows")
+
+    return heavy.split(df.withColumn("hour", F.hour("ts")), plain, salted)
+
+
+def rarity(prob: Column) -> Column:
+    return -F.log(F.greatest(prob, F.lit(1e-6)))
 
 
 def add_hour_circle(df: DataFrame) -> DataFrame:
@@ -102,22 +129,34 @@ def add_hour_circle(df: DataFrame) -> DataFrame:
 
 # --- velocity -----------------------------------------------------------------
 
-def add_event_velocity(df: DataFrame) -> DataFrame:
+def add_event_velocity(df: DataFrame, heavy: Heavy | None = None) -> DataFrame:
     """Events per minute over the last five minutes, this event included."""
-    counted = with_rolling_count(df, "user_id", VELOCITY_SECONDS, "__recent")
+    counted = with_rolling_count(df, "user_id", VELOCITY_SECONDS, "__recent", heavy)
     return counted.withColumn("event_velocity", F.col("__recent") / F.lit(VELOCITY_SECONDS / 60.0)).drop("__recent")
 
 
-def add_velocity_z(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def add_velocity_z(df: DataFrame, heavy: Heavy | None = None) -> DataFrame:
     """How unusual the velocity is for the user; needs ``event_velocity``."""
-    std = F.stddev_samp("event_velocity")
-    stats = (source or df).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("user_rows"),
-        F.avg("event_velocity").alias("event_velocity_mean"),
-        F.coalesce(F.when(std != 0, std), F.lit(1.0)).alias("event_velocity_std"),
-    )
-    out = attach_stats(df, stats, ["user_id"], F.col("event_id"), rows="user_rows").drop("user_rows")
-    return out.withColumn(
+    heavy = heavy or Heavy(df, "user_id")
+
+    def floor_one(std: Column) -> Column:
+        return F.coalesce(F.when(std != 0, std), F.lit(1.0))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        mine = Window.partitionBy("user_id")
+        return rows.withColumns({
+            "event_velocity_mean": F.avg("event_velocity").over(mine),
+            "event_velocity_std": floor_one(F.stddev_samp("event_velocity").over(mine)),
+        })
+
+    def salted(rows: DataFrame) -> DataFrame:
+        stats = rows.groupBy("user_id").agg(
+            F.count(F.lit(1)).alias("user_rows"), F.avg("event_velocity").alias("event_velocity_mean"),
+            floor_one(F.stddev_samp("event_velocity")).alias("event_velocity_std"),
+        )
+        return attach_stats(rows, stats, ["user_id"], F.col("event_id"), rows="user_rows").drop("user_rows")
+
+    return heavy.split(df, plain, salted).withColumn(
         "event_velocity_z",
         (F.col("event_velocity") - F.col("event_velocity_mean")) / (F.col("event_velocity_std") + EPSILON),
     )
@@ -125,14 +164,15 @@ def add_velocity_z(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
 
 # --- novelty ------------------------------------------------------------------
 
-def add_first_seen(df: DataFrame) -> DataFrame:
-    return with_first_seen(df, "user_id", {"is_new_device": F.col("device_id"), "is_new_ip": F.col("ip")})
+def add_first_seen(df: DataFrame, heavy: Heavy | None = None) -> DataFrame:
+    return with_first_seen(df, "user_id", {"is_new_device": F.col("device_id"), "is_new_ip": F.col("ip")}, heavy)
 
 
-def add_rolling_novelty(df: DataFrame, window: int = NOVELTY_WINDOW) -> DataFrame:
-    numbered = with_row_number(df, "user_id", "__rn")
+def add_rolling_novelty(df: DataFrame, heavy: Heavy | None = None, window: int = NOVELTY_WINDOW) -> DataFrame:
+    heavy = heavy or Heavy(df, "user_id")
+    numbered = with_row_number(df, "user_id", "__rn", heavy)
     values = {"is_new_device_rolling": F.col("device_id"), "is_new_ip_rolling": F.col("ip")}
-    return with_recent_repeat(numbered, "user_id", "__rn", values, window).drop("__rn")
+    return with_recent_repeat(numbered, "user_id", "__rn", values, window, heavy).drop("__rn")
 
 
 def add_global_rarity(df: DataFrame, columns: Mapping[str, str], source: DataFrame | None = None) -> DataFrame:
@@ -259,13 +299,24 @@ FEATURES = [
 
 
 def behaviour_features(df: DataFrame) -> DataFrame:
-    """All features side by side; written once, since several steps read them twice."""
+    """All features side by side.
+
+    For users of ordinary size the whole per-user part runs in one shuffle by
+    user. It is written once, as the global statistics read it again.
+    """
     base = known(df, "user_id", "device_id", "ip")
-    base = add_travel(add_previous_position(base))
-    base = materialize(add_event_velocity(add_rolling_novelty(add_first_seen(base))), "ordered")
-    out = add_hour_circle(add_hour_rarity(add_velocity_z(add_home(base, base), base), base))
-    out = add_global_rarity(out, {"device_rarity_global": "device_id", "ip_rarity_global": "ip"}, base)
-    return materialize(add_failure_spikes(out, base), "features")
+    heavy = Heavy(base, "user_id")
+
+    def per_user(rows: DataFrame, size: Heavy) -> DataFrame:
+        rows = add_travel(add_previous_position(rows, size))
+        rows = add_event_velocity(add_rolling_novelty(add_first_seen(rows, size), size), size)
+        if size.values is not None:
+            rows = materialize(rows, "ordered")  # the salted statistics read it twice
+        return add_hour_circle(add_hour_rarity(add_velocity_z(add_home(rows, size), size), size))
+
+    mine = materialize(per_user(base, heavy), "peruser")
+    out = add_global_rarity(mine, {"device_rarity_global": "device_id", "ip_rarity_global": "ip"}, mine)
+    return materialize(add_failure_spikes(out, mine), "features")
 
 
 def feature_matrix(features: DataFrame, names: list[str] = FEATURES) -> DataFrame:

@@ -1,110 +1,179 @@
-"""Ordered per-key computations in bounded chunks.
+"""Ordered per-key computations that hold for keys of any size.
 
-A plain ordered window sorts all rows of a key in one task. These operators cut
-each key into time or row-number chunks and hand the few rows that matter at a
-border over to the next chunk, so a key with a third of all rows is spread over
-as many tasks as it has chunks. Results equal the plain window's.
+Keys are counted first, reading the key column only. For ordinary keys a plain
+window is best: all of them share one shuffle. A key with more than
+``HEAVY_ROWS`` rows would keep one task busy with a huge sort, so heavy keys are
+cut into time or row-number chunks instead, and the few rows that matter at a
+border are handed over to the next chunk. Both ways give the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.session import materialize
+
+HEAVY_ROWS = 5_000_000
 CHUNK_SECONDS = 3600
 
 
+class Heavy:
+    """The heavy values of one key column; empty for most inputs."""
+
+    def __init__(self, df: DataFrame, key: str, limit: int | None = None):
+        self.key = key
+        sizes = df.groupBy(F.col(key).alias("__heavy")).agg(F.count(F.lit(1)).alias("n"))
+        found = sizes.where(F.col("n") > (HEAVY_ROWS if limit is None else limit)).select("__heavy")
+        # At most rows / HEAVY_ROWS values.
+        self.values = materialize(found, "heavy") if found.limit(1).count() else None
+
+    def split(self, df: DataFrame, plain: Callable[[DataFrame], DataFrame], chunked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        if self.values is None:
+            return plain(df)
+        same = df[self.key].eqNullSafe(self.values["__heavy"])
+        light = df.join(self.values, same, "left_anti")
+        return plain(light).unionByName(chunked(df.join(self.values, same, "left_semi")))
+
+
 def time_chunk(ts: Column, seconds: int = CHUNK_SECONDS) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 
 
 def with_previous(
-    df: DataFrame, key: str, columns: dict[str, str], order: Sequence[str] = ("ts", "event_id"),
+    df: DataFrame, key: str, columns: dict[str, str], heavy: Heavy | None = None, order: Sequence[str] = ("ts", "event_id"),
 ) -> DataFrame:
     """``columns`` maps a new name to the column whose previous value it takes."""
+    heavy = heavy or Heavy(df, key)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(*order)
+        return rows.withColumns({name: F.lag(src).over(w) for name, src in columns.items()})
+
+    return heavy.split(df, plain, lambda rows: _previous_in_chunks(rows, key, columns, order))
+
+
+def _previous_in_chunks(df: DataFrame, key: str, columns: dict[str, str], order: Sequence[str]) -> DataFrame:
     chunked = df.withColumn("__chunk", time_chunk(F.col(order[0])))
     taken = [F.col(src).alias(f"__v{i}") for i, src in enumerate(columns.values())]
     # Last row of every chunk, passed on to the key's next chunk that has rows.
     last = chunked.groupBy(key, "__chunk").agg(F.max_by(F.struct(*taken), F.struct(*order)).alias("__last"))
     by_key = Window.partitionBy(key).orderBy("__chunk")
-    carried = last.select(key, "__chunk", F.lag("__last").over(by_key).alias("__carry"))
+    carried = last.select(
+        F.col(key).alias("__key"), F.col("__chunk").alias("__at"), F.lag("__last").over(by_key).alias("__carry")
+    )
     inside = Window.partitionBy(key, "__chunk").orderBy(*order)
     rows = chunked.withColumn("__lag", F.lag(F.struct(*taken)).over(inside))
     rows = rows.withColumn("__head", F.row_number().over(inside) == 1)
-    joined = rows.join(carried, [key, "__chunk"], "left")
+    joined = rows.join(carried, rows[key].eqNullSafe(carried["__key"]) & (rows["__chunk"] == carried["__at"]), "left")
     previous = F.when(F.col("__head"), F.col("__carry")).otherwise(F.col("__lag"))
     for i, name in enumerate(columns):
         joined = joined.withColumn(name, previous[f"__v{i}"])
-    return joined.drop("__chunk", "__lag", "__head", "__carry")
+    return joined.drop("__chunk", "__lag", "__head", "__carry", "__key", "__at")
 
 
 def with_row_number(
-    df: DataFrame, key: str, name: str = "rn", order: Sequence[str] = ("ts", "event_id"),
+    df: DataFrame, key: str, name: str = "rn", heavy: Heavy | None = None, order: Sequence[str] = ("ts", "event_id"),
 ) -> DataFrame:
-    """1-based position within the key: position in the chunk plus rows before it."""
+    """1-based position within the key."""
+    heavy = heavy or Heavy(df, key)
+    w = Window.partitionBy(key).orderBy(*order)
+    return heavy.split(
+        df, lambda rows: rows.withColumn(name, F.row_number().over(w).cast("bigint")),
+        lambda rows: _row_number_in_chunks(rows, key, name, order),
+    )
+
+
+def _row_number_in_chunks(df: DataFrame, key: str, name: str, order: Sequence[str]) -> DataFrame:
+    """Position in the chunk plus the rows of earlier chunks."""
     chunked = df.withColumn("__chunk", time_chunk(F.col(order[0])))
     sizes = chunked.groupBy(key, "__chunk").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(key, "__chunk", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    offsets = sizes.select(
+        F.col(key).alias("__key"), F.col("__chunk").alias("__at"),
+        F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
+    )
     inside = Window.partitionBy(key, "__chunk").orderBy(*order)
     numbered = chunked.withColumn("__pos", F.row_number().over(inside))
+    on = numbered[key].eqNullSafe(offsets["__key"]) & (numbered["__chunk"] == offsets["__at"])
     return (
-        numbered.join(offsets, [key, "__chunk"], "left")
-        .withColumn(name, F.col("__pos") + F.col("__offset"))
-        .drop("__chunk", "__pos", "__offset")
+        numbered.join(offsets, on, "left").withColumn(name, F.col("__pos") + F.col("__offset"))
+        .drop("__chunk", "__pos", "__offset", "__key", "__at")
     )
 
 
 def with_rolling_count(
-    df: DataFrame, key: str, seconds: int, name: str, order: Sequence[str] = ("ts", "event_id"),
+    df: DataFrame, key: str, seconds: int, name: str, heavy: Heavy | None = None, order: Sequence[str] = ("ts", "event_id"),
 ) -> DataFrame:
-    """Rows of the key in ``(t - seconds, t]``; rows with equal time count together.
+    """Rows of the key in ``(t - seconds, t]``; rows with equal time count together."""
+    heavy = heavy or Heavy(df, key)
+    span = seconds * 1_000_000
 
-    Rows near the end of a chunk are copied into the next one as context.
-    """
-    chunk_seconds = max(CHUNK_SECONDS, seconds)
-    chunk = time_chunk(F.col(order[0]), chunk_seconds)
-    reach = F.floor((F.unix_micros(order[0]) + F.lit(seconds * 1_000_000 - 1)) / F.lit(chunk_seconds * 1_000_000))
-    spread = df.withColumn("__own", chunk).withColumn("__chunk", F.explode(F.sequence(chunk, reach)))
-    frame = (
-        Window.partitionBy(key, "__chunk").orderBy(F.unix_micros(order[0])).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    )
-    counted = spread.withColumn(name, F.count(F.lit(1)).over(frame))
-    return counted.where(F.col("__own") == F.col("__chunk")).drop("__own", "__chunk")
+    def counted(rows: DataFrame, *keys: str) -> DataFrame:
+        frame = Window.partitionBy(*keys).orderBy(F.unix_micros(order[0])).rangeBetween(-(span - 1), 0)
+        return rows.withColumn(name, F.count(F.lit(1)).over(frame))
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        # Rows near the end of a chunk are copied into the next one as context.
+        size = max(CHUNK_SECONDS, seconds)
+        own = time_chunk(F.col(order[0]), size)
+        reach = F.floor((F.unix_micros(order[0]) + F.lit(span - 1)) / F.lit(size * 1_000_000))
+        spread = rows.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(own, reach)))
+        return counted(spread, key, "__chunk").where(F.col("__own") == F.col("__chunk")).drop("__own", "__chunk")
+
+    return heavy.split(df, lambda rows: counted(rows, key), chunked)
 
 
 def with_recent_repeat(
-    df: DataFrame, key: str, position: str, values: dict[str, Column], window: int, block: int = 4096,
+    df: DataFrame, key: str, position: str, values: dict[str, Column], window: int, heavy: Heavy | None = None, block: int = 4096,
 ) -> DataFrame:
     """For each ``name: value``: 1 unless the value occurs in the key's last ``window`` rows.
 
-    Works on row numbers, so a block never holds more than ``block + window`` rows.
+    ``position`` numbers the key's rows; the value's previous position tells.
     """
-    own = F.floor(F.col(position) / F.lit(block))
-    reach = F.floor((F.col(position) + F.lit(window)) / F.lit(block))
-    out = df.withColumn("__own", own).withColumn("__block", F.explode(F.sequence(own, reach)))
-    for name, value in values.items():
-        same = Window.partitionBy(key, "__block", value).orderBy(position)
-        gap = F.col(position) - F.lag(position).over(same)
-        out = out.withColumn(name, F.when(gap <= window, 0).otherwise(1))
-    return out.where(F.col("__own") == F.col("__block")).drop("__own", "__block")
+    heavy = heavy or Heavy(df, key)
+
+    def flagged(rows: DataFrame, *keys: str) -> DataFrame:
+        for name, value in values.items():
+            same = Window.partitionBy(*keys, value).orderBy(position)
+            gap = F.col(position) - F.lag(position).over(same)
+            rows = rows.withColumn(name, F.when(gap <= window, 0).otherwise(1))
+        return rows
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        # Blocks of row numbers, each with the last rows of the one before.
+        own = F.floor(F.col(position) / F.lit(block))
+        reach = F.floor((F.col(position) + F.lit(window)) / F.lit(block))
+        spread = rows.withColumn("__own", own).withColumn("__block", F.explode(F.sequence(own, reach)))
+        return flagged(spread, key, "__block").where(F.col("__own") == F.col("__block")).drop("__own", "__block")
+
+    return heavy.split(df, lambda rows: flagged(rows, key), chunked)
 
 
 def with_first_seen(
-    df: DataFrame, key: str, values: dict[str, Column], order: Sequence[str] = ("ts", "event_id"),
+    df: DataFrame, key: str, values: dict[str, Column], heavy: Heavy | None = None, order: Sequence[str] = ("ts", "event_id"),
 ) -> DataFrame:
-    """For each ``name: value``: 1 on the key's first row with that value, else 0.
-
-    The first row per (key, value) is a map-side combined minimum; it is joined
-    back on the row's own identity, which no hot key can skew.
-    """
-    for name, value in values.items():
-        first = (
-            df.select(key, value.alias("__val"), *order)
-            .groupBy(key, "__val").agg(F.min(F.struct(*order)).alias("__first"))
-            .select(*[F.col(f"__first.{c}").alias(c) for c in order], F.lit(1).alias(name))
-        )
-        df = df.join(first, list(order), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-    return df
+    """For each ``name: value``: 1 on the key's first row with that value, else 0."""
+    heavy = heavy or Heavy(df, key)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        for name, value in values.items():
+            w = Window.partitionBy(key, value).orderBy(*order)
+            rows = rows.withColumn(name, (F.row_number().over(w) == 1).cast("int"))
+        return rows
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        # The first row per (key, value) is a map-side combined minimum; it joins
+        # back on the row's own identity, which no heavy key can skew.
+        for name, value in values.items():
+            first = (
+                rows.select(key, value.alias("__val"), *order)
+                .groupBy(key, "__val").agg(F.min(F.struct(*order)).alias("__first"))
+                .select(*[F.col(f"__first.{c}").alias(c) for c in order], F.lit(1).alias(name))
+            )
+            rows = rows.join(first, list(order), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+        return rows
+
+    return heavy.split(df, plain, chunked)
