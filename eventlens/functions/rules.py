@@ -208,7 +208,9 @@ def match_rates(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 
 def match_audit(evaluated: DataFrame) -> DataFrame:
     """One fact row per (event, matched rule)."""
-    return evaluated.select("event_id", "user_id", "ts", F.explode("rule_matches").alias("m")).select(
+    # An outer explode: a plain one would add a filter that evaluates all rules twice.
+    rows = evaluated.select("event_id", "user_id", "ts", F.explode_outer("rule_matches").alias("m"))
+    return rows.where(F.col("m.rule_id").isNotNull()).select(
         "event_id", "user_id", "ts", "m.rule_id", "m.rule_name", "m.severity", "m.score_contribution", "m.tags"
     )
 

@@ -125,8 +125,21 @@ def core_points(points: DataFrame, cells: DataFrame, eps2: float, min_samples: i
     return total.where(F.col("sure") + F.coalesce("extra", F.lit(0)) >= min_samples).select("event_id")
 
 
+def unconnected(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of cells that the sure links do not join already: only they matter."""
+    joined = materialize(connected_components(links), "joined")
+    a = joined.select(F.col("id").alias("source"), F.col("component").alias("ca"))
+    b = joined.select(F.col("id").alias("target"), F.col("component").alias("cb"))
+    labelled = pairs.join(a, "source", "left").join(b, "target", "left")
+    apart = F.coalesce("ca", "source") != F.coalesce("cb", "target")
+    return materialize(labelled.where(apart).drop("ca", "cb"), "apart")
+
+
 def touching_cells(core: DataFrame, side: float, eps2: float) -> DataFrame:
-    """(source, target): pairs of cells with core points within eps of each other."""
+    """(source, target): pairs of cells with core points within eps of each other.
+
+    Pairs that other pairs connect anyway may be left out.
+    """
     summary = boxes(core, CELL)
     keyed, right = _tag(neighbour_cells(summary, half=True), "a_"), _tag(summary, "b_")
     joined = keyed.join(right, [keyed[f"a_n{a}"] == right[f"b_c{a}"] for a in AXES])
@@ -164,7 +177,8 @@ def touching_cells(core: DataFrame, side: float, eps2: float) -> DataFrame:
         split = materialize(split.select("source", "target", *[f"{p}{k}" for p in ("a_", "b_") for k in [*names, "n"]], "far"), f"touch{level}")
         sure = split.where(F.col("far") <= eps2).select("source", "target").distinct()
         found = materialize(found.unionByName(sure).distinct(), f"found{level}")
-        open_pairs = split.where(F.col("far") > eps2).drop("far").join(found, ["source", "target"], "left_anti")
+        # Half boxes of dense neighbours touch for sure, so most pairs end here.
+        open_pairs = unconnected(split.where(F.col("far") > eps2).drop("far"), found)
     return found.distinct()
 
 
@@ -182,7 +196,7 @@ def geo_dbscan(df: DataFrame, eps: float = 0.7, min_samples: int = 15) -> DataFr
     thin_core = points.join(core_points(points, cells, eps2, min_samples), "event_id", "left_semi")
     core = materialize(thick.unionByName(thin_core), "core")
 
-    links = materialize(touching_cells(core.select(*AXES, *CELL), side, eps2), "links").withColumn("value", F.lit(1.0))
+    links = materialize(touching_cells(core.select(*AXES, *CELL), side, eps2), "links")
     linked = connected_components(links)
     key = F.concat_ws("_", *CELL)
     first = core.groupBy(*CELL).agg(F.min(F.struct("ts", "event_id")).alias("first")).withColumn("id", key)

@@ -209,14 +209,25 @@ def ewma_reach(alpha: float) -> int:
 
 
 def add_ewma(series: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """``mu``: exponential mean seeded with the first value, per user by bucket."""
-    frame = Window.partitionBy("user_id").orderBy("bucket").rowsBetween(-ewma_reach(alpha), 0)
-    recent = F.collect_list("x").over(frame)
+    """``mu``: exponential mean seeded with the first value, per user by bucket.
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(acc.isNull(), x).otherwise(F.lit(1 - alpha) * acc + F.lit(alpha) * x)
-
-    return series.withColumn("mu", F.aggregate(recent, F.lit(None).cast("double"), step))
+    Linear in the rows: a running sum of values scaled up by the decay, then
+    scaled down again, restarted every few hundred rows so that the scale stays
+    within a double. A restart needs the block before it only, since what lies
+    further back weighs less than 1e-60.
+    """
+    block, keep = 4 * ewma_reach(alpha), 1 - alpha
+    by_user = Window.partitionBy("user_id")
+    numbered = series.withColumn("__i", F.row_number().over(by_user.orderBy("bucket")) - 1)
+    numbered = numbered.withColumn("__block", F.floor(F.col("__i") / F.lit(block)).cast("bigint"))
+    numbered = numbered.withColumn("__at", (F.col("__i") % F.lit(block)).cast("double"))
+    term = F.col("x") * F.when(F.col("__i") == 0, 1.0).otherwise(alpha)
+    running = Window.partitionBy("user_id", "__block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.sum(term * F.pow(F.lit(keep), -F.col("__at"))).over(running) * F.pow(F.lit(keep), F.col("__at"))
+    last_block = by_user.orderBy("__block").rangeBetween(-1, -1)
+    ending = F.sum(term * F.pow(F.lit(keep), F.lit(block - 1.0) - F.col("__at"))).over(last_block)
+    carried = F.coalesce(ending, F.lit(0.0)) * F.pow(F.lit(keep), F.col("__at") + 1)
+    return numbered.withColumn("mu", inside + carried).drop("__i", "__block", "__at")
 
 
 def mad_window(seconds: int) -> tuple[int, int]:

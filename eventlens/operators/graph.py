@@ -55,6 +55,7 @@ def node_weights(links: DataFrame) -> DataFrame:
 
 def graph_nodes(links: DataFrame, max_nodes: int = 4000) -> tuple[DataFrame, DataFrame]:
     """The heaviest nodes with degree, and the links among them."""
+    links = materialize(links, "links")  # at most max_links per type
     top = node_weights(links).orderBy(F.desc("value"), "id").limit(max_nodes)
     kept = links_among(links, top)
     degrees = kept.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(
@@ -138,7 +139,7 @@ def label_propagation(links: DataFrame, rounds: int = 10) -> DataFrame:
         labels = fresh
         if not moved:
             break
-    return labels
+    return labels.select("id", "component")
 
 
 def communities(labels: DataFrame) -> DataFrame:
@@ -166,24 +167,33 @@ def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:
     return inside.withColumn("t", total).agg(F.sum(share).alias("modularity"))
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): smallest node id reachable; labels jump along themselves."""
-    pairs = both_ways(links).select("src", "dst")
-    pairs = materialize(pairs, "pairs")
-    labels = materialize(
-        pairs.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "id"), "cc"
-    )
-    for turn in range(max_rounds):
-        seen = pairs.join(labels.select(F.col("id").alias("dst"), "component"), "dst")
-        low = seen.groupBy(F.col("src").alias("id")).agg(F.min("component").alias("low"))
-        near = labels.join(low, "id", "left").select("id", F.least("component", "low").alias("component"))
-        far = near.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        fresh = near.join(far, "component", "left").select(
-            "id", F.least("component", "next").alias("component")
-        )
-        fresh = materialize(fresh, f"cc{turn}")
-        moved = fresh.join(labels, ["id", "component"], "left_anti").limit(1).count()
-        labels = fresh
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
+def connected_components(links: DataFrame) -> DataFrame:
+    """(id, component): smallest node id reachable.
+
+    Each round every component hooks onto its smallest smaller neighbour, the
+    chains of hooks are halved until all point at a root, and the links are
+    rewritten between roots. Links shrink quickly, so long paths and large hubs
+    both take a number of rounds that grows with the logarithm of the graph.
+    """
+    ends = links.select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b"))
+    edges = materialize(ends.where("a <> b").distinct(), "cc-edges")
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    labels = ids.withColumn("component", F.col("id"))
+    while edges.limit(1).count():
+        hooks = materialize(edges.groupBy("a").agg(F.min("b").alias("b")), "cc-hooks")
+        while True:
+            above = hooks.select(F.col("a").alias("b"), F.col("b").alias("root"))
+            if not hooks.join(above, "b", "left_semi").limit(1).count():
+                break
+            halved = hooks.join(above, "b", "left").select("a", F.coalesce("root", "b").alias("b"))
+            hooks = materialize(halved, "cc-hooks")
+        labels = _to_roots(labels, hooks, "component")
+        moved = _to_roots(_to_roots(edges, hooks, "a"), hooks, "b")
+        moved = moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        edges = materialize(moved.where("a <> b").distinct(), "cc-edges")
+    return labels.select("id", "component")
+
+
+def _to_roots(df: DataFrame, hooks: DataFrame, column: str) -> DataFrame:
+    roots = hooks.select(F.col("a").alias(column), F.col("b").alias("__root"))
+    return df.join(roots, column, "left").withColumn(column, F.coalesce("__root", column)).drop("__root")

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.session import materialize
+
 MICROS = {"seconds": 1_000_000, "minutes": 60_000_000, "hours": 3_600_000_000, "days": 86_400_000_000}
 
-# A key above this share of all rows counts as hot: there are at most HOT_SHARE
-# of them, which bounds the broadcast list of hot keys.
-HOT_SHARE = 1000
+# A key with more rows than this is hot: its rows are spread over HOT_SALTS tasks.
+HOT_ROWS = 5_000_000
 HOT_SALTS = 256
 
 
@@ -119,27 +120,23 @@ def window_join(
     return out.drop(*helper)
 
 
-def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Column, rows: str | None = None) -> DataFrame:
+def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Column, rows: str) -> DataFrame:
     """Left-join per-key statistics back to their rows, hot keys salted.
 
-    ``stats`` holds one row per key. ``rows`` names its row count; from it the
-    hot keys are found (at most ``HOT_SHARE`` of them, so the list may be
-    broadcast). Rows of hot keys spread over ``HOT_SALTS`` tasks by ``spread``;
-    only their statistics are repeated. NULL keys get NULL statistics.
+    ``stats`` holds one row per key and names its row count in ``rows``. It is
+    written first, so its true size decides whether the join broadcasts it, and
+    its largest count whether salting is needed at all. Rows of hot keys are
+    spread by ``spread``; only the statistics of hot keys are repeated. NULL
+    keys get NULL statistics.
     """
     keys = list(keys)
-    if rows is None:
+    stats = materialize(stats, "stats")
+    if (stats.agg(F.max(rows)).first()[0] or 0) <= HOT_ROWS:
         return df.join(stats, keys, "left")
-    total = stats.agg(F.sum(rows).alias("n")).scalar()
-    hot = F.broadcast(stats.where(F.col(rows) * F.lit(HOT_SHARE) > total).select(*keys, F.lit(True).alias("__hot")))
-    salted = (
-        df.join(hot, keys, "left")
-        .withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS))).otherwise(F.lit(0).cast("bigint")))
-        .drop("__hot")
-    )
-    repeated = (
-        stats.withColumn("__top", F.when(F.col(rows) * F.lit(HOT_SHARE) > total, HOT_SALTS - 1).otherwise(0))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__top").cast("bigint"))))
-        .drop("__top")
-    )
+    # At most rows / HOT_ROWS keys.
+    hot = stats.where(F.col(rows) > HOT_ROWS).select(*keys, F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS))).otherwise(F.lit(0).cast("bigint"))
+    salted = df.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    top = F.when(F.col(rows) > HOT_ROWS, HOT_SALTS - 1).otherwise(0).cast("bigint")
+    repeated = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), top)))
     return salted.join(repeated, [*keys, "__salt"], "left").drop("__salt")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 HALF_WIDTH = 4.0 / ACCURACY
 # Largest group, in rows, that one aggregation buffer may hold.
-SMALL_GROUP = 1_000_000
+SMALL_GROUP = 100_000
 # Evenly spaced borders besides: with heavy ties the rank may fall anywhere, and
 # then still only this share of a group's distinct values is ordered.
 GRID = 16

@@ -122,7 +122,10 @@ def timeline_overlay(scored: DataFrame, bucket: str, events_per_bucket: int = 20
 
     Each list is ranked and cut before it is gathered.
     """
-    hits = scored.where("anomaly").withColumn("bucket", bucket_epoch(F.col("ts"), bucket_seconds(bucket)))
+    hits = scored.where("anomaly").select(
+        bucket_epoch(F.col("ts"), bucket_seconds(bucket)).alias("bucket"), "ts", "event_id", "anom_score", "reasons", "explain"
+    )
+    hits = materialize(hits, "hits")  # the anomalous share of the events, read four times
     peak = hits.groupBy("bucket").agg(F.max("anom_score").alias("max_score"), F.count(F.lit(1)).alias("anomalies"))
     codes = top_codes(hits, ["bucket"], 3).groupBy("bucket").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "code"))), lambda c: c["code"]), ",").alias("codes")

@@ -63,13 +63,14 @@ def test_left_window_join_outside_the_window(spark):
 def test_salted_statistics_equal_the_plain_join(skewed, monkeypatch):
     stats = skewed.where("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
     plain = skewed.join(stats, "user_id", "left")
-    for share in (2, 4, 100):
-        monkeypatch.setattr(jo, "HOT_SHARE", share)
+    for limit in (10, 100, 10_000):
+        monkeypatch.setattr(jo, "HOT_ROWS", limit)
         salted = jo.attach_stats(skewed, stats, ["user_id"], F.col("event_id"), rows="n")
         assert rows(salted, "event_id", "n", "last") == rows(plain, "event_id", "n", "last")
 
 
-def test_hot_key_is_spread(skewed):
+def test_hot_key_is_spread(skewed, monkeypatch):
+    monkeypatch.setattr(jo, "HOT_ROWS", 100)
     stats = skewed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     skewed.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
