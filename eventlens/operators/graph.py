@@ -139,7 +139,7 @@ def label_propagation(links: DataFrame, rounds: int = 10) -> DataFrame:
         labels = fresh
         if not moved:
             break
-    return labels.select("id", "component")
+    return labels
 
 
 def communities(labels: DataFrame) -> DataFrame:

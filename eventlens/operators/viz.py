@@ -26,15 +26,20 @@ OTHERS = "Others"
 
 
 def score_by_trailing_z(df: DataFrame, bucket: str = "1h", rows: int = 20, z_thr: float = 3.0) -> DataFrame:
-    """Events with zscore, anomaly and anom_score from the trailing window score."""
+    """Events with zscore, anomaly and anom_score from the trailing window score.
+
+    Events without a user keep a NULL zscore and the neutral score.
+    """
     seconds = bucket_seconds(bucket)
-    base = df.where(F.col("user_id").isNotNull())
-    counts = bucket_values(base, F.lit(1), seconds)
+    counts = bucket_values(df.where(F.col("user_id").isNotNull()), F.lit(1), seconds)
     scores = trailing_z(counts, rows, z_thr).select(
         "user_id", "bucket", "rows", F.col("z").alias("zscore"), F.col("score").alias("anom_score"), "anomaly"
     )
-    keyed = base.withColumn("bucket", bucket_epoch(F.col("ts"), seconds))
-    return attach_stats(keyed, scores, ["user_id", "bucket"], F.col("event_id"), rows="rows").drop("rows", "bucket")
+    keyed = df.withColumn("bucket", bucket_epoch(F.col("ts"), seconds))
+    out = attach_stats(keyed, scores, ["user_id", "bucket"], F.col("event_id"), rows="rows").drop("rows", "bucket")
+    return out.withColumns({
+        "anom_score": F.coalesce("anom_score", F.lit(0.5)), "anomaly": F.coalesce("anomaly", F.lit(False)),
+    })
 
 
 def composite_key(df: DataFrame, fields: Sequence[str], sep: str = " | ") -> Column:

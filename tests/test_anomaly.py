@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators import anomaly as an
 from eventlens.operators import features as ft
+from eventlens.operators.viz import score_by_trailing_z
 from eventlens.operators.iforest import expected_path, forest_scores
 
 
@@ -65,3 +66,10 @@ def test_advanced_run_flags_about_the_contamination(events):
     assert stats.row_count == 1000 and 30 <= stats.anomalies <= 50
     assert stats.score_min == 0.0 and stats.score_max == 1.0
     assert out.where("anomaly AND reasons[0].code <> 'IF_OUTLIER'").count() == 0
+
+
+def test_trailing_score_keeps_events_without_user(skewed):
+    out = score_by_trailing_z(skewed, "1d")
+    assert out.count() == skewed.count()
+    lost = out.where("user_id IS NULL")
+    assert lost.count() > 0 and rows(lost.select("zscore", "anom_score", "anomaly").distinct()) == [(None, 0.5, False)]
