@@ -79,12 +79,7 @@ def sparse_robust_z(df: DataFrame, value: Column, bucket: str, alpha: float = 0.
         "run", F.coalesce(F.lead("p").over(by_bucket) - F.col("p"), F.col("hi") - F.col("p") + 1)
     )
 
-    reach = by_bucket.rangeBetween(-ft.ewma_reach(alpha), 0)
-    seen = F.collect_list(F.when(F.col("x") != 0, F.struct("p", "x"))).over(reach)
-    weight = lambda s: F.pow(F.lit(1 - alpha), (F.col("p") - s["p"]).cast("double")) * F.when(
-        s["p"] == F.col("lo"), 1.0
-    ).otherwise(alpha)
-    points = points.withColumn("mu", F.aggregate(seen, F.lit(0.0), lambda acc, s: acc + s["x"] * weight(s)))
+    points = ft.add_ewma(points, alpha, F.col("p") - F.col("lo"))
 
     kept = materialize(points.select("user_id", "p", "x", "rows", "mu", "mad_raw", "run"), "points")
     fallback = ft.positive_mad_median(kept, F.col("run"))

@@ -208,21 +208,24 @@ def ewma_reach(alpha: float) -> int:
     return math.ceil(36 / -math.log(1 - alpha))
 
 
-def add_ewma(series: DataFrame, alpha: float = 0.2) -> DataFrame:
+def add_ewma(series: DataFrame, alpha: float = 0.2, index: Column | None = None) -> DataFrame:
     """``mu``: exponential mean seeded with the first value, per user by bucket.
 
-    Linear in the rows: a running sum of values scaled up by the decay, then
-    scaled down again, restarted every few hundred rows so that the scale stays
-    within a double. A restart needs the block before it only, since what lies
-    further back weighs less than 1e-60.
+    ``index`` counts buckets from the user's first one and may skip buckets
+    without a value; by default rows follow each other. Linear in the rows: a
+    running sum of values scaled up by the decay, then scaled down again,
+    restarted every few hundred buckets so that the scale stays within a double.
+    A restart needs the block before it only, since what lies further back
+    weighs less than 1e-60.
     """
     block, keep = 4 * ewma_reach(alpha), 1 - alpha
     by_user = Window.partitionBy("user_id")
-    numbered = series.withColumn("__i", F.row_number().over(by_user.orderBy("bucket")) - 1)
+    position = F.row_number().over(by_user.orderBy("bucket")) - 1 if index is None else index
+    numbered = series.withColumn("__i", position.cast("bigint"))
     numbered = numbered.withColumn("__block", F.floor(F.col("__i") / F.lit(block)).cast("bigint"))
     numbered = numbered.withColumn("__at", (F.col("__i") % F.lit(block)).cast("double"))
-    term = F.col("x") * F.when(F.col("__i") == 0, 1.0).otherwise(alpha)
-    running = Window.partitionBy("user_id", "__block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    term = F.coalesce("x", F.lit(0.0)) * F.when(F.col("__i") == 0, 1.0).otherwise(alpha)
+    running = Window.partitionBy("user_id", "__block").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     inside = F.sum(term * F.pow(F.lit(keep), -F.col("__at"))).over(running) * F.pow(F.lit(keep), F.col("__at"))
     last_block = by_user.orderBy("__block").rangeBetween(-1, -1)
     ending = F.sum(term * F.pow(F.lit(keep), F.lit(block - 1.0) - F.col("__at"))).over(last_block)
