@@ -74,7 +74,7 @@ WIDE = ["user_id-device_id", "account_id-card_hash"]
 
 def _wide(spark, sf):
     """All links: no cut of weak ones, nothing left out."""
-    return gr.graph_edges(load_events(spark, sf), WIDE, min_link=1, max_links=2**31 - 1)
+    return gr.graph_edges(load_events(spark, sf), WIDE, min_link=1, max_links=None)
 
 
 WIDE_SQL = edges_sql("ev", 1, 2**31 - 1, WIDE)

@@ -33,17 +33,18 @@ def link_cells(df: DataFrame, edges: Sequence[str], extra: Sequence[str] = ()) -
 
 def graph_edges(
     df: DataFrame, edges: Sequence[str], metric: str = "count", value: str | None = None,
-    min_link: float = 1.0, max_links: int = 6000,
+    min_link: float = 1.0, max_links: int | None = 6000,
 ) -> DataFrame:
-    """Weighted links, the heaviest ``max_links`` of each type."""
+    """Weighted links, the heaviest ``max_links`` of each type; None keeps all."""
     kept = usable_value(df, value)
     links = link_cells(df, edges, [kept] if kept else []).groupBy("etype", "a", "b").agg(
         metric_column(metric, kept).alias("value")
     ).where(F.col("value") >= min_link)
-    rank = F.row_number().over(Window.partitionBy("etype").orderBy(F.desc("value"), "a", "b"))
-    ranked = links.withColumn("r", rank).where(F.col("r") <= max_links).drop("r")
+    if max_links is not None:
+        rank = F.row_number().over(Window.partitionBy("etype").orderBy(F.desc("value"), "a", "b"))
+        links = links.withColumn("r", rank).where(F.col("r") <= max_links).drop("r")
     kinds = F.split("etype", "-", 2)
-    return ranked.select(
+    return links.select(
         node_id(kinds[0], F.col("a")).alias("source"), node_id(kinds[1], F.col("b")).alias("target"), "etype", "value"
     )
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EULER_GAMMA = 0.5772156649015329
@@ -53,22 +53,23 @@ def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
 
 
 def sample_rows(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataFrame:
-    """(tree, features): the ``trees x sample`` rows with the smallest hash, dealt out.
+    """Rows with their ``tree``: about ``trees x sample`` in all, chosen by hash.
 
-    The limit is a bottom-k by hash: every task keeps its own k smallest. With
-    fewer rows than that, trees share rows, each choosing by its own hash.
+    Every task decides by itself which of its rows are in, and for which tree.
+    With fewer rows than that, trees share rows, each choosing by its own hash.
     """
-    wanted = trees * sample
-    order = F.xxhash64(F.col("event_id"), F.lit(seed))
-    chosen = matrix.withColumn("__h", order).orderBy("__h", "event_id").limit(wanted)
-    # `chosen` is bounded by the parameters from here on.
-    total = chosen.agg(F.count(F.lit(1)).alias("n")).scalar()
-    own = chosen.withColumn("tree", F.pmod(F.xxhash64("event_id", F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    own = own.where(total >= wanted)
-    every = chosen.where(total < wanted).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    ratio = F.lit(1.3 * sample) / total
-    lucky = F.pmod(F.xxhash64("event_id", "tree", F.lit(seed)), F.lit(1_000_000)) < ratio * 1_000_000
-    return own.unionByName(every.where(lucky)).drop("__h")
+    wanted, total = trees * sample, matrix.count()
+    steps = 1 << 30
+
+    def draw(share: float, *salt) -> Column:
+        return F.pmod(F.xxhash64("event_id", *salt, F.lit(seed)), F.lit(steps)) < F.lit(int(min(share, 1.0) * steps))
+
+    # Half as many again, since hashing deals unevenly; a tree drops its surplus.
+    if total > wanted:
+        tree = F.pmod(F.xxhash64("event_id", F.lit(seed + 1)), F.lit(trees)).cast("int")
+        return matrix.where(draw(1.5 * wanted / total)).withColumn("tree", tree)
+    every = matrix.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return every.where(draw(1.5 * sample / max(total, 1), "tree"))
 
 
 def train_forest(matrix: DataFrame, columns: list[str], trees: int, sample: int, seed: int) -> DataFrame:
