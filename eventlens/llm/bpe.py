@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from eventlens.llm.common import query, sliced, table
+from eventlens.llm.common import SLICE, query, sliced, table
 
 #: Words of one recursive query, pieces that a task remembers, rows that one recursion may gather.
 BLOCK, REMEMBERED, GATHERED = 50_000, 350_000, 2_000_000
@@ -116,6 +116,10 @@ class Codec:
         self.heads: dict[str, tuple[bytes, bytes]] = {}
         self.tails: dict[str, tuple[bytes, bytes]] = {}
 
+    def forget(self) -> None:
+        """A worker waits for its next task without what it remembered."""
+        self.words, self.heads, self.tails = {}, {}, {}
+
     def query(self, sql: str, name: str, rows: pa.Table, **given) -> pa.Table:
         self.db.register(name, rows)
         try:
@@ -224,7 +228,7 @@ def _with_ids(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 2 * SLICE):
             coded = own.encode([text or "" for text in batch.column("text").to_pylist()])
             at = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids, _ in coded])]).astype(np.int32)
             ids = pa.array(np.frombuffer(b"".join([ids for ids, _ in coded]), dtype="<i4"))
@@ -232,6 +236,7 @@ def _with_ids(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str
             if decoded:
                 out["decoded"] = pa.array([raw for _, raw in coded], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
+        own.forget()
 
     return picked.mapInArrow(work, schema)
 

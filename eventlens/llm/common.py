@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Bytes of text that a task works on at a time (a single longer text is worked on alone).
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
