@@ -7,7 +7,7 @@ Every condition returns a non-null boolean, so conditions compose freely.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 from typing import Any
 
@@ -39,28 +39,49 @@ def matches_start(col: Column, pattern: str) -> Column:
     return settled(col.cast("string").rlike(f"^(?:{pattern})"))
 
 
+def compared(col: Column, value: Any, test: Callable[[Column, Column], Column]) -> Column:
+    """``test`` of a column of any type and a value: numbers where one side is a number, NULL where the other is none."""
+    if isinstance(value, Column) or value is None or isinstance(value, bool):
+        return test(col, value if isinstance(value, Column) else F.lit(value))
+    kind = F.typeof(col)
+    if isinstance(value, (int, float)):
+        return F.when(kind == "string", test(col.cast("string").try_cast("double"), F.lit(float(value)))).otherwise(test(col, F.lit(value)))
+    if not isinstance(value, str):
+        return test(col, F.lit(value))
+    number = kind.rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
+    return (
+        F.when(number, test(col.cast("string").try_cast("double"), F.lit(value).try_cast("double")))
+        .when(kind == "string", test(col.cast("string"), F.lit(value)))
+        .otherwise(test(col, F.lit(value)))
+    )
+
+
+def equals(col: Column, value: Any) -> Column:
+    return compared(col, value, lambda a, b: a == b)
+
+
 def in_list(col: Column, values: Any) -> Column:
-    return settled(col.isin(as_list(values)))
+    return settled(reduce(lambda a, b: a | b, [settled(equals(col, v)) for v in as_list(values)], F.lit(False)))
 
 
 def not_in_list(col: Column, values: Any) -> Column:
     """NULL is in no list, so it stays."""
-    return F.coalesce(~col.isin(as_list(values)), F.lit(True))
+    return ~in_list(col, values)
 
 
 def step_condition(col: Column, op: str, value: Any = None) -> Column:
     if op == "eq":
-        return settled(col == F.lit(value))
+        return settled(equals(col, value))
     if op == "ne":
-        return ~col.eqNullSafe(F.lit(value))
+        return col.isNotNull() if value is None else ~settled(equals(col, value))
     if op == "gt":
-        return settled(col > F.lit(value))
+        return settled(compared(col, value, lambda a, b: a > b))
     if op == "gte":
-        return settled(col >= F.lit(value))
+        return settled(compared(col, value, lambda a, b: a >= b))
     if op == "lt":
-        return settled(col < F.lit(value))
+        return settled(compared(col, value, lambda a, b: a < b))
     if op == "lte":
-        return settled(col <= F.lit(value))
+        return settled(compared(col, value, lambda a, b: a <= b))
     if op == "in":
         return in_list(col, value)
     if op == "nin":

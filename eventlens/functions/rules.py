@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions.predicates import as_list, is_nullish, settled
+from eventlens.functions.predicates import equals, in_list, is_nullish, not_in_list, settled
 from eventlens.functions.scales import SEVERITY_RANK
 
 MATCH = (
@@ -95,6 +95,11 @@ def operand(df: DataFrame, value: Any) -> Column:
     return F.lit(value)
 
 
+def _value(df: DataFrame, value: Any) -> Any:
+    """A plain value stays one, so that a value of another type than the column's can be told."""
+    return operand(df, value) if isinstance(value, str) and value.startswith("${") else value
+
+
 def ordered(col: Column, op: str, other: Column) -> Column:
     """Numbers where both sides are numbers, else text."""
     a, b = col.cast("string").try_cast("double"), other.cast("string").try_cast("double")
@@ -118,9 +123,9 @@ def rule_condition(df: DataFrame, cond: Mapping) -> Column:
     low = F.lower(col.cast("string"))
     needle = str(value).lower()
     if op == "eq":
-        test = col == operand(df, value)
+        test = equals(col, _value(df, value))
     elif op == "ne":
-        test = col != operand(df, value)
+        test = ~settled(equals(col, _value(df, value)))
     elif op in _COMPARE:
         test = ordered(col, op, operand(df, value))
     elif op == "contains":
@@ -134,9 +139,9 @@ def rule_condition(df: DataFrame, cond: Mapping) -> Column:
     elif op == "matches":
         test = col.cast("string").rlike(f"(?i){value}")
     elif op == "in":
-        test = col.isin(as_list(value))
+        test = in_list(col, value)
     elif op == "not_in":
-        test = ~col.isin(as_list(value))
+        test = not_in_list(col, value)
     elif op in ("between", "not_between"):
         test = ordered(col, "gte", operand(df, value)) & ordered(col, "lte", operand(df, cond.get("value2")))
         test = test if op == "between" else ~test
@@ -188,7 +193,9 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Mapping], ids: Sequence[str] |
     names = F.create_map(*[F.lit(x) for k, v in SEVERITY_RANK.items() for x in (v, k)])
     return out.withColumns({
         "rule_ids": F.transform(m, lambda r: r["rule_id"]),
-        "rule_severity": F.when(F.size(m) > 0, names[F.array_max(F.transform(m, lambda r: level[r["severity"]]))]),
+        # A severity outside the known ones ranks lowest.
+        "rule_severity": F.when(F.size(m) > 0, F.coalesce(
+            names[F.array_max(F.transform(m, lambda r: level[r["severity"]]))], F.get(m, 0)["severity"])),
         "rule_score": F.aggregate(m, F.lit(0.0), lambda acc, r: acc + r["score_contribution"]),
         "rule_tags": F.array_sort(F.array_distinct(F.flatten(F.transform(m, lambda r: r["tags"])))),
     })

@@ -179,6 +179,8 @@ def touching_cells(core: DataFrame, side: float, eps2: float) -> DataFrame:
         found = materialize(found.unionByName(sure).distinct(), f"found{level}")
         # Half boxes of dense neighbours touch for sure, so most pairs end here.
         open_pairs = unconnected(split.where(F.col("far") > eps2).drop("far"), found)
+    else:
+        raise RuntimeError(f"boxes still open after {MAX_LEVEL} halvings")
     return found.distinct()
 
 

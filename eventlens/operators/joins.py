@@ -90,7 +90,11 @@ def window_join(
     key, so a hot key is split over time and no pair outside two or three
     neighbouring bins is ever formed. ``post_filter`` keeps the variant in
     which a left row whose key matches only outside the window disappears.
+    ``right`` and ``full`` also keep right rows without partner; their key is
+    that of the right side. Without keys every kind is an inner join.
     """
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"unknown join type {how!r}")
     width = int(value * MICROS[unit])
     low, high = window_bounds(direction, width)
     size = max(width, 1)
@@ -109,15 +113,34 @@ def window_join(
     for i, (l, _) in enumerate(pairs):
         on = on & probe[l].eqNullSafe(other[f"__rk{i}"])
     helper = ["__lus", "__lbin", "__us", "__bin", *[f"__rk{i}" for i in range(len(pairs))]]
-    kind = "inner" if not pairs or how == "inner" else "left"
+    kind = "inner" if not pairs or how in ("inner", "right") else "left"
     out = probe.join(other, on, kind)
+    lonely = None
+    if pairs and how in ("right", "full"):
+        # Now the left side is repeated, so that each right row is tested once.
+        reach = [F.floor((F.unix_micros(left_ts) + F.lit(d)) / F.lit(size)) for d in (low, high)]
+        near = left.select(
+            F.unix_micros(left_ts).alias("__lus"), F.explode(F.sequence(*reach)).alias("__lbin"), *[F.col(k).alias(f"__lk{i}") for i, k in enumerate(keys)])
+        single = prefixed_right(left, right, pairs, right_name).withColumn("__us", F.unix_micros(ts_name))
+        meets = (F.floor(single["__us"] / F.lit(size)) == near["__lbin"]) & single["__us"].between(near["__lus"] + F.lit(low), near["__lus"] + F.lit(high))
+        for i in range(len(pairs)):
+            meets = meets & single[f"__rk{i}"].eqNullSafe(near[f"__lk{i}"])
+        lonely = single.join(near, meets, "left_anti").withColumns({k: F.col(f"__rk{i}") for i, k in enumerate(keys)})
     if post_filter and kind == "left":
         # A left row stays without partner only when its key is absent on the right.
         known = right.select(*[F.col(k).alias(f"__pk{i}") for i, k in enumerate(keys)]).distinct()
         has_key = reduce(lambda a, b: a & b, [out[k].eqNullSafe(known[f"__pk{i}"]) for i, k in enumerate(keys)])
         partner = F.col("__us").isNotNull()
         out = out.where(partner).unionByName(out.where(~partner).join(known, has_key, "left_anti"))
-    return out.drop(*helper)
+    out = out.drop(*helper)
+    return out if lonely is None else out.unionByName(lonely.drop(*helper), allowMissingColumns=True)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join on columns of one name in which NULL equals NULL; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"__safe_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__safe_{k}"]) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"__safe_{k}" for k in keys])
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Column, rows: str) -> DataFrame:
@@ -126,17 +149,22 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], spread: C
     ``stats`` holds one row per key and names its row count in ``rows``. It is
     written first, so its true size decides whether the join broadcasts it, and
     its largest count whether salting is needed at all. Rows of hot keys are
-    spread by ``spread``; only the statistics of hot keys are repeated. NULL
-    keys get NULL statistics.
+    spread by ``spread``; only the statistics of hot keys are repeated. A NULL
+    key is a key like any other.
     """
     keys = list(keys)
     stats = materialize(stats, "stats")
     if (stats.agg(F.max(rows)).first()[0] or 0) <= HOT_ROWS:
-        return df.join(stats, keys, "left")
+        return null_safe_join(df, stats, keys, "left")
+    absent = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    unnamed, df, without = df.where(absent), df.where(~absent), stats.where(absent)
+    stats = stats.where(~absent)
     # At most rows / HOT_ROWS keys.
     hot = stats.where(F.col(rows) > HOT_ROWS).select(*keys, F.lit(True).alias("__hot"))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS))).otherwise(F.lit(0).cast("bigint"))
     salted = df.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
     top = F.when(F.col(rows) > HOT_ROWS, HOT_SALTS - 1).otherwise(0).cast("bigint")
     repeated = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), top)))
-    return salted.join(repeated, [*keys, "__salt"], "left").drop("__salt")
+    named = salted.join(repeated, [*keys, "__salt"], "left").drop("__salt")
+    # Rows without a key have few statistics rows; adaptive execution splits them if they are many.
+    return named.unionByName(null_safe_join(unnamed, without, keys, "left").select(named.columns))

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.operators.joins import null_safe_join
+
 # Sketch accuracy and half-width of the middle zone, in rank share. The width is
 # four times the sketch's error bound; about 0.1 % of a group lies in the zone.
 ACCURACY = 10_000
@@ -83,7 +85,7 @@ def zoned_quantiles(
     borders = values.groupBy(*on).agg(
         F.percentile_approx("__x", F.array(*[F.lit(p) for p in probes]), F.lit(ACCURACY)).alias("__borders")
     )
-    zoned = values.join(borders, on).withColumn(
+    zoned = null_safe_join(values, borders, on).withColumn(
         "__zone", F.size(F.filter("__borders", lambda b: b < F.col("__x")))
     ).drop("__borders")
     per_zone = zoned.groupBy(*on, "__zone").agg(F.sum("__w").alias("__zw"))
@@ -102,7 +104,7 @@ def zoned_quantiles(
         F.exists("__targets", lambda t: (F.floor(t["rank"]) < F.col("__before") + F.col("__zw"))
                  & (F.ceil(t["rank"]) >= F.col("__before")))
     )
-    inside = zoned.join(wanted.select(*on, "__zone", "__before", "__n"), [*on, "__zone"])
+    inside = null_safe_join(zoned, wanted.select(*on, "__zone", "__before", "__n"), [*on, "__zone"])
     running = Window.partitionBy(*on, "__zone").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     placed = inside.withColumn("__end", F.col("__before") + F.sum("__w").over(running)).withColumn(
         "__start", F.col("__end") - F.col("__w")
@@ -120,7 +122,9 @@ def zoned_quantiles(
     for alias, q in quantiles.items():
         rank = F.lit(float(q)) * (F.col("__n") - 1)
         low, high = F.col(f"__lo_{alias}"), F.col(f"__hi_{alias}")
-        columns.append((low + (high - low) * (rank - F.floor(rank))).alias(alias))
+        # The formula of ``percentile``, so that both ways agree to the last bit.
+        between = (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
+        columns.append(F.when((F.floor(rank) == F.ceil(rank)) | (low == high), low).otherwise(between).alias(alias))
     return result.select(*keys, *columns)
 
 

@@ -114,6 +114,7 @@ def aggregate(
         df = df.where(F.col(key).isNotNull())
     if not aggs:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")) if keys else df
+    order = present(df, order) or df.columns
     columns, medians = [], []
     for spec in aggs:
         func, field = spec["func"].lower(), spec.get("field", "*")
@@ -169,7 +170,8 @@ def distinct_rows(df: DataFrame, subset: Sequence[str] = (), order: Sequence[str
     if not keys:
         return df.distinct()
     row = F.struct(*df.columns)
-    first = df.groupBy(*keys).agg(F.min_by(row, F.struct(*present(df, order))).alias("__row"))
+    # Ties, and tables without the order columns, go by all columns.
+    first = df.groupBy(*keys).agg(F.min_by(row, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*present(df, order), *df.columns])])).alias("__row"))
     return first.select("__row.*")
 
 

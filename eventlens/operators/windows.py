@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.operators.joins import null_safe_join
 from eventlens.session import materialize
 
 HEAVY_ROWS = 5_000_000
@@ -38,8 +39,12 @@ class Heavy:
         return plain(light).unionByName(chunked(df.join(self.values, same, "left_semi")))
 
 
+# Chunk of rows without a time; they come before all others, as in an ordered window.
+NO_TIME = -(1 << 62)
+
+
 def time_chunk(ts: Column, seconds: int = CHUNK_SECONDS) -> Column:
-    return F.floor(F.unix_seconds(ts) / F.lit(seconds))
+    return F.coalesce(F.floor(F.unix_seconds(ts) / F.lit(seconds)), F.lit(NO_TIME))
 
 
 def with_previous(
@@ -119,7 +124,7 @@ def with_rolling_count(
         # Rows near the end of a chunk are copied into the next one as context.
         size = max(CHUNK_SECONDS, seconds)
         own = time_chunk(F.col(order[0]), size)
-        reach = F.floor((F.unix_micros(order[0]) + F.lit(span - 1)) / F.lit(size * 1_000_000))
+        reach = F.coalesce(F.floor((F.unix_micros(order[0]) + F.lit(span - 1)) / F.lit(size * 1_000_000)), own)
         spread = rows.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(own, reach)))
         return counted(spread, key, "__chunk").where(F.col("__own") == F.col("__chunk")).drop("__own", "__chunk")
 
@@ -144,8 +149,8 @@ def with_recent_repeat(
 
     def chunked(rows: DataFrame) -> DataFrame:
         # Blocks of row numbers, each with the last rows of the one before.
-        own = F.floor(F.col(position) / F.lit(block))
-        reach = F.floor((F.col(position) + F.lit(window)) / F.lit(block))
+        own = F.coalesce(F.floor(F.col(position) / F.lit(block)), F.lit(-1))
+        reach = F.coalesce(F.floor((F.col(position) + F.lit(window)) / F.lit(block)), F.lit(-1))
         spread = rows.withColumn("__own", own).withColumn("__block", F.explode(F.sequence(own, reach)))
         return flagged(spread, key, "__block").where(F.col("__own") == F.col("__block")).drop("__own", "__block")
 
@@ -173,7 +178,7 @@ def with_first_seen(
                 .groupBy(key, "__val").agg(F.min(F.struct(*order)).alias("__first"))
                 .select(*[F.col(f"__first.{c}").alias(c) for c in order], F.lit(1).alias(name))
             )
-            rows = rows.join(first, list(order), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+            rows = null_safe_join(rows, first, order, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
         return rows
 
     return heavy.split(df, plain, chunked)

@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlens.plans.steps import Sources, run_steps
@@ -18,10 +19,19 @@ def register_sources(sources: Sources) -> None:
 
 
 def select_sql(spark: SparkSession, text: str, args: Mapping[str, Any] | None = None) -> DataFrame:
-    """One SELECT over registered sources; values travel as parameters."""
-    if not re.match(r"\s*(select|with)\b", text, re.IGNORECASE) or ";" in text.rstrip().rstrip(";"):
+    """One SELECT over registered sources; values travel as parameters.
+
+    The text must also be valid as a subquery, which no command and no second
+    statement is; Spark's own parser decides, before anything runs.
+    """
+    body = text.rstrip().rstrip(";")
+    if not re.match(r"\s*(select|with)\b", body, re.IGNORECASE):
         raise ValueError("only a single SELECT is allowed")
-    return spark.sql(text.rstrip().rstrip(";"), args=dict(args or {}))
+    try:
+        spark.sql(f"SELECT 1 FROM (\n{body}\n) LIMIT 0", args=dict(args or {}))
+    except ParseException as error:
+        raise ValueError("only a single SELECT is allowed") from error
+    return spark.sql(body, args=dict(args or {}))
 
 
 class Views:

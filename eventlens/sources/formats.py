@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,17 +57,33 @@ def preview(df: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:
 
 
 def read_batch(spark: SparkSession, paths: Sequence[str], prefix: str, schema: StructType | str | None = None) -> DataFrame:
-    """Many inputs of one format as one table, ``source = prefix:base name``.
+    """Many inputs as one table, ``source = prefix:base name``; each format is read by one reader.
 
-    An input may be a file or a folder of part files.
+    An input may be a file or a folder of part files. A CSV input with a line
+    that is not UTF-8 is Latin-1, whatever the others are. Columns that some
+    inputs lack are NULL there.
     """
-    fmt = detect_format(paths[0])
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader
-    df = reader.format(fmt).load(list(paths))
     names = "|".join(re.escape(p.rstrip("/").rsplit("/", 1)[-1]) for p in paths)
-    name = F.regexp_extract(F.col("_metadata.file_path"), f"/({names})(?:/|$)", 1)
-    return df.withColumn("source", F.concat(F.lit(f"{prefix}:"), F.regexp_replace(name, r"\.[^.]*$", "")))
+    # Characters such as blanks are percent-encoded in the path; a plus sign is not.
+    full = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    base = F.regexp_extract(full, f"/({names})(?:/|$)", 1)
+    groups: dict[tuple[str, str], list[str]] = {}
+    tables = [p for p in paths if detect_format(p) == "csv"]
+    broken = set()
+    if tables:
+        lines = spark.read.text(list(tables)).select(base.alias("name"), F.is_valid_utf8("value").alias("valid"))
+        broken = {r["name"] for r in lines.where("NOT valid").select("name").distinct().collect()}
+    for path in paths:
+        latin = path.rstrip("/").rsplit("/", 1)[-1] in broken
+        groups.setdefault((detect_format(path), ENCODINGS[1] if latin else ENCODINGS[0]), []).append(path)
+    parts = []
+    for (fmt, encoding), some in groups.items():
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        if fmt == "csv":
+            reader = reader.option("header", True).option("escape", '"').option("encoding", encoding)
+        part = reader.format(fmt).load(some)
+        parts.append(part.withColumn("source", F.concat(F.lit(f"{prefix}:"), F.regexp_replace(base, r"\.[^.]*$", ""))))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def write_result(df: DataFrame, path: str, fmt: str) -> None:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from eventlens.functions.predicates import filter_view
 
@@ -28,7 +29,14 @@ def append_events(df: DataFrame, path: str) -> None:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("day")
+    return _stored(spark, path).drop("day")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The table with its sources as text, also where a folder's name looks like a number."""
+    found = spark.read.parquet(path).schema
+    fields = [StructField(f.name, StringType()) if f.name == "source" else f for f in found.fields]
+    return spark.read.schema(StructType(fields)).parquet(path)
 
 
 def scan_range(df: DataFrame, start: str, end: str, source: str | None = None) -> DataFrame:
@@ -66,12 +74,24 @@ def delete_source(spark: SparkSession, path: str, source: str) -> int:
     Rows of a source live in their own partitions, so an overwrite limited to
     those partitions never touches other sources.
     """
-    doomed = spark.read.parquet(path).where(F.col("source") == source)
-    removed = doomed.count()
-    if removed:
-        partition = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/source={source}")
-        partition.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(partition, True)
-    return removed
+    return _delete(spark, _stored(spark, path).where(F.col("source") == source))
+
+
+def delete_all(spark: SparkSession, path: str) -> int:
+    """Remove every source; returns the rows removed."""
+    return _delete(spark, _stored(spark, path))
+
+
+def _delete(spark: SparkSession, doomed: DataFrame) -> int:
+    """Folders are taken from the rows' own files: Spark escapes some characters of a name."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*/source=[^/]*)/", 1)
+    folders = doomed.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n")).collect()
+    jvm = spark.sparkContext._jvm
+    for row in folders:
+        partition = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["folder"]))
+        if not partition.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(partition, True):
+            raise OSError(f"could not delete {row['folder']}")
+    return sum(row["n"] for row in folders)
 
 
 def source_counts(df: DataFrame) -> DataFrame:
