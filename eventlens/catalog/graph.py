@@ -98,22 +98,18 @@ ROUND_SQL = "l{n} AS (SELECT src AS id, label FROM (SELECT v.src, l.label, sum(v
 
 def lpa_sql(tail):
     rounds = [ROUND_SQL.format(n=i, m=i - 1) for i in (1, 2, 3)]
-    return with_ev(tail, edges_sql(), NODES_SQL.replace("links", "alllinks").replace("kept AS", "links AS"), BOTH_SQL, VOTES_SQL, *rounds).replace("links AS ((SELECT", "alllinks AS ((SELECT", 1)
-
-
-def _kept(spark, sf):
-    return gr.graph_nodes(_edges(load_events(spark, sf)), MAX_NODES)[1]
+    return with_ev(tail, WIDE_SQL, BOTH_SQL, VOTES_SQL, *rounds)
 
 
 @query("graph_communities", lpa_sql("""
 SELECT l.id, l.label, c.community, c.size FROM l3 l JOIN (SELECT label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS community FROM l3 GROUP BY label) c ON l.label = c.label"""))
 def graph_communities(spark, sf):
-    return gr.communities(gr.label_propagation(_kept(spark, sf), 3))
+    return gr.communities(gr.label_propagation(_wide(spark, sf), 3))
 
 
 @query("graph_modularity", lpa_sql("""
 SELECT round(sum(inside / t - power(deg / t, 2)), 6) AS modularity FROM (SELECT a.label, sum(w) AS deg, sum(CASE WHEN a.label = b.label THEN w ELSE 0 END) AS inside, (SELECT sum(w) FROM pairs) AS t
   FROM pairs JOIN l3 a ON a.id = src JOIN l3 b ON b.id = dst GROUP BY a.label)"""))
 def graph_modularity(spark, sf):
-    links = _kept(spark, sf)
+    links = _wide(spark, sf)
     return gr.modularity(links, gr.label_propagation(links, 3)).select(r("modularity").alias("modularity"))
