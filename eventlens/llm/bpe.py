@@ -116,10 +116,6 @@ class Codec:
         self.heads: dict[str, tuple[bytes, bytes]] = {}
         self.tails: dict[str, tuple[bytes, bytes]] = {}
 
-    def forget(self) -> None:
-        """A worker waits for its next task without what it remembered."""
-        self.words, self.heads, self.tails = {}, {}, {}
-
     def query(self, sql: str, name: str, rows: pa.Table, **given) -> pa.Table:
         self.db.register(name, rows)
         try:
@@ -236,7 +232,6 @@ def _with_ids(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str
             if decoded:
                 out["decoded"] = pa.array([raw for _, raw in coded], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
-        own.forget()
 
     return picked.mapInArrow(work, schema)
 
