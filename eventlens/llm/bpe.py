@@ -2,7 +2,8 @@
 
 Only words that a task has not met yet are encoded. They become token-position rows, one for each byte. A recursive
 query joins neighbours with the merge table, takes each word's leftmost pair of minimum rank, contracts it, and goes
-on until no word has a pair left. Decoding joins token rows with the vocabulary and aggregates bytes in order.
+on until no word has a pair left. Decoding joins token rows with the vocabulary and aggregates bytes in order. A
+task starts with no words and keeps none for the next, so that its work and memory don't hang on what ran before.
 
 In words of over ``SHORT`` bytes, equal minimum pairs are contracted together unless the new token could take part in
 a lower merge (``solo``); this gives what one merge at a time gives, and long runs need few rounds. A recursion stops
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import duckdb
 import numpy as np
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from eventlens.llm.common import SLICE, query, sliced, table
+from eventlens.llm.words import buffers
 
-#: Words of one recursive query, pieces that a task remembers, rows that one recursion may gather.
-BLOCK, REMEMBERED, GATHERED = 50_000, 350_000, 2_000_000
+#: Words of one recursive query, words and bytes that a task remembers, rows that one recursion may gather.
+BLOCK, REMEMBERED, REMEMBERED_BYTES, GATHERED = 50_000, 500_000, 64 << 20, 2_000_000
 
 #: Bytes of a word up to which positions fit the packed key of ``ENCODE``.
 SHORT = 250
@@ -111,10 +113,9 @@ class Codec:
             self.db.register("rows", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.db.unregister("rows")
-        self.known = np.array(sorted(ranks.values()), dtype=np.int32)
-        self.words: dict[str, bytes] = {}
-        self.heads: dict[str, tuple[bytes, bytes]] = {}
-        self.tails: dict[str, tuple[bytes, bytes]] = {}
+        self.known = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.known[list(ranks.values())] = True
+        self.forget()
 
     def query(self, sql: str, name: str, rows: pa.Table, **given) -> pa.Table:
         self.db.register(name, rows)
@@ -150,62 +151,70 @@ class Codec:
         ids = tok[order].astype("<i4").tobytes()
         return [ids[a:b] for a, b in pairwise(at)]
 
+    def forget(self) -> None:
+        """Drop all remembered words; every task starts and ends with none."""
+        self.place: dict[str, int] = {}
+        self.ids = self.raw = pa.array([], pa.binary())
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def shrink(self) -> None:
+        """Keep the more used half of the remembered words."""
+        keep = np.sort(np.argpartition(-self.uses, REMEMBERED // 2)[: REMEMBERED // 2])
+        words = list(self.place)
+        self.place = {words[i]: at for at, i in enumerate(keep.tolist())}
+        self.ids, self.raw, self.uses = self.ids.take(pa.array(keep)), self.raw.take(pa.array(keep)), self.uses[keep]
+
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        new = list(words - self.words.keys())
+        """Encode and decode the words not met yet; ``place`` is where ``ids`` and ``raw`` hold a word's results."""
+        if self.ids.nbytes + self.raw.nbytes > REMEMBERED_BYTES:
+            self.forget()
+        if len(self.place) > REMEMBERED:
+            self.shrink()
+        new = list(words - self.place.keys())
         for a in range(0, len(new), BLOCK):
             some = [[], []]
             for word in new[a : a + BLOCK]:
                 some[len(word.encode()) > SHORT].append(word)
             for group in filter(None, some):
-                self.words.update(zip(group, self.encode_words(group), strict=True))
-
-    def learn_pieces(self, pieces: list[str], known: dict, lead: str) -> None:
-        """Ids, and the bytes they decode to, of pieces that follow ``lead``."""
-        split = [self.split(lead + piece) for piece in pieces]
-        self.learn(set().union(*split))
-        words = self.words
-        ids = [b"".join([words[w] for w in some]) for some in split]
-        known.update(zip(pieces, zip(ids, self.decode(ids), strict=True), strict=True))
+                ids = self.encode_words(group)
+                self.place.update(zip(group, range(len(self.place), len(self.place) + len(group)), strict=True))
+                self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.binary())])
+                self.raw = pa.concat_arrays([self.raw, pa.array(self.decode(ids), pa.binary())])
+        self.uses = np.append(self.uses, np.zeros(len(self.place) - len(self.uses), dtype=np.int64))
+
+    def encode_texts(self, texts: list[str]) -> tuple[pa.ListArray, pa.BinaryArray]:
+        """Ids of whole texts, and the bytes they decode to: those of their words, one after the other."""
+        words = [self.split(text) for text in texts]
+        self.learn(set().union(*words))
+        at = np.concatenate([[0], np.cumsum([len(some) for some in words])]).astype(np.int64)
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=at[-1])
+        self.uses += np.bincount(place, minlength=len(self.uses))
+        (ids, ids_at), (raw, raw_at) = (buffers(some.take(pa.array(place))) for some in (self.ids, self.raw))
+        ids_at, raw_at = (ids_at[at] // 4).astype(np.int32), raw_at[at].astype(np.int32)
+        return (
+            pa.ListArray.from_arrays(ids_at, pa.array(ids.view("<i4"))),
+            pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(raw_at), pa.py_buffer(raw)]),
+        )
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids (as 4-byte integers) of whole texts, and what they decode to.
-
-        A text is cut at lone spaces between two other characters, which always start a match of the pattern, so that
-        the pieces between them can be split, encoded and decoded on their own, and are remembered.
-        """
-        if len(self.heads) + len(self.tails) > REMEMBERED:
-            self.heads, self.tails = {}, {}
-        cut = [text.split(" ") if not _ODD(text) else [text] for text in texts]
-        self.learn_pieces(list({p[0] for p in cut} - self.heads.keys()), self.heads, "")
-        tails = set()
-        for pieces in cut:
-            tails.update(pieces[1:])
-        self.learn_pieces(list(tails - self.tails.keys()), self.tails, " ")
-        out = []
-        for pieces in cut:
-            found = [self.heads[pieces[0]], *map(self.tails.__getitem__, pieces[1:])]
-            out.append((b"".join([x[0] for x in found]), b"".join([x[1] for x in found])))
-        return out
+        """As ``encode_texts``, with the ids as 4-byte integers in bytes."""
+        ids, raw = self.encode_texts(texts)
+        return [(np.array(some, dtype="<i4").tobytes(), bytes_) for some, bytes_ in zip(ids.to_pylist(), raw.to_pylist(), strict=True)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each sequence of ids; an unknown id is an error."""
-        out: list[list[bytes]] = [[] for _ in ids]
+        out = [b""] * len(ids)
         tok = np.frombuffer(b"".join(ids), dtype="<i4")
         w = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) // 4 for x in ids])
-        if not np.isin(tok, self.known).all():
+        if len(tok) and not (tok.min() >= 0 and tok.max() < len(self.known) and self.known[tok].all()):
             raise ValueError("unknown token id")
         for a in range(0, len(tok), GATHERED):
             part = slice(a, a + GATHERED)
             rows = pa.table({"w": w[part], "pos": np.arange(len(tok[part]), dtype=np.int32), "tok": tok[part]})
             for i, text in zip(*self.query(DECODE, "ids", rows).to_pydict().values(), strict=True):
-                out[i].append(text)
-        return [b"".join(some) for some in out]
-
+                out[i] += text
+        return out
 
-#: Spaces that touch other white space or the text's end; such texts are split whole.
-_ODD = regex.compile(r"\s \s?| \s|^ | $").search
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -224,14 +233,14 @@ def _with_ids(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        own.forget()
         for batch in sliced(batches, "text", 2 * SLICE):
-            coded = own.encode([text or "" for text in batch.column("text").to_pylist()])
-            at = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids, _ in coded])]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join([ids for ids, _ in coded]), dtype="<i4"))
-            out = {"id": batch.column("id"), "ids": pa.ListArray.from_arrays(at, ids)}
+            ids, raw = own.encode_texts([text or "" for text in batch.column("text").to_pylist()])
+            out = {"id": batch.column("id"), "ids": ids}
             if decoded:
-                out["decoded"] = pa.array([raw for _, raw in coded], pa.binary())
+                out["decoded"] = raw
             yield pa.RecordBatch.from_pydict(out)
+        own.forget()
 
     return picked.mapInArrow(work, schema)
 

@@ -129,6 +129,18 @@ def test_long_recursion_restarts(oracle, monkeypatch):
     assert np.frombuffer(ids, "<i4").tolist() == oracle.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("limit", [("REMEMBERED", 40), ("REMEMBERED_BYTES", 300)])
+def test_small_memory_changes_nothing(oracle, monkeypatch, limit):
+    monkeypatch.setattr(bpe, *limit)
+    codec, rng = bpe.Codec(PATH, PATTERN), random.Random(3)
+    for _ in range(40):
+        sizes = [rng.choice([0, 1, 5, 80, 700]) for _ in range(rng.choice([0, 1, 9]))]
+        texts = ["".join(rng.choices("abcdeéß 日🙂\n\t ,.'s 123", k=n)) for n in sizes]
+        ids, raw = codec.encode_texts(texts)
+        assert ids.to_pylist() == [oracle.encode_ordinary(t) for t in texts]
+        assert raw.to_pylist() == [t.encode() for t in texts]
+
+
 # 3 quality
 
 def quality_data(spark, n=240):
