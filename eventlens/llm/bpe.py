@@ -15,8 +15,9 @@ NULL texts count as empty and have no ids. Nothing is shuffled; repeated, long o
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
-from itertools import chain, pairwise
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Set
+from itertools import count, pairwise
 
 import duckdb
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from eventlens.llm.common import SLICE, query, sliced, table
+from eventlens.llm.common import SLICE, query, release, sliced, table
 from eventlens.llm.words import buffers
 
 #: Words of one recursive query, words and bytes that a task remembers, rows that one recursion may gather.
@@ -164,7 +165,7 @@ class Codec:
         self.place = {words[i]: at for at, i in enumerate(keep.tolist())}
         self.ids, self.raw, self.uses = self.ids.take(pa.array(keep)), self.raw.take(pa.array(keep)), self.uses[keep]
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Set[str]) -> None:
         """Encode and decode the words not met yet; ``place`` is where ``ids`` and ``raw`` hold a word's results."""
         if self.ids.nbytes + self.raw.nbytes > REMEMBERED_BYTES:
             self.forget()
@@ -184,11 +185,17 @@ class Codec:
 
     def encode_texts(self, texts: list[str]) -> tuple[pa.ListArray, pa.BinaryArray]:
         """Ids of whole texts, and the bytes they decode to: those of their words, one after the other."""
-        words = [self.split(text) for text in texts]
-        self.learn(set().union(*words))
-        at = np.concatenate([[0], np.cumsum([len(some) for some in words])]).astype(np.int64)
-        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=at[-1])
-        self.uses += np.bincount(place, minlength=len(self.uses))
+        number: dict[str, int] = defaultdict(count().__next__)
+        numbers = [np.zeros(0, dtype=np.int32)]
+        for text in texts:
+            words = self.split(text)
+            numbers.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
+        self.learn(number.keys())
+        at = np.cumsum([len(some) for some in numbers]).astype(np.int64)
+        flat = np.concatenate(numbers)
+        own = np.fromiter(map(self.place.__getitem__, number), dtype=np.int64, count=len(number))
+        self.uses[own] += np.bincount(flat, minlength=len(own))
+        place = own[flat]
         (ids, ids_at), (raw, raw_at) = (buffers(some.take(pa.array(place))) for some in (self.ids, self.raw))
         ids_at, raw_at = (ids_at[at] // 4).astype(np.int32), raw_at[at].astype(np.int32)
         return (
@@ -241,6 +248,7 @@ def _with_ids(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str
                 out["decoded"] = raw
             yield pa.RecordBatch.from_pydict(out)
         own.forget()
+        release()
 
     return picked.mapInArrow(work, schema)
 

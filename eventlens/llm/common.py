@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -42,6 +43,14 @@ def remainder(column: str, of: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of
 
 
+def release() -> None:
+    """Give memory that is free again back to the system, so that a worker waiting for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with at most ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:
@@ -53,6 +62,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE) -
             b = max(a + 1, int(np.searchsorted(at, at[a] + limit, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    release()
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
