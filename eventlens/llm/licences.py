@@ -1,7 +1,8 @@
 """Licence scans by sentence rules (operator 6).
 
-A text is cut into sentences, which are lower-cased and stripped of marks. Sentences that are known licence sentences
-become identifiers; a rule is a sequence of identifiers and holds where they occur in this order, whatever stands
+A text is cut into pieces at sentence marks and line feeds; pieces are lower-cased and stripped of marks. Known licence
+sentences become identifiers wherever one or more whole pieces in a row have their words, so wrapped lines, comment marks and blank
+lines inside a sentence don't matter. A rule is a sequence of identifiers and holds where they occur in this order, whatever stands
 between. A rule inside a longer rule that holds is not reported.
 
 Texts without any word that every known sentence has (``MARKERS``) can't match and are passed over. All work stays in one
@@ -10,6 +11,8 @@ scan. NULL and empty texts hold no licence; a sentence that occurs again counts
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +60,23 @@ RULES = [
     ("cc-by-nc-notice", "CC-BY-NC-4.0", "non-commercial", [4]),
     ("mpl-notice", "MPL-2.0", "copyleft", [17]),
 ]
+# Canonical wordings that the sentences above cut differently, with the sentences they stand for.
+WORDINGS = {
+    f"{SENTENCES[2]} the license": [2],
+    f"{SENTENCES[2]} the license {SENTENCES[8]}": [2, 8],
+    f"{SENTENCES[9]} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+    "basis without warranties or conditions of any kind either express or implied": [9],
+    f"{SENTENCES[5]} {SENTENCES[6]}": [5, 6],
+}
 #: Each known sentence holds one of these words.
 MARKERS = ("license", "permission", "warranty", "licensed")
 
+PLACE = "\\n[0-9]+\\t"
 CUT = "[.!?:;]+[ \\t\\r]*\\n+|[.!?]+[ \\t\\r]+|\\n+"
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
+    """Normalised pieces of a text, in order."""
     return F.transform(F.split(F.lower(text), CUT), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
@@ -72,14 +84,26 @@ def rule_pattern(ids: list[int]) -> str:
     return "," + ",([0-9]+,)*".join(map(str, ids)) + ","
 
 
+def run_pattern(wordings: Iterable[str]) -> str:
+    """Numbered pieces in a row that together are one of the wordings, the longest first."""
+    longest = sorted(wordings, key=len, reverse=True)
+    return f"{PLACE}(?:{'|'.join(words.replace(' ', f'(?: |{PLACE})') for words in longest)})(?=\\n)"
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, rule, licence, kind, first_sentence, n_sentences): each rule that holds in a text, with the place of its first sentence (from 0)."""
-    known = F.create_map(*[F.lit(x) for number, sentence in SENTENCES.items() for x in (sentence, number)])
+    wordings = {sentence: [number] for number, sentence in SENTENCES.items()} | WORDINGS
+    known = F.create_map(*[x for words, ids in wordings.items() for x in (F.lit(words), F.array(*map(F.lit, ids)))])
     marked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         " OR ".join(f"contains(lower(text), '{word}')" for word in MARKERS))
-    numbers = marked.select("id", F.transform(sentences(F.col("text")), lambda s: F.element_at(known, s)).alias("numbers"))
-    found = numbers.where("exists(numbers, x -> x IS NOT NULL)").withColumn(
-        "line", F.concat(F.lit(","), F.array_join("numbers", ","), F.lit(",")))
+    # Pieces with words, each after its place (from 0); a known sentence may run on over the places of the next.
+    numbered = F.transform(sentences(F.col("text")), lambda s, i: F.when(s != "", F.concat(F.lit("\n"), i.cast("string"), F.lit("\t"), s)))
+    runs = F.regexp_extract_all(F.concat(F.array_join(numbered, ""), F.lit("\n")), F.lit(run_pattern(wordings)), F.lit(0))
+    matched = marked.select("id", F.transform(runs, lambda run: F.struct(
+        F.regexp_extract(run, "[0-9]+", 0).cast("int").alias("place"),
+        F.element_at(known, F.trim(F.regexp_replace(run, PLACE, " "))).alias("numbers"))).alias("matches"))
+    found = matched.where("size(matches) > 0").withColumn(
+        "line", F.concat(F.lit(","), F.array_join(F.flatten("matches.numbers"), ","), F.lit(",")))
     held = []
     for name, licence, kind, ids in RULES:
         longer = [other for _, other_licence, _, other in RULES if len(other) > len(ids) and set(ids) <= set(other)]
@@ -88,7 +112,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             holds &= ~F.col("line").rlike(rule_pattern(other))
         held.append(F.when(holds, F.struct(
             F.lit(name).alias("rule"), F.lit(licence).alias("licence"), F.lit(kind).alias("kind"),
-            (F.array_position("numbers", ids[0]) - 1).cast("int").alias("first_sentence"), F.lit(len(ids)).alias("n_sentences"))))
+            F.expr(f"filter(matches, m -> array_contains(m.numbers, {ids[0]}))[0].place").alias("first_sentence"), F.lit(len(ids)).alias("n_sentences"))))
     return found.select("id", F.explode(F.array_compact(F.array(*held))).alias("held")).select("id", "held.*")
 
 

@@ -314,6 +314,58 @@ def test_licence_rules(spark):
     assert licences.scan(frame(spark, []).limit(0)).count() == 0
 
 
+def test_wrapped_originals(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."""
+    commented = ["\n".join(f"{mark} {line}" for line in text.split("\n")) for mark, text in ((" *", apache), ("#", gpl), ("//", mit))]
+    texts = [mit, apache, gpl, mpl, "/*\r\n" + commented[0].replace("\n", "\r\n") + "\r\n */", *commented[1:], " ".join(mit.split()), " ".join(apache.split()),
+             " ".join(gpl.split()), "It was licensed under\nthe MIT license.", "Released under the MIT\nlicense plate."]
+    got = {(r.id, r.rule, r.first_sentence) for r in licences.scan(frame(spark, texts)).collect()}
+    assert {(i, rule) for i, rule, _ in got} == {
+        (0, "mit-text"), (1, "apache-header"), (2, "gpl-header"), (3, "mpl-notice"), (4, "apache-header"), (5, "gpl-header"), (6, "mit-text"),
+        (8, "apache-header"), (9, "gpl-header")}
+    assert {i: place for i, _, place in got if i < 4} == {0: 2, 1: 0, 2: 0, 3: 0}
+
+
 # 7 neighbours
 
 def test_neighbours_equal_brute_force(spark, monkeypatch):
