@@ -2,9 +2,10 @@
 
 A page becomes a tree whose leaves are text blocks. Each block passes points for its length and commas to the elements
 around it: all to the nearest, half to the next, less further out. Points are discounted by link density. The best
-element, raised to the article or main element that holds it, and its well scored siblings are kept. Elements that are
-never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are
-left out by their tag, role or class words, wherever they stand.
+element, raised to the article or main element that holds it, is kept, and so is all other text of the page, however short, but
+what stands outside the main element of such a page, and elements and blocks that are mostly links outside the best one and outside
+articles. Elements that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+reader comments) are left out by their tag, role or class words, wherever they stand.
 
 Blocks come in page order, joined by one line feed; character references are decoded and white space inside a block
 is one space. NULL, empty and text-free pages give an empty text. Broken markup is read as far as it goes: unclosed
@@ -74,8 +75,8 @@ class _Element:
                 or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""))
 
 
-def blocks_of(html: str) -> list[tuple[str, _Element]]:
-    """Text blocks of a page in order, each with its element; none of elements that are never main text."""
+def blocks_of(html: str) -> list[tuple[str, _Element, int]]:
+    """Text blocks of a page in order, each with its element and its link characters; none of elements that are never main text."""
     root = _Element("#root", None, "")
     stack, pieces, out = [root], [], []
     links = link_chars = 0
@@ -87,7 +88,7 @@ def blocks_of(html: str) -> list[tuple[str, _Element]]:
             pieces.clear()
             if text:
                 place = next(e for e in reversed(stack) if e.tag in _BLOCK or e is root)
-                out.append((text, place))
+                out.append((text, place, link_chars))
                 element = place
                 while element:
                     element.chars += len(text)
@@ -160,7 +161,7 @@ def extract(html: str | None) -> str:
     if not blocks:
         return ""
     scored: dict[int, _Element] = {}
-    for text, place in blocks:
+    for text, place, _ in blocks:
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
         element, level = place if place.tag not in ("p", "pre", "li", *_HEADINGS) else place.parent or place, 1
         while element:
@@ -176,18 +177,19 @@ def extract(html: str | None) -> str:
     for element in _line(best):
         if element.tag in ("article", "main"):
             holder = element
-    least = max(10.0, score(best) * 0.2)
-
-    def kept(place: _Element) -> bool:
-        for element in _line(place):
-            if element is holder:
-                return True
-            if element.parent is holder.parent and holder.parent is not None:
-                plain = element.tag in _HEADINGS or (element.tag == "p" and element.chars >= 80 and element.link_chars < element.chars / 4)
-                return holder.tag not in ("article", "main") and (plain or (id(element) in scored and score(element) >= least))
-        return False
-
-    return "\n".join(text for text, place in blocks if kept(place))
+    around = set(map(id, _line(holder)))
+    in_main = any(element.tag == "main" for element in _line(holder))
+
+    def kept(text: str, place: _Element, link_chars: int) -> bool:
+        line = list(_line(place))
+        if any(element is holder or element.tag in ("article", "main") for element in line):
+            return True
+        # A heading may be a link to its section; what it heads decides.
+        beside = [element for element in line if id(element) not in around and element.tag not in _HEADINGS]
+        linked = place.tag not in _HEADINGS and link_chars > len(text) / 2
+        return not in_main and not linked and not any(element.link_chars > element.chars / 2 for element in beside)
+
+    return "\n".join(block[0] for block in blocks if kept(*block))
 
 
 def _line(element: _Element | None) -> Iterator[_Element]:

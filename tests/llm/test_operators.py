@@ -100,6 +100,18 @@ def test_long_page():
     assert html.extract(page).count("\n") == 19_999
 
 
+def test_text_beside_the_best_element():
+    long, short = "Long text, with commas, and more of it. " * 6, "A short section of one paragraph."
+    menu = "<div><a href=/a>One</a> <a href=/b>Two</a></div>"
+    both = html.extract(f"<body>{menu}<article><p>{long}</p></article><article><h2>Next</h2><p>{short}</p></article><footer>F</footer>")
+    assert both == f"{long.strip()}\nNext\n{short}"
+    split = html.extract(f"<body>{menu}<div><p>{long}</p><p>{long}</p><p>{long}</p></div><section><h2><a href=#n>Next</a></h2><p>{short}</p></section>"
+                         f"<p>Brief.</p><div><div><p>{short}</p>{menu}</div></div><nav>N</nav>")
+    assert split == "\n".join([long.strip()] * 3 + ["Next", short, "Brief.", short])
+    assert html.extract(f"<body><div><p>{short}</p></div><main><p>{long}</p></main>") == long.strip()
+    assert html.extract(f"<body><h1>Head</h1><article><p>{long}</p></article><a href=/x>More</a>") == f"Head\n{long.strip()}"
+
+
 # 2 tokens
 
 @settings(max_examples=60, deadline=None)
