@@ -86,7 +86,7 @@ def load_travel_rows(spark, sf):
 SELECT event_id, 0 AS leg_no, json_extract_string(legs, '$[0].origin') AS leg_origin, json_extract_string(legs, '$[0].dest') AS leg_dest FROM ev
 UNION ALL SELECT event_id, 1, json_extract_string(legs, '$[1].origin'), json_extract_string(legs, '$[1].dest') FROM ev"""))
 def explode_legs(spark, sf):
-    return store.explode_legs(load_events(spark, sf))
+    return store.explode_legs(load_events(spark, sf)).drop("leg")
 
 
 def _stored(spark, sf):

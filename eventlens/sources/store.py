@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -114,11 +114,19 @@ def flatten_meta(df: DataFrame, keys: Sequence[str], meta: str = "meta") -> Data
     return out
 
 
+def parse_legs(legs: Column) -> Column:
+    """Whole legs of a JSON list, each a variant; NULL for text that is no list."""
+    return F.try_variant_get(F.try_parse_json(legs), "$", "array<variant>")
+
+
 def explode_legs(df: DataFrame, legs: str = "legs") -> DataFrame:
-    """One row per leg; events without legs keep one row with NULL leg fields."""
-    parsed = F.from_json(legs, "array<struct<origin:string,dest:string>>")
-    rows = df.select("event_id", F.posexplode_outer(parsed).alias("leg_no", "leg"))
-    return rows.select("event_id", "leg_no", F.col("leg.origin").alias("leg_origin"), F.col("leg.dest").alias("leg_dest"))
+    """One row per leg, with all its keys as JSON in ``leg``; events without legs keep one row with NULL leg fields."""
+    rows = df.select("event_id", F.posexplode_outer(parse_legs(F.col(legs))).alias("leg_no", "leg"))
+
+    def part(key: str):
+        return F.try_variant_get("leg", f"$.{key}", "string")
+
+    return rows.select("event_id", "leg_no", part("origin").alias("leg_origin"), part("dest").alias("leg_dest"), F.to_json("leg").alias("leg"))
 
 
 # Accepted names per field of raw travel rows, in order.
@@ -153,7 +161,7 @@ def load_travel_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         return number.cast("bigint")
 
     meta = [(whole(n) if n in ("advance_hours", "stay_nights") else text(n)).alias(n) for n in TRAVEL_META]
-    legs = F.from_json(text("legs"), "array<struct<origin:string,dest:string>>").alias("legs")
+    legs = parse_legs(text("legs")).alias("legs")
     return df.select(
         *keep,
         F.coalesce(pick(TRAVEL_ALIASES["timestamp"]), F.lit("")).alias("timestamp"),

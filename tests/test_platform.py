@@ -1,6 +1,7 @@
 """Sources, plans, streaming and session behaviour."""
 
 import datetime as dt
+import json
 from pathlib import Path
 
 import pytest
@@ -162,3 +163,13 @@ def test_streams_read_a_single_file(spark):
 def test_registered_names():
     names = entry_module.queries()
     assert len(names) > 180 and not any("pipeline" in n or n.startswith("op") for n in names)
+
+
+def test_legs_keep_all_their_keys(spark):
+    legs = [{"origin": "A", "dest": "B", "dep_time": "2024-01-01T10:00Z", "fare": {"amount": 120.5, "class": None}}, {"dest": "C", "stops": [1, 2]}]
+    raw = spark.createDataFrame([(1, json.dumps(legs)), (2, ""), (3, "no json"), (4, '{"origin":"A"}'), (5, None)], "event_id long, legs string")
+    out = store.explode_legs(raw).orderBy("event_id", "leg_no").collect()
+    assert [json.loads(r.leg) for r in out[:2]] == legs
+    assert [(r.event_id, r.leg_no, r.leg_origin, r.leg_dest) for r in out] == [(1, 0, "A", "B"), (1, 1, None, "C"), *[(i, None, None, None) for i in (2, 3, 4, 5)]]
+    meta = {r.event_id: json.loads(r.meta) for r in store.load_travel_rows(raw, ["event_id"]).collect()}
+    assert meta[1]["legs"] == legs and not any(meta[i].get("legs") for i in (2, 3, 4, 5))
