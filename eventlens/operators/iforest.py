@@ -1,9 +1,9 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) with training and scoring on Spark.
 
 Training needs ``trees x sample`` rows however large the input: each tree gets a
-hash-chosen sample and is grown in its own task. The grown forest is bounded by
-the same two parameters, so it can be shipped to every task, where rows are
-scored in Arrow batches.
+sample chosen by its own hash and is grown in its own task. The grown forest is
+bounded by the same two parameters, so it can be shipped to every task, where rows
+are scored in Arrow batches. Depths are normed by the rows that a tree has.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EULER_GAMMA = 0.5772156649015329
-NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double"
+NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double, rows int"
 
 
 def expected_path(n: float) -> float:
@@ -55,26 +55,17 @@ def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
 def sample_rows(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataFrame:
     """Rows with their ``tree``: about ``trees x sample`` in all, chosen by hash.
 
-    Every task decides by itself which of its rows are in, and for which tree.
-    With fewer rows than that, trees share rows, each choosing by its own hash.
+    Every task decides by itself which of its rows are in, and for which trees;
+    each tree chooses by its own hash, so trees may share rows.
     """
-    wanted, total = trees * sample, matrix.count()
-    steps = 1 << 30
-
-    def draw(share: float, *salt) -> Column:
-        return F.pmod(F.xxhash64("event_id", *salt, F.lit(seed)), F.lit(steps)) < F.lit(int(min(share, 1.0) * steps))
-
+    steps = 1 << 62
     # Half as many again, since hashing deals unevenly; a tree drops its surplus.
-    if total > wanted:
-        tree = F.pmod(F.xxhash64("event_id", F.lit(seed + 1)), F.lit(trees)).cast("int")
-        return matrix.where(draw(1.5 * wanted / total)).withColumn("tree", tree)
+    share = int(min(1.5 * sample / max(matrix.count(), 1), 1.0) * steps)
     every = matrix.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return every.where(draw(1.5 * sample / max(total, 1), "tree"))
+    return every.where(F.pmod(F.xxhash64("event_id", "tree", F.lit(seed)), F.lit(steps)) < F.lit(share))
 
 
 def train_forest(matrix: DataFrame, columns: list[str], trees: int, sample: int, seed: int) -> DataFrame:
-    limit = math.ceil(math.log2(max(sample, 2)))
-
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         rng = np.random.default_rng([seed, tree])
@@ -82,24 +73,29 @@ def train_forest(matrix: DataFrame, columns: list[str], trees: int, sample: int,
         points = rows[columns].to_numpy(dtype=float)
         if len(points) > sample:
             points = points[rng.choice(len(points), sample, replace=False)]
-        nodes = [(tree, *node) for node in grow(points, rng, limit)]
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
+        limit = math.ceil(math.log2(max(len(points), 2)))
+        nodes = [(tree, *node, len(points)) for node in grow(points, rng, limit)]
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "depth", "rows"])
 
     return sample_rows(matrix, trees, sample, seed).groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
 def forest_scores(matrix: DataFrame, columns: list[str], trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
-    """(event_id, raw): 2 ** (-mean depth / expected depth), higher is more unusual."""
+    """(event_id, raw): 2 ** -(mean over trees of depth / expected depth), higher is more unusual.
+
+    Trees of a single row can't tell rows apart and are passed over; without any other tree all rows get 0.5.
+    """
     spark = matrix.sparkSession
     # At most trees x (2 x sample) small rows.
     model = train_forest(matrix, columns, trees, sample, seed).toPandas()
     packed = []
-    for _, part in model.sort_values(["tree", "node"]).groupby("tree"):
-        packed.append(tuple(part[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth")))
-    shipped = spark.sparkContext.broadcast((packed, expected_path(sample)))
+    for _, part in model[model["rows"] > 1].sort_values(["tree", "node"]).groupby("tree"):
+        norm = expected_path(int(part["rows"].iloc[0]))
+        packed.append((*(part[c].to_numpy() for c in ("feature", "cut", "left", "right")), part["depth"].to_numpy() / norm))
+    shipped = spark.sparkContext.broadcast(packed)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, norm = shipped.value
+        forest = shipped.value
         for batch in batches:
             points = batch[columns].to_numpy(dtype=float)
             rows = np.arange(len(points))
@@ -116,7 +112,7 @@ def forest_scores(matrix: DataFrame, columns: list[str], trees: int = 200, sampl
                     goes_left = points[active, feature[node]] <= cut[node]
                     at[active] = np.where(goes_left, left[node], right[node])
                 depth += leaf_depth[at]
-            mean = depth / max(len(forest), 1)
-            yield pd.DataFrame({"event_id": batch["event_id"], "raw": 2.0 ** (-mean / norm)})
+            mean = depth / len(forest) if forest else np.ones(len(points))
+            yield pd.DataFrame({"event_id": batch["event_id"], "raw": 2.0 ** -mean})
 
     return matrix.mapInPandas(score, "event_id bigint, raw double")

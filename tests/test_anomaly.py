@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from eventlens.operators import anomaly as an
 from eventlens.operators import features as ft
 from eventlens.operators.viz import score_by_trailing_z
-from eventlens.operators.iforest import expected_path, forest_scores
+from eventlens.operators.iforest import expected_path, forest_scores, sample_rows
 
 
 @pytest.mark.parametrize("value", [F.lit, lambda _: F.col("amount") - 40, lambda _: F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)])
@@ -50,6 +50,22 @@ def test_forest_ranks_planted_outliers_first(spark):
     assert rows(scores) == rows(again)
 
 
+def test_trees_draw_alike_at_every_size(spark):
+    df = spark.range(4000).select(F.col("id").alias("event_id"), F.rand(3).alias("a"))
+    drawn = sample_rows(df, 20, 32, 7)
+    per_tree = [n for _, n in drawn.groupBy("tree").count().collect()]
+    assert len(per_tree) == 20 and 20 < min(per_tree) and max(per_tree) < 90
+    assert drawn.groupBy("event_id").count().where("count > 1").count() > 0
+
+
+def test_sample_above_the_rows_changes_nothing(spark):
+    df = spark.range(20).select(F.col("id").alias("event_id"), F.rand(3).alias("a"))
+    scores = forest_scores(df, ["a"], trees=30, sample=256)
+    assert rows(scores) == rows(forest_scores(df, ["a"], trees=30, sample=20))
+    assert 0.4 < scores.agg(F.avg("raw")).first()[0] < 0.6
+    assert [r.raw for r in forest_scores(df.limit(1), ["a"], trees=3).collect()] == [0.5]
+
+
 def test_expected_path():
     assert expected_path(1) == 0 and expected_path(2) == 1
     assert expected_path(256) == pytest.approx(10.244, abs=1e-3)
