@@ -104,7 +104,7 @@ def lpa_sql(tail):
 @query("graph_communities", lpa_sql("""
 SELECT l.id, l.label, c.community, c.size FROM l3 l JOIN (SELECT label, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS community FROM l3 GROUP BY label) c ON l.label = c.label"""))
 def graph_communities(spark, sf):
-    return gr.communities(gr.label_propagation(_wide(spark, sf), 3))
+    return gr.communities(gr.label_propagation(_wide(spark, sf)))
 
 
 @query("graph_modularity", lpa_sql("""
@@ -112,4 +112,4 @@ SELECT round(sum(inside / t - power(deg / t, 2)), 6) AS modularity FROM (SELECT
   FROM pairs JOIN l3 a ON a.id = src JOIN l3 b ON b.id = dst GROUP BY a.label)"""))
 def graph_modularity(spark, sf):
     links = _wide(spark, sf)
-    return gr.modularity(links, gr.label_propagation(links, 3)).select(r("modularity").alias("modularity"))
+    return gr.modularity(links, gr.label_propagation(links)).select(r("modularity").alias("modularity"))

@@ -11,6 +11,8 @@ from eventlens.functions.scales import severity
 from eventlens.operators.viz import metric_column, usable_value
 from eventlens.session import materialize
 
+#: Rounds of label propagation in which all nodes may move.
+TOGETHER = 50
 ENTITY_COLUMNS = ["user_id", "account_id", "device_id", "ip", "card_hash"]
 
 
@@ -118,40 +120,60 @@ def neighbors(links: DataFrame) -> DataFrame:
     return both_ways(links).select(F.col("src").alias("node"), F.col("dst").alias("neighbor"))
 
 
-def label_propagation(links: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, label): every node takes its neighbours' heaviest label each round.
+def label_propagation(links: DataFrame) -> DataFrame:
+    """(id, label): every node takes its neighbours' heaviest label each round, until no label moves.
 
     A node's own label votes with the weight of its heaviest link, which keeps
-    two-sided graphs from swapping labels for ever; ties go to the smallest
-    label. Stops when nothing changes.
+    most two-sided graphs from swapping labels; ties go to the smallest label.
+    When a round gives the labels of two rounds ago, or after ``TOGETHER``
+    rounds, only half of the nodes, by a hash that changes with the round, take
+    their new label in each further round, so that none swap for ever.
     """
     pairs = both_ways(links)
     own = pairs.groupBy("src").agg(F.max("weight").alias("weight"))
     votes = materialize(pairs.unionByName(own.select("src", F.col("src").alias("dst"), "weight")), "votes")
     labels = votes.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
-    for turn in range(rounds):
+    before, halves, turn = None, False, 0
+    while True:
         weighed = (
             votes.join(labels, votes["dst"] == labels["id"]).groupBy("src", "label").agg(F.sum("weight").alias("w"))
         )
         # Largest weight, then smallest label: a map-side combined minimum.
         best = weighed.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("nw"), "label")).alias("b"))
         fresh = materialize(best.select(F.col("src").alias("id"), F.col("b.label").alias("label")), f"labels{turn}")
-        moved = fresh.join(labels, ["id", "label"], "left_anti").limit(1).count()
-        labels = fresh
-        if not moved:
-            break
-    return labels
+        if not _differ(fresh, labels):
+            return fresh
+        turn += 1
+        halves = halves or turn >= TOGETHER or (before is not None and not _differ(fresh, before))
+        if halves:
+            moves = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+            mixed = fresh.join(labels.withColumnRenamed("label", "old"), "id")
+            fresh = materialize(mixed.select("id", F.when(moves, F.col("label")).otherwise(F.col("old")).alias("label")), f"labels{turn}")
+        before, labels = labels, fresh
+
+
+def _differ(some: DataFrame, others: DataFrame) -> bool:
+    return some.join(others, ["id", "label"], "left_anti").limit(1).count() > 0
 
 
 def communities(labels: DataFrame) -> DataFrame:
     """(id, community): numbered by size, ties by label.
 
-    The link graph behind it is cut to ``max_nodes``, so the list of labels is
-    small; for larger graphs keep the labels themselves.
+    Labels are dealt by ranges of (size, label) and numbered within each range,
+    from the number of labels in the ranges before it.
     """
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("size"), "label")
-    numbered = sizes.select("label", "size", (F.row_number().over(order) - 1).alias("community"))
+    ranges = sizes.repartitionByRange(F.desc("size"), "label").withColumn("part", F.spark_partition_id())
+    ranges = materialize(ranges, "label-sizes")
+    # One row for each range.
+    counts, before = sorted(map(tuple, ranges.groupBy("part").count().collect())), 0
+    offsets = []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    offset = labels.sparkSession.createDataFrame(offsets, "part int, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("size"), "label"))
+    numbered = ranges.join(offset, "part").select("label", "size", (F.col("before") + place - 1).alias("community"))
     return labels.join(numbered, "label").select("id", "label", "community", "size")
 
 

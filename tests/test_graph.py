@@ -51,6 +51,32 @@ def test_star_settles(spark):
     assert out.select("label").distinct().count() == 1
 
 
+def test_labels_spread_to_the_end_of_a_path(spark):
+    out = gr.label_propagation(links(spark, [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(14)]))
+    assert rows(out.select("label").distinct()) == [("n00",)]
+
+
+def test_labels_that_swap_settle(spark):
+    # All nodes moving at once swap labels for ever on these links.
+    pairs = [(4, 5, 2), (2, 4, 1), (2, 1, 3), (1, 0, 3), (1, 3, 2), (4, 3, 1), (1, 5, 3)]
+    label = dict(rows(gr.label_propagation(links(spark, [(f"n{a}", f"n{b}", w) for a, b, w in pairs])), "id", "label"))
+    for node in label:
+        ties = [(f"n{b if node == f'n{a}' else a}", w) for a, b, w in pairs if node in (f"n{a}", f"n{b}")]
+        votes = {label[node]: max(w for _, w in ties)}
+        for other, w in ties:
+            votes[label[other]] = votes.get(label[other], 0) + w
+        assert label[node] == min(votes, key=lambda x: (-votes[x], x))
+
+
+def test_communities_are_numbered_by_size_and_label(spark):
+    labels = spark.range(3000).selectExpr("CAST(id AS STRING) AS id", "CONCAT('g', CAST(SQRT(id) * 7 AS INT)) AS label")
+    out = gr.communities(labels)
+    sizes = rows(out.select("community", "label", "size").distinct(), "community", "label", "size")
+    want = sorted(rows(labels.groupBy("label").count()), key=lambda r: (-r[1], r[0]))
+    assert [r[1:] for r in sorted(sizes)] == want and sorted(r[0] for r in sizes) == list(range(len(want)))
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nodes_links_and_degree(spark):
     edges = links(spark, [("user_id:1", "ip:a", 5), ("user_id:1", "ip:b", 3), ("user_id:2", "ip:b", 1)])
     nodes, kept = gr.graph_nodes(edges, 3)
