@@ -36,15 +36,17 @@ def _slot(seeds: np.ndarray) -> np.ndarray:
 
 
 def _items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (item, words, seeds, size) of the benchmark."""
+    """Rows (item, size, words, seeds, times) of the benchmark: each distinct seed and its number of places."""
     for batch in sliced(batches, "text"):
         words = words_of(batch.column("text"))
         seeds, at = shingles_of(words, SEED, short=False)
         spans = list(zip(words.first[:-1], words.first[1:], strict=True))
+        counted = [np.unique(seeds[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_pydict({
             "item": batch.column("id"), "size": np.diff(words.first).astype(np.int32),
             "words": pa.array([words.hash[a:b].tobytes() for a, b in spans], pa.binary()),
-            "seeds": pa.array([np.unique(seeds[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64())),
+            "seeds": pa.array([x.view(np.int64) for x, _ in counted], pa.list_(pa.int64())),
+            "times": pa.array([n.astype(np.int32) for _, n in counted], pa.list_(pa.int32())),
         })
 
 
@@ -138,7 +140,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """Rows (id, item, size, tiles, covered, longest, coverage) of documents that hold a test item."""
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("id IS NOT NULL")
     item_type = items.schema["id"].dataType.simpleString()
-    items = materialize(items.mapInArrow(_items, f"item {item_type}, size int, words binary, seeds array<long>"), "items")
+    items = materialize(items.mapInArrow(_items, f"item {item_type}, size int, words binary, seeds array<long>, times array<int>"), "items")
     slots = items.select(F.explode("seeds").alias("seed")).select(F.shiftrightunsigned("seed", 64 - BITS).alias("slot")).distinct()
     bitmap = np.zeros(1 << BITS, bool)
     bitmap[slots.toPandas()["slot"].to_numpy(dtype=np.int64)] = True
@@ -146,9 +148,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     id_type = texts.schema["id"].dataType.simpleString()
     hits = texts.mapInArrow(_hits(np.packbits(bitmap).tobytes()), f"id {id_type}, places binary, words binary, seeds array<long>")
     hits = materialize(hits.withColumn("copy", F.xxhash64("places", "words")), "hits")
-    seeds = items.select("item", "size", F.explode("seeds").alias("seed"))
+    seeds = items.select("item", "size", F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("item", "size", "s.times", F.col("s.seeds").alias("seed"))
     shared = hits.select("id", "copy", F.explode("seeds").alias("seed")).join(seeds, "seed")
-    pairs = shared.groupBy("id", "copy", "item").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    # Each word that tiles can cover stands in a place of a shared seed; the item may repeat a seed.
+    pairs = shared.groupBy("id", "copy", "item").agg(F.sum("times").alias("n"), F.max("size").alias("size"))
     pairs = pairs.where(F.col("n") * SEED >= coverage * F.col("size")).select("id", "copy", "item")
     both = pairs.join(hits.select("id", "copy", "places", "words").dropDuplicates(["id", "copy"]), ["id", "copy"]).join(
         items.select("item", "size", F.col("words").alias("item_words")), "item")

@@ -489,6 +489,13 @@ def plain_tiles(doc, item, least):
         b[j : j + n] = [True] * n
 
 
+def test_repetitive_item_is_found(spark):
+    line = "one two three four five six seven eight "
+    docs, bench = frame(spark, [f"Before it {line * 25} after it", "one two three four five"]), spark.createDataFrame([(1, line * 25)], "item_id long, text string")
+    got = [(r.id, r.item, r.size, r.tiles, r.covered) for r in decontaminate.matches(docs, bench).collect()]
+    assert got == [(0, 1, 200, 1, 200)]
+
+
 def test_tiles_equal_plain_ones():
     rng = np.random.default_rng(10)
     for _ in range(60):
