@@ -243,6 +243,15 @@ def test_join_of_odd_tables(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "None", "None"]
 
 
+def test_join_of_ids_with_several_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 60, 5000) for _ in range(3))
+    df = spark.createDataFrame([(5, a), (5, b), (2, f"{a} more"), (7, f"{b} more"), (7, f"{b} more"), (9, c), (5, "")], "doc_id long, text string")
+    assert Counter((r.id, r.component_id) for r in jaccard.join(df).collect()) == {(5, 2): 2, (2, 2): 1, (7, 2): 2, (9, 9): 1, (5, 5): 1}
+    batch = pa.RecordBatch.from_pydict({"text": [a, b], "cls": pa.array([jaccard._sets(pa.RecordBatch.from_pydict({"text": [a]}))[2][0]] * 2)})
+    assert [x.num_rows for x in jaccard._as_sets([batch])] == [1]
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(i, i + 1) for i in range(70)] + [(200, i) for i in range(201, 260)] + [(400, 401), (401, 400), (300, 300)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
