@@ -21,7 +21,6 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _BASE = 0x9E3779B97F4A7C15
 _CODES = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_CODES[IS_SPACE] = 0
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 _STEP = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
                   0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
@@ -80,9 +79,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def words_of(column: pa.Array) -> Words:
+def words_of(column: pa.Array, is_space: np.ndarray = IS_SPACE) -> Words:
+    """Words of each row; ``is_space`` marks the 256 byte values that stand between words."""
     data, at = buffers(column)
-    inner = ~IS_SPACE[data]
+    codes = np.where(is_space, np.uint64(0), _CODES[LOWER])
+    inner = ~is_space[data]
     opens, closes = inner.copy(), inner.copy()
     opens[1:] &= ~inner[:-1]
     closes[:-1] &= ~inner[1:]
@@ -96,7 +97,7 @@ def words_of(column: pa.Array) -> Words:
         b = max(a + 1, int(np.searchsorted(end, begin[a] + BLOCK, "right")))
         lo, hi = begin[a], end[b - 1]
         up, down = _power_tables(hi - lo)
-        values = _CODES[LOWER[data[lo:hi]]] * up[: hi - lo]
+        values = codes[data[lo:hi]] * up[: hi - lo]
         local = begin[a:b] - lo
         hashes[a:b] = mix(np.add.reduceat(values, local) * down[local])
         a = b
