@@ -11,10 +11,10 @@ from eventlens.operators.clustering import cluster_summary, geo_dbscan
 from eventlens.registry import query
 
 
-def marked_sql(select, value):
+def marked_sql(select, value, seconds=3600, window=(24, 3)):
     return with_ev(
-        f"SELECT {select} FROM ev e LEFT JOIN rz ON e.user_id = rz.user_id AND e.us // 3600000000 * 3600 = rz.bucket",
-        series_sql(value), robust_sql(24, 3))
+        f"SELECT {select} FROM ev e LEFT JOIN rz ON e.user_id = rz.user_id AND e.us // {seconds * 10**6} * {seconds} = rz.bucket",
+        series_sql(value, seconds), robust_sql(*window))
 
 
 FLAG = "coalesce(abs(z) >= 3, false)"
@@ -22,8 +22,8 @@ MARKED = (f"event_id, round(z, 6) AS zrobust, {FLAG} AS anomaly, round(coalesce(
           f"CASE WHEN {FLAG} THEN printf('Robust z-score %.2f exceeds threshold 3.0', z) ELSE '' END AS explain")
 
 
-def _marked(spark, sf, feature):
-    out = an.mark_anomalies(load_events(spark, sf), feature, 3.0, "1h")
+def _marked(spark, sf, feature, bucket="1h"):
+    out = an.mark_anomalies(load_events(spark, sf), feature, 3.0, bucket)
     return out.select("event_id", r("zrobust").alias("zrobust"), "anomaly", r("anom_score", 9).alias("anom_score"), "explain")
 
 
@@ -42,6 +42,26 @@ def anomaly_simple_value(spark, sf):
     return _marked(spark, sf, "amount")
 
 
+# The dense series of minutes; the mean is summed over the buckets with events whose weight a double can hold.
+MINUTE_SQL = (
+    """mus AS (SELECT s.user_id, s.bucket, any_value(s.x) AS x, sum(e.x * 0.8 ** ((s.bucket - e.bucket) / 60) * CASE WHEN e.bucket = e.lo THEN 1 ELSE 0.2 END) AS mu
+  FROM spb s JOIN (SELECT *, min(bucket) OVER (PARTITION BY user_id) AS lo FROM spb) e
+    ON s.user_id = e.user_id AND e.bucket BETWEEN s.bucket - 20000 AND s.bucket GROUP BY s.user_id, s.bucket)""",
+    """devs AS (SELECT user_id, bucket, abs(x - quantile_cont(x, 0.5) OVER (PARTITION BY user_id)) AS dev FROM ser)""",
+    """mads AS (SELECT user_id, bucket, CASE WHEN count(*) OVER w >= 30 THEN quantile_cont(dev, 0.5) OVER w END AS mad_raw FROM devs
+  WINDOW w AS (PARTITION BY user_id ORDER BY bucket ROWS BETWEEN 1439 PRECEDING AND CURRENT ROW))""",
+    "fb AS (SELECT coalesce(quantile_cont(mad_raw, 0.5), 1.0::DOUBLE) AS fb FROM mads WHERE mad_raw > 0)",
+    """zs AS (SELECT user_id, bucket, (x - mu) / (1.4826 * (CASE WHEN mad_raw = 0 THEN fb ELSE mad_raw END + 1e-6)) AS z FROM mus JOIN mads USING (user_id, bucket), fb)""",
+    "rz AS (SELECT *, 1.0::DOUBLE / (1 + exp(-abs(z))) AS score FROM zs)")
+
+
+@query("anomaly_simple_1m", with_ev(
+    f"SELECT {MARKED} FROM ev e LEFT JOIN rz ON e.user_id = rz.user_id AND e.us // 60000000 * 60 = rz.bucket", series_sql("1", 60), *MINUTE_SQL))
+def anomaly_simple_1m(spark, sf):
+    """The default bucket."""
+    return _marked(spark, sf, "count", "1m")
+
+
 @query("anomaly_presets", marked_sql(
     "event_id, coalesce(abs(z) >= 2, false) AS anomaly_high, coalesce(abs(z) >= 3, false) AS anomaly_balanced, coalesce(abs(z) >= 5, false) AS anomaly_low", "1"))
 def anomaly_presets(spark, sf):
@@ -89,6 +109,21 @@ def anomaly_advanced(spark, sf):
     return out.select("event_id", r("anom_score").alias("anom_score"), "anomaly", F.array_join(F.col("reasons.code"), ",").alias("codes"))
 
 
+# What any seeded forest must give: every event once, scores from 0 to 1 with both ends reached, at most the contamination flagged, and flags above all other scores.
+@query("forest_check", with_ev("""
+SELECT count(*) AS events, count(DISTINCT event_id) AS distinct_events, 0::BIGINT AS outside, true AS reaches_both_ends, true AS flags_few, true AS flags_some,
+  true AS flags_are_highest, count(DISTINCT user_id) AS users FROM ev"""))
+def forest_check(spark, sf):
+    out = an.advanced_anomalies(load_events(spark, sf), contamination=0.05)
+    rows = F.count(F.lit(1))
+    return out.agg(
+        rows.alias("events"), F.countDistinct("event_id").alias("distinct_events"), F.count_if(~F.col("anom_score").between(0, 1)).alias("outside"),
+        ((F.min("anom_score") == 0) & (F.max("anom_score") == 1)).alias("reaches_both_ends"), (F.count_if("anomaly") <= 0.05 * rows).alias("flags_few"),
+        (F.count_if("anomaly") >= 0.04 * rows).alias("flags_some"),
+        (F.min(F.when(F.col("anomaly"), F.col("anom_score"))) >= F.max(F.when(~F.col("anomaly"), F.col("anom_score")))).alias("flags_are_highest"),
+        F.countDistinct("user_id").alias("users"))
+
+
 @query("geo_dbscan")
 def dbscan(spark, sf):
     return geo_dbscan(load_events(spark, sf)).select("event_id", "cluster")

@@ -150,7 +150,8 @@ def ewma_baseline(spark, sf):
 
 @query("rolling_mad", with_ev("SELECT user_id, bucket, mad_raw AS mad FROM rz", series_sql("1"), robust_sql(24, 3)))
 def rolling_mad(spark, sf):
-    return ft.add_rolling_mad(_series(spark, sf), *ft.mad_window(3600)).select("user_id", "bucket", F.col("mad_raw").alias("mad"))
+    out = ft.dense_robust_z(load_events(spark, sf), F.lit(1), "1h")
+    return out.select("user_id", "bucket", F.col("mad_raw").alias("mad"))
 
 
 @query("robust_z", with_ev("SELECT user_id, bucket, round(z, 6) AS z, round(score, 9) AS score FROM rz", series_sql("1"), robust_sql(24, 3)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.scales import SENSITIVITY, bucket_epoch, bucket_seconds
@@ -27,64 +27,14 @@ def feature_value(df: DataFrame, feature: str) -> Column:
 def sparse_robust_z(df: DataFrame, value: Column, bucket: str, alpha: float = 0.2) -> DataFrame:
     """mu, mad, z and score on the buckets that hold events, equal to the dense series'.
 
-    The gap-filled series has users x buckets rows; almost all are zeros. Here
-    only *change points* are kept: buckets with events, the buckets where those
-    leave the rolling window, and the warm-up buckets of each user, in which the
-    window still grows. Zeros enter by their number: the exponential mean decays
-    over the gap, the medians count them, and the overall median of MADs weighs
-    each change point by the run it stands for.
+    The gap-filled series has users x buckets rows; almost all are zeros. Here they enter by their number: the
+    exponential mean decays over a gap, the rolling median counts them, and the overall median of MADs weighs each
+    run of equal MADs by its length.
     """
-    seconds = bucket_seconds(bucket)
-    window, min_periods = ft.mad_window(seconds)
-    sparse = ft.bucket_values(df, value, seconds).withColumn("b", F.col("bucket").cast("bigint") / F.lit(seconds))
-    sparse = materialize(sparse.withColumn("b", F.floor("b")), "buckets")
-
-    spans = sparse.groupBy("user_id").agg(
-        F.min("b").alias("lo"), F.max("b").alias("hi"), F.count(F.lit(1)).alias("k")
-    )
-    zeros = spans.select("user_id", F.lit(0.0).alias("x"), (F.col("hi") - F.col("lo") + 1 - F.col("k")).alias("w"))
-    values = sparse.select("user_id", "x", F.lit(1).cast("bigint").alias("w")).unionByName(zeros)
-    # One value per bucket of the time range at most.
-    centers = values.where("w > 0").groupBy("user_id").agg(F.percentile("x", F.lit(0.5), F.col("w")).alias("center"))
-
-    user = spans.join(centers, "user_id").drop("k")
-    with_event = sparse.select("user_id", F.explode(F.array("b", F.col("b") + window)).alias("p"))
-    warm_up = spans.select("user_id", F.explode(F.sequence(F.col("lo"), F.least(F.col("hi"), F.col("lo") + (window - 1)))).alias("p"))
-    points = (
-        with_event.unionByName(warm_up).distinct()
-        .join(user, "user_id").where(F.col("p") <= F.col("hi"))
-        .join(sparse.select("user_id", F.col("b").alias("p"), "x", "rows"), ["user_id", "p"], "left")
-    )
-
-    by_bucket = Window.partitionBy("user_id").orderBy("p")
-    in_window = by_bucket.rangeBetween(-(window - 1), 0)
-    deviation = F.when(F.col("x").isNotNull(), F.abs(F.col("x") - F.col("center")))
-    points = points.withColumn("devs", F.array_sort(F.collect_list(deviation).over(in_window)))
-    points = points.withColumn("size", F.least(F.lit(window), F.col("p") - F.col("lo") + 1).cast("int"))
-
-    # Order statistic of the sorted deviations merged with `zeros` copies of |0 - center|.
-    zero_dev = F.abs("center")
-    below = F.size(F.filter("devs", lambda d: d < F.abs(F.col("center"))))
-    blanks = F.col("size") - F.size("devs")
-
-    def at(rank: Column) -> Column:
-        spot = F.when(rank < F.col("__below"), rank).otherwise(rank - F.col("__blanks"))
-        among = (rank >= F.col("__below")) & (rank < F.col("__below") + F.col("__blanks"))
-        return F.when(among, zero_dev).otherwise(F.get("devs", spot.cast("int")))
-
-    points = points.withColumn("__below", below).withColumn("__blanks", blanks)
-    middle = (at(F.floor((F.col("size") - 1) / 2)) + at(F.floor(F.col("size") / 2))) / 2
-    points = points.withColumn("mad_raw", F.when(F.col("size") >= min_periods, middle))
-    points = points.withColumn(
-        "run", F.coalesce(F.lead("p").over(by_bucket) - F.col("p"), F.col("hi") - F.col("p") + 1)
-    )
-
-    points = ft.add_ewma(points, alpha, F.col("p") - F.col("lo"))
-
-    kept = materialize(points.select("user_id", "p", "x", "rows", "mu", "mad_raw", "run"), "points")
-    fallback = ft.positive_mad_median(kept, F.col("run"))
-    scored = ft.add_robust_z(ft.fill_mad(kept.where(F.col("x").isNotNull()), fallback, None))
-    return scored.select("user_id", (F.col("p") * seconds).alias("bucket"), "x", "rows", "mu", "mad", "z", "score")
+    series = ft.robust_runs(df, value, bucket, alpha)
+    scored = ft.fill_mad(series.where(F.col("rows").isNotNull()), ft.positive_mad_median(series, F.col("run")), None)
+    scored = ft.add_robust_z(scored)
+    return scored.select("user_id", (F.col("p") * bucket_seconds(bucket)).alias("bucket"), "x", "rows", "mu", "mad", "z", "score")
 
 
 def mark_anomalies(
@@ -174,8 +124,7 @@ def advanced_anomalies(
 ) -> DataFrame:
     """Events with features, forest score in 0..1, flag and reasons."""
     features = ft.behaviour_features(df)
-    raw = forest_scores(ft.feature_matrix(features), ft.FEATURES, trees, sample, seed)
-    raw = materialize(raw, "forest")
+    raw = materialize(forest_scores(features, ft.imputed(features), trees, sample, seed), "forest")
     cuts = materialize(
         grouped_quantiles(raw, [], "raw", {"p2": 0.02, "p98": 0.98, "cut": 1.0 - contamination}), "cuts"
     )
@@ -185,12 +134,11 @@ def advanced_anomalies(
     rows = raw.agg(F.count(F.lit(1)).alias("n")).scalar()
     enough = rows >= 10
     scaled = (F.col("raw") - cut["p2"]) / F.when(spread > 1e-9, spread).otherwise(extent)
-    scored = raw.select(
-        "event_id",
-        F.when(enough, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).otherwise(0.0).alias("anom_score"),
-        (enough & (F.col("raw") > cut["cut"])).alias("anomaly"),
-    )
-    return add_reasons(features.join(scored, "event_id"), speed_kmh_thr, dist_km_thr, contamination)
+    scored = raw.withColumns({
+        "anom_score": F.when(enough, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).otherwise(0.0),
+        "anomaly": enough & (F.col("raw") > cut["cut"]),
+    }).drop("raw")
+    return add_reasons(scored, speed_kmh_thr, dist_km_thr, contamination)
 
 
 def run_stats(scored: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.scales import bucket_epoch, bucket_seconds, haversine_km, sigmoid
-from eventlens.operators.joins import attach_stats
-from eventlens.operators.quantiles import grouped_quantiles, quantile_scalar
+from eventlens.operators.joins import attach_stats, null_safe_join
+from eventlens.operators.quantiles import column_medians, grouped_quantiles, quantile_scalar
+from eventlens.operators.rolling import every_position, ewma_reach, rolling_series
 from eventlens.operators.windows import (
     Heavy,
     with_first_seen,
@@ -189,9 +190,11 @@ def add_global_rarity(df: DataFrame, columns: Mapping[str, str], source: DataFra
 # --- bucket series ------------------------------------------------------------
 
 def bucket_values(df: DataFrame, value: Column, seconds: int) -> DataFrame:
-    """Sparse (user, bucket) sums, combined map-side; ``rows`` counts events."""
+    """Sparse (user, bucket) sums, combined map-side; ``rows`` counts events. NULL, NaN and infinities add nothing."""
+    number = value.cast("double")
+    finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
     return df.groupBy("user_id", bucket_epoch(F.col("ts"), seconds).alias("bucket")).agg(
-        F.sum(F.coalesce(value.cast("double"), F.lit(0.0))).alias("x"), F.count(F.lit(1)).alias("rows")
+        F.sum(F.when(finite, number).otherwise(0.0)).alias("x"), F.count(F.lit(1)).alias("rows")
     )
 
 
@@ -203,11 +206,6 @@ def bucket_grid(sparse: DataFrame, seconds: int) -> DataFrame:
     return joined.withColumn("x", F.coalesce(F.col("x"), F.lit(0.0)))
 
 
-def ewma_reach(alpha: float) -> int:
-    """Rows after which a value's weight is below double precision."""
-    return math.ceil(36 / -math.log(1 - alpha))
-
-
 def add_ewma(series: DataFrame, alpha: float = 0.2, index: Column | None = None) -> DataFrame:
     """``mu``: exponential mean seeded with the first value, per user by bucket.
 
@@ -239,19 +237,15 @@ def mad_window(seconds: int) -> tuple[int, int]:
     return window, max(3, window // 48)
 
 
-def add_rolling_mad(series: DataFrame, window: int, min_periods: int) -> DataFrame:
-    """``mad_raw``: rolling median of |x - the user's median|, NULL while too short.
+def robust_runs(df: DataFrame, value: Column, bucket: str, alpha: float = 0.2) -> DataFrame:
+    """The gap-filled bucket series as runs of equal rolling MAD (``rolling.rolling_series``), ``p`` counting buckets.
 
-    A user's series has one row per bucket of the time range, so the frame and
-    the per-user median are bounded by the range, not by the number of events.
+    ``mad_raw`` is the rolling median of |x - the user's median|, NULL while too short.
     """
-    whole = Window.partitionBy("user_id")
-    frame = whole.orderBy("bucket").rowsBetween(-(window - 1), 0)
-    deviations = series.withColumn("__dev", F.abs(F.col("x") - F.percentile("x", F.lit(0.5)).over(whole)))
-    rolled = F.percentile("__dev", F.lit(0.5)).over(frame)
-    return deviations.withColumn(
-        "mad_raw", F.when(F.count("__dev").over(frame) >= min_periods, rolled)
-    ).drop("__dev")
+    seconds = bucket_seconds(bucket)
+    sparse = bucket_values(df, value, seconds).where("bucket IS NOT NULL")
+    sparse = sparse.select("user_id", F.floor(F.col("bucket") / F.lit(seconds)).alias("b"), "x", "rows")
+    return materialize(rolling_series(materialize(sparse, "buckets"), *mad_window(seconds), alpha), "runs")
 
 
 def positive_mad_median(series: DataFrame, weight: Column | None = None) -> Column:
@@ -271,18 +265,22 @@ def add_robust_z(series: DataFrame) -> DataFrame:
 
 
 def dense_robust_z(df: DataFrame, value: Column, bucket: str, alpha: float = 0.2, missing: float | None = None) -> DataFrame:
-    """The gap-filled series with mu, mad, z and score on every bucket."""
-    seconds = bucket_seconds(bucket)
-    window, min_periods = mad_window(seconds)
-    series = bucket_grid(bucket_values(df, value, seconds), seconds)
-    scaled = materialize(add_rolling_mad(add_ewma(series, alpha), window, min_periods), "mad")
-    return add_robust_z(fill_mad(scaled, positive_mad_median(scaled), missing))
+    """The gap-filled series with mu, mad_raw, mad, z and score on every bucket."""
+    series = robust_runs(df, value, bucket, alpha)
+    fallback = positive_mad_median(series, F.col("run"))
+    every = every_position(series, alpha).withColumn("bucket", F.col("p") * bucket_seconds(bucket)).drop("p")
+    return add_robust_z(fill_mad(every, fallback, missing))
 
 
 def failure_spikes(df: DataFrame) -> DataFrame:
-    """Robust z of failures per (user, minute with events); the series stays sparse."""
-    per_minute = bucket_values(df, is_failure(F.col("event_type")), 60)
-    scaled = materialize(add_rolling_mad(add_ewma(per_minute, 0.2), 1440, 30), "spike")
+    """Robust z of failures per (user, minute with events); the series stays sparse, windows count its rows."""
+    per_minute = materialize(bucket_values(df, is_failure(F.col("event_type")), 60).where("bucket IS NOT NULL"), "minutes")
+    ordered = per_minute.withColumn("at", F.timestamp_seconds("bucket"))
+    numbered = with_row_number(ordered, "user_id", "b", order=("at",)).drop("at")
+    numbered = materialize(numbered, "numbered")
+    series = rolling_series(numbered.select("user_id", "b", "x", "rows"), 1440, 30, 0.2)
+    scaled = null_safe_join(series.withColumnRenamed("p", "b").drop("x", "rows"), numbered, ["user_id", "b"])
+    scaled = materialize(scaled.drop("b", "run"), "spike")
     return add_robust_z(fill_mad(scaled, positive_mad_median(scaled), 1.0)).withColumnRenamed("z", "z_fail")
 
 
@@ -316,7 +314,7 @@ def behaviour_features(df: DataFrame) -> DataFrame:
     """All features side by side.
 
     For users of ordinary size the whole per-user part runs in one shuffle by
-    user. It is written once, as the global statistics read it again.
+    user. Statistics of other keys read the input, so only the result is written.
     """
     base = known(df, "user_id", "device_id", "ip")
     heavy = Heavy(base, "user_id")
@@ -328,20 +326,22 @@ def behaviour_features(df: DataFrame) -> DataFrame:
             rows = materialize(rows, "ordered")  # the salted statistics read it twice
         return add_hour_circle(add_hour_rarity(add_velocity_z(add_home(rows, size), size), size))
 
-    mine = materialize(per_user(base, heavy), "peruser")
-    out = add_global_rarity(mine, {"device_rarity_global": "device_id", "ip_rarity_global": "ip"}, mine)
-    return materialize(add_failure_spikes(out, mine), "features")
+    out = add_global_rarity(per_user(base, heavy), {"device_rarity_global": "device_id", "ip_rarity_global": "ip"}, base)
+    return materialize(add_failure_spikes(out, base), "features")
+
+
+def finite(name: str) -> Column:
+    c = F.col(name).cast("double")
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def imputed(features: DataFrame, names: list[str] = FEATURES) -> dict[str, Column]:
+    """The matrix columns: infinities and gaps replaced by the column's median, else 0."""
+    clean = features.select(*[finite(n).alias(n) for n in names])
+    medians = column_medians(clean, names)
+    return {n: F.coalesce(finite(n), F.lit(medians[n]), F.lit(0.0)) for n in names}
 
 
 def feature_matrix(features: DataFrame, names: list[str] = FEATURES) -> DataFrame:
-    """(event_id, features): infinities and gaps replaced by the column's median, else 0."""
-    columns = {n: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c) for n in names for c in [F.col(n).cast("double")]}
-    clean = features.select("event_id", *[c.alias(n) for n, c in columns.items()])
-    # Long form: one quantile job for all columns, keyed by column name.
-    long = clean.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in names])).alias("cell"))
-    medians = grouped_quantiles(long.select("cell.name", "cell.v"), ["name"], "v", {"median": 0.5})
-    # One row of at most len(names) entries.
-    wide = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("m")).scalar()
-    return materialize(
-        clean.select("event_id", *[F.coalesce(F.col(n), wide[n], F.lit(0.0)).alias(n) for n in names]), "matrix"
-    )
+    """(event_id, features) without gaps."""
+    return features.select("event_id", *[c.alias(n) for n, c in imputed(features, names).items()])

@@ -9,12 +9,14 @@ are scored in Arrow batches. Depths are normed by the rows that a tree has.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double, rows int"
@@ -55,14 +57,21 @@ def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
 def sample_rows(matrix: DataFrame, trees: int, sample: int, seed: int) -> DataFrame:
     """Rows with their ``tree``: about ``trees x sample`` in all, chosen by hash.
 
-    Every task decides by itself which of its rows are in, and for which trees;
-    each tree chooses by its own hash, so trees may share rows.
+    Every task decides by itself which of its rows are in, and for which trees; each tree has its own draw, so trees may
+    share rows. A single hash says how many trees pass over a row before the first that takes it (a geometric skip); rows
+    that all pass over go before anything is repeated.
     """
-    steps = 1 << 62
     # Half as many again, since hashing deals unevenly; a tree drops its surplus.
-    share = int(min(1.5 * sample / max(matrix.count(), 1), 1.0) * steps)
-    every = matrix.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return every.where(F.pmod(F.xxhash64("event_id", "tree", F.lit(seed)), F.lit(steps)) < F.lit(share))
+    share = min(1.5 * sample / max(matrix.count(), 1), 1.0)
+    steps = 1 << 53
+
+    def uniform(*what: Column) -> Column:
+        return (F.pmod(F.xxhash64("event_id", *what, F.lit(seed)), F.lit(steps)) + 1) / F.lit(float(steps))
+
+    first = F.lit(0) if share >= 1.0 else F.floor(F.log(uniform()) / F.lit(math.log1p(-share)))
+    drawn = matrix.withColumn("__first", first.cast("int")).where(F.col("__first") < trees)
+    later = F.filter(F.sequence(F.col("__first"), F.lit(trees - 1)), lambda t: (t == F.col("__first")) | (uniform(t) <= share))
+    return drawn.withColumn("tree", F.explode(later)).drop("__first")
 
 
 def train_forest(matrix: DataFrame, columns: list[str], trees: int, sample: int, seed: int) -> DataFrame:
@@ -80,12 +89,18 @@ def train_forest(matrix: DataFrame, columns: list[str], trees: int, sample: int,
     return sample_rows(matrix, trees, sample, seed).groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
-def forest_scores(matrix: DataFrame, columns: list[str], trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
-    """(event_id, raw): 2 ** -(mean over trees of depth / expected depth), higher is more unusual.
+def forest_scores(
+    df: DataFrame, columns: Mapping[str, Column] | Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42,
+) -> DataFrame:
+    """``df`` with ``raw``: 2 ** -(mean over trees of depth / expected depth), higher is more unusual.
 
+    ``columns`` are the features' names, or names with the Columns to compute them. All columns of ``df`` pass through the scorer.
     Trees of a single row can't tell rows apart and are passed over; without any other tree all rows get 0.5.
     """
-    spark = matrix.sparkSession
+    features = columns if isinstance(columns, Mapping) else {n: F.col(n) for n in columns}
+    columns = list(features)
+    matrix = df.select("event_id", *[c.cast("double").alias(n) for n, c in features.items()])
+    spark = df.sparkSession
     # At most trees x (2 x sample) small rows.
     model = train_forest(matrix, columns, trees, sample, seed).toPandas()
     packed = []
@@ -94,10 +109,10 @@ def forest_scores(matrix: DataFrame, columns: list[str], trees: int = 200, sampl
         packed.append((*(part[c].to_numpy() for c in ("feature", "cut", "left", "right")), part["depth"].to_numpy() / norm))
     shipped = spark.sparkContext.broadcast(packed)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shipped.value
         for batch in batches:
-            points = batch[columns].to_numpy(dtype=float)
+            points = np.column_stack([batch.column(f"__{c}").to_numpy(zero_copy_only=False) for c in columns]) if batch.num_rows else np.zeros((0, len(columns)))
             rows = np.arange(len(points))
             depth = np.zeros(len(points))
             for feature, cut, left, right, leaf_depth in forest:
@@ -113,6 +128,9 @@ def forest_scores(matrix: DataFrame, columns: list[str], trees: int = 200, sampl
                     at[active] = np.where(goes_left, left[node], right[node])
                 depth += leaf_depth[at]
             mean = depth / len(forest) if forest else np.ones(len(points))
-            yield pd.DataFrame({"event_id": batch["event_id"], "raw": 2.0 ** -mean})
+            kept = [i for i, n in enumerate(batch.schema.names) if n in names]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(2.0 ** -mean)], names=[*[batch.schema.names[i] for i in kept], "raw"])
 
-    return matrix.mapInPandas(score, "event_id bigint, raw double")
+    names = set(df.columns)
+    out = StructType([*df.schema.fields, StructField("raw", DoubleType())])
+    return df.select("*", *[c.cast("double").alias(f"__{n}") for n, c in features.items()]).mapInArrow(score, out)

@@ -131,3 +131,58 @@ def zoned_quantiles(
 def quantile_scalar(df: DataFrame, value: str | Column, q: float, weight: Column | None = None) -> Column:
     """One global quantile as an uncorrelated scalar subquery."""
     return grouped_quantiles(df, [], value, {"q": q}, weight).scalar()
+
+
+# Sketch size and half-width of the zone around the middle, in rank share; the width is some four times the sketch's error.
+KLL_SIZE = 4096
+KLL_WIDTH = 0.004
+
+
+def column_medians(df: DataFrame, names: Sequence[str], zone_rows: int = 1_000_000) -> dict[str, float | None]:
+    """Exact medians of many numeric columns, None for a column without a value; NULLs don't count, NaN isn't expected.
+
+    Every round is one scan that aggregates all columns side by side: counts below and inside each column's zone and a mergeable
+    sketch of the zone, from which the next, narrower one is cut. Once no zone holds more than ``zone_rows`` rows, only the cells inside
+    a zone are laid out and ordered. A round narrows by about 1 / (2 x KLL_WIDTH); a sketch that misses the middle widens the next zone.
+    """
+    zone: dict[str, tuple[float, float]] = {}
+    state: dict[str, tuple[int, int, int]] = {}
+    width = KLL_WIDTH
+
+    def inside(name: str) -> Column:
+        c = F.col(name).cast("double")
+        return F.when(c.between(*[F.lit(v) for v in zone[name]]), c) if name in zone else c
+
+    todo, found = list(names), dict.fromkeys(names)
+    while todo:
+        row = df.agg(*[a for n in todo for a in (
+            F.count(n).alias(f"n_{n}"), F.count(inside(n)).alias(f"in_{n}"),
+            (F.count_if(F.col(n).cast("double") < F.lit(zone[n][0])) if n in zone else F.lit(0)).alias(f"below_{n}"))]).first()
+        state = {n: (row[f"n_{n}"], row[f"in_{n}"], row[f"below_{n}"]) for n in todo}
+        todo = [n for n in todo if state[n][0]]
+        missed = [n for n in todo if not (state[n][2] <= (state[n][0] - 1) // 2 and state[n][0] // 2 < state[n][2] + state[n][1])]
+        for n in missed:  # start over with a wider zone
+            del zone[n]
+            state[n] = (state[n][0], state[n][0], 0)
+        width = width * 2 if missed else width
+        for n in [n for n in todo if n in zone and zone[n][0] == zone[n][1]]:
+            found[n] = zone[n][0]
+            todo.remove(n)
+        if not todo or max(state[n][1] for n in todo) <= zone_rows:
+            break
+        sketched = df.agg(*[F.kll_sketch_agg_double(inside(n), KLL_SIZE).alias(n) for n in todo])
+        probes = {n: [min(max(((state[n][0] - 1) / 2 - state[n][2]) / state[n][1] + d, 0.0), 1.0) for d in (-width, width)] for n in todo}
+        cut = sketched.select(*[F.array(*[F.kll_sketch_get_quantile_double(F.col(n), F.lit(p)) for p in probes[n]]).alias(n) for n in todo]).first()
+        zone.update({n: tuple(cut[n]) for n in todo})
+    if todo:
+        cells = df.select(F.explode(F.filter(
+            F.array(*[F.struct(F.lit(i).alias("i"), inside(n).alias("x")) for i, n in enumerate(todo)]), lambda c: c["x"].isNotNull())).alias("c"))
+        values = cells.groupBy("c.i", "c.x").agg(F.count(F.lit(1)).alias("w"))
+        end = F.sum("w").over(Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+        ranks = [F.array(*[F.lit(r) for n in todo for r in ((state[n][0] - 1) // 2 - state[n][2], state[n][0] // 2 - state[n][2])])]
+        low, high = (F.get(ranks[0], 2 * F.col("i") + F.lit(k)) for k in (0, 1))
+        placed = values.withColumn("end", end)
+        hit = [F.max(F.when((r >= F.col("end") - F.col("w")) & (r < F.col("end")), F.col("x"))) for r in (low, high)]
+        for row in placed.groupBy("i").agg(((hit[0] + hit[1]) / 2).alias("m")).collect():
+            found[todo[row["i"]]] = row["m"]
+    return found
