@@ -1,7 +1,7 @@
 """Phrase collocations from depth-truncated suffix subtrees (operator 12).
 
 A text is cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and those into words. The suffixes of all pieces, cut after ``DEPTH`` words or before
-the first word that is too rare for any phrase, are partitioned vertically in the manner of ERA: the suffixes below a word prefix
+the first word or pair of words that is too rare for any phrase, are partitioned vertically in the manner of ERA: the suffixes below a word prefix
 form a subtree, a prefix with more suffixes than ``BUDGET`` is split by its next word, and prefixes are packed into groups that
 fit the budget. Each group is built by itself in one task: its sorted suffixes are its leaves, runs of equal words at each depth are
 its nodes, and a phrase occurs as often as the leaves below its node in total. The few nodes above a split prefix have leaves in several groups;
@@ -9,8 +9,9 @@ their totals are added up. Equal suffixes of a slice of text are counted before
 each slice however frequent it is.
 
 Prefixes are counted and packed by hash slots (``2 ** SLOT_BITS`` for each depth), so what reaches the driver and the tasks has a fixed size: a
-slot stands for all prefixes that fall into it, which are split together. The table of frequent words that cuts suffixes is a bitmap of
-``2 ** WORD_BITS`` bits; a rare word that it lets through costs work and changes nothing, since nodes below the least count are dropped.
+slot stands for all prefixes that fall into it, which are split together. Suffixes are cut by two bitmaps, of the slots of frequent words and of
+the slots where pairs add up to the least count. A rare word or pair that they let through costs work and changes nothing, since nodes below
+the least count are dropped.
 
 NULL texts count as empty, a NULL language as ``und``; empty texts and tables give no rows, texts of any length are taken whole (in
 rows of ``STREAM`` words that overlap by ``DEPTH - 1``). Repeated rows count each time; ids and other columns are not looked at. Of cuts with the
@@ -27,55 +28,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import query, sliced, table, whole_groups
+from eventlens.llm.common import query, release, sliced, table, whole_groups
 from eventlens.llm.words import LOWER, mix, words_of
 from eventlens.session import materialize
 
 #: Longest phrase in words, fewest occurrences of a phrase, phrases of a language.
 DEPTH, LEAST, TOP = 5, 100, 2000
-#: Suffixes of a group, and words of a row of the token table.
-BUDGET, STREAM = 1 << 20, 1 << 18
-#: Slots of the prefix histogram of each depth; bits of the bitmap of frequent words.
-SLOT_BITS, WORD_BITS = 16, 24
+#: Suffixes of a group; words of a row of the token table; suffixes or words that a task holds before it counts equal ones.
+BUDGET, STREAM, CHUNK = 1 << 20, 1 << 15, 1 << 18
+#: Slots (powers of two) of the prefix histogram of each depth, of the bitmap of frequent words, and of the counters of pairs in how many cells.
+SLOT_BITS, WORD_BITS, PAIR_BITS, CELL_BITS = 16, 24, 20, 8
 
 IS_BREAK = np.zeros(256, dtype=bool)
 IS_BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 IS_GAP = IS_BREAK.copy()
 IS_GAP[[0x20, 0x09]] = True
 
-_TOKENS = "lang string, own int, stream binary, seen array<long>, times array<long>, spelt array<string>"
+_TOKENS = "lang string, own int, stream binary"
 _PLACE = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the token table: the words of a language in order with a 0 between pieces, and each distinct word with its count."""
+    """Rows of the token table: the words of a language in order with a 0 between pieces; the last of the next row are repeated."""
     for batch in sliced(batches, "text"):
         words = words_of(batch.column("text"), IS_GAP)
         if not len(words.hash):
             continue
-        langs = batch.column("lang").to_pylist()
+        names, code = np.unique(np.array(batch.column("lang").to_pylist(), dtype=str), return_inverse=True)
+        lang = np.repeat(code, np.diff(words.first))
         hashes = np.maximum(words.hash, np.uint64(1))
         breaks = np.concatenate([[0], np.cumsum(IS_BREAK[words.data])])
         opens = np.append(True, breaks[words.begin[1:]] > breaks[words.end[:-1]])
         opens[words.first[:-1][np.diff(words.first) > 0]] = True
-        lang = np.repeat(np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)[1], np.diff(words.first))
-        for one in sorted(set(langs)):
-            mine = np.flatnonzero(lang == sorted(set(langs)).index(one))
-            if not len(mine):
-                continue
-            own = hashes[mine]
-            seen, at, times = np.unique(own, return_index=True, return_counts=True)
-            spelt = [bytes(LOWER[words.data[words.begin[i] : words.end[i]]]).decode() for i in mine[at].tolist()]
-            stream = np.insert(own, np.flatnonzero(opens[mine]), 0)
+        for i, name in enumerate(names.tolist()):
+            mine = np.flatnonzero(lang == i)
+            stream = np.insert(hashes[mine], np.flatnonzero(opens[mine]), 0)
             for a in range(0, len(stream), STREAM):
-                part, first = stream[a : a + STREAM + DEPTH - 1], a == 0
                 yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([one], pa.string()), "own": pa.array([min(STREAM, len(stream) - a)], pa.int32()),
-                    "stream": pa.array([part.tobytes()], pa.binary()),
-                    "seen": pa.array([seen.view(np.int64) if first else []], pa.list_(pa.int64())),
-                    "times": pa.array([times if first else []], pa.list_(pa.int64())),
-                    "spelt": pa.array([spelt if first else []], pa.list_(pa.string())),
-                })
+                    "lang": pa.array([name], pa.string()), "own": pa.array([min(STREAM, len(stream) - a)], pa.int32()),
+                    "stream": pa.array([stream[a : a + STREAM + DEPTH - 1].tobytes()], pa.binary())})
+
+
+def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, word, n) of a task's words; a word may come more than once."""
+    held: dict[str, list] = {}
+
+    def drained(lang: str) -> pa.RecordBatch:
+        some = held.pop(lang)
+        words, at = np.unique(np.concatenate([w for w, _ in some]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([n for _, n in some])).astype(np.int64)
+        return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": words.view(np.int64), "n": n})
+
+    for batch in batches:
+        for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
+            words = np.frombuffer(stream.as_buffer(), np.uint64)[:own]
+            held.setdefault(lang, []).append(np.unique(words[words != 0], return_counts=True))
+            if sum(len(w) for w, _ in held[lang]) > CHUNK:
+                yield drained(lang)
+    for lang in list(held):
+        yield drained(lang)
+    release()
+
+
+def _spelt(bitmap: bytes):
+    """Rows (lang, word, spelt) of words whose slot is in the bitmap; a word may come more than once."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = np.frombuffer(bitmap, np.uint8), set()
+        for batch in sliced(batches, "text"):
+            words = words_of(batch.column("text"), IS_GAP)
+            hashes = np.maximum(words.hash, np.uint64(1))
+            names, code = np.unique(np.array(batch.column("lang").to_pylist(), dtype=str), return_inverse=True)
+            lang = np.repeat(code, np.diff(words.first))
+            for i, name in enumerate(names.tolist()):
+                mine = np.flatnonzero(lang == i)
+                word, at = np.unique(hashes[mine], return_index=True)
+                hit = _in_bitmap(word, _salt(name), known)
+                new = [(w, x) for w, x in zip(word[hit].tolist(), mine[at[hit]].tolist(), strict=True) if (i, w) not in seen]
+                if len(seen) < CHUNK:
+                    seen.update((i, w) for w, _ in new)
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([name] * len(new), pa.string()), "word": np.array([w for w, _ in new], np.uint64).view(np.int64),
+                    "spelt": pa.array([bytes(LOWER[words.data[words.begin[x] : words.end[x]]]).decode() for _, x in new], pa.string())})
+
+    return work
 
 
 def _salt(lang: str) -> np.uint64:
@@ -94,21 +130,83 @@ def _prefix(suffixes: np.ndarray, depth: int, salt: np.uint64) -> np.ndarray:
     return mix(total)
 
 
-def _suffixes(stream: bytes, own: int, salt: np.uint64, bitmap: np.ndarray) -> np.ndarray:
+def _in_bitmap(words: np.ndarray, salt: np.uint64, bitmap: np.ndarray) -> np.ndarray:
+    slot = _top_bits(mix(words + salt), WORD_BITS)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0
+
+
+def _pair_slot(first: np.ndarray, second: np.ndarray, salt: np.uint64) -> np.ndarray:
+    return _top_bits(mix(first * _PLACE[0] + second * _PLACE[1] + salt), PAIR_BITS)
+
+
+def _suffixes(stream: bytes, own: int, salt: np.uint64, bitmap: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Truncated suffixes that start with a frequent word, 0 behind their end."""
     words = np.frombuffer(stream, np.uint64)
-    slot = _top_bits(mix(words + salt), WORD_BITS)
-    words = np.where((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1, words, np.uint64(0)) * (words != 0)
+    words = np.where(_in_bitmap(words, salt, bitmap), words, np.uint64(0))
     padded = np.append(words, np.zeros(DEPTH, np.uint64))
+    slot = _pair_slot(padded[:-1], padded[1:], salt)
+    goes_on = (padded[1:] != 0) & ((pairs[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0)
     start = np.flatnonzero(words[:own])
     out = np.zeros((len(start), DEPTH), np.uint64)
+    out[:, 0] = padded[start]
     alive = np.ones(len(start), bool)
-    for d in range(DEPTH):
+    for d in range(1, DEPTH):
+        alive &= goes_on[start + d - 1]
         out[:, d] = padded[start + d] * alive
-        alive &= out[:, d] != 0
     return out
 
 
+def _pair_counts(bitmap: bytes):
+    """Rows (cell, counts) of a task: how many pairs of frequent words fall into each slot."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total, held = np.frombuffer(bitmap, np.uint8), np.zeros(1 << PAIR_BITS, np.int64), []
+
+        def add() -> None:
+            np.add(total, np.bincount(np.concatenate([held.pop() for _ in held[:]]), minlength=len(total)), out=total)
+
+        for batch in batches:
+            for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
+                salt, words = _salt(lang), np.frombuffer(stream.as_buffer(), np.uint64)
+                frequent = _in_bitmap(words, salt, known) & (words != 0)
+                at = np.flatnonzero(frequent[:-1] & frequent[1:])
+                at = at[at < own]
+                held.append(_pair_slot(words[at], words[at + 1], salt))
+                if sum(map(len, held)) > CHUNK:
+                    add()
+        if held:
+            add()
+        cells = total.reshape(1 << CELL_BITS, -1)
+        cells = cells[:0] if not total.any() else cells
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(len(cells)), "counts": pa.array([x.tobytes() for x in cells], pa.binary())})
+        release()
+
+    return work
+
+
+def _enough(least: int):
+    """Rows (cell, bits): the slots of each cell whose counts add up to ``least``."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for cell, counts in zip(batch.column("cell").to_pylist(), batch.column("counts"), strict=True):
+                totals[cell] = totals.get(cell, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_pydict({
+            "cell": pa.array(list(totals), pa.int64()), "bits": pa.array([np.packbits(x >= least, bitorder="little").tobytes() for x in totals.values()], pa.binary())})
+
+    return work
+
+
+def frequent_pairs(tokens: DataFrame, bitmap: bytes, least: int) -> bytes:
+    """Bitmap of ``2 ** PAIR_BITS`` slots: where a pair of words that occurs ``least`` times falls, and others by chance."""
+    counts = tokens.mapInArrow(_pair_counts(bitmap), "cell long, counts binary").repartition("cell")
+    bits = np.zeros((1 << CELL_BITS, 1 << (PAIR_BITS - CELL_BITS - 3)), np.uint8)
+    for row in counts.mapInArrow(_enough(least), "cell long, bits binary").collect():
+        bits[row["cell"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.tobytes()
+
+
 def _counted(suffixes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct suffixes in sorted order and their numbers."""
     if not len(suffixes):
@@ -120,12 +218,12 @@ def _counted(suffixes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.
     return rows[start], total
 
 
-def _streams(batches: Iterable[pa.RecordBatch], bitmap: bytes) -> Iterator[tuple[str, np.uint64, np.ndarray]]:
-    known = np.frombuffer(bitmap, np.uint8)
+def _streams(batches: Iterable[pa.RecordBatch], known: tuple[bytes, bytes]) -> Iterator[tuple[str, np.uint64, np.ndarray]]:
+    bitmaps = [np.frombuffer(x, np.uint8) for x in known]
     for batch in batches:
         for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
             salt = _salt(lang)
-            yield lang, salt, _suffixes(stream.as_buffer(), own, salt, known)
+            yield lang, salt, _suffixes(stream.as_buffer(), own, salt, *bitmaps)
 
 
 def _split(suffixes: np.ndarray, salt: np.uint64, plan: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,28 +240,29 @@ def _split(suffixes: np.ndarray, salt: np.uint64, plan: list[np.ndarray]) -> tup
     return group, slot
 
 
-def _histogram(bitmap: bytes, plan: list[np.ndarray]):
+def _histogram(known: tuple[bytes, bytes], plan: list[np.ndarray]):
     """Rows (slot, n): suffixes of this task by the slot of their next undecided prefix; distinct ones of a row count once at full depth."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
-        for _, salt, suffixes in _streams(batches, bitmap):
+        for _, salt, suffixes in _streams(batches, known):
             _, slot = _split(suffixes, salt, plan)
             total += np.bincount(slot[slot >= 0], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"slot": at, "n": total[at]})
+        release()
 
     return work
 
 
-def vertical_partition(tokens: DataFrame, bitmap: bytes, budget: int = BUDGET) -> list[np.ndarray]:
+def vertical_partition(tokens: DataFrame, known: tuple[bytes, bytes], budget: int = BUDGET) -> list[np.ndarray]:
     """Plan of the groups, which are numbered by the depth of their prefixes: for each depth the group of every prefix slot, -1 where its suffixes are above ``budget`` and the next word decides.
 
     Slots of the last depth are never split: equal suffixes are counted before they travel.
     """
     plan, groups = [], 0
     for depth in range(1, DEPTH + 1):
-        counts = tokens.select("lang", "own", "stream").mapInArrow(_histogram(bitmap, plan), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        counts = tokens.mapInArrow(_histogram(known, plan), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
         size = np.zeros(1 << SLOT_BITS, np.int64)
         found = counts.toPandas()
         size[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
@@ -176,20 +275,28 @@ def vertical_partition(tokens: DataFrame, bitmap: bytes, budget: int = BUDGET) -
     return plan
 
 
-def _parts(bitmap: bytes, plan: list[np.ndarray]):
-    """Rows (grp, lang, suffixes, times): the distinct suffixes of a token row that belong to a group."""
+def _parts(known: tuple[bytes, bytes], plan: list[np.ndarray]):
+    """Rows (grp, lang, suffixes, times): distinct suffixes of a part of a task's text that belong to a group."""
+
+    def cut(lang: str, some: list[np.ndarray]) -> pa.RecordBatch:
+        rows, times = _counted(np.concatenate(some))
+        group, _ = _split(rows, _salt(lang), plan)
+        order = np.argsort(group, kind="stable")
+        start = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else []
+        parts = np.split(order, start[1:]) if len(order) else []
+        return pa.RecordBatch.from_pydict({
+            "grp": pa.array([int(group[p[0]]) for p in parts], pa.int64()), "lang": pa.array([lang] * len(parts), pa.string()),
+            "suffixes": pa.array([rows[p].tobytes() for p in parts], pa.binary()), "times": pa.array([times[p].tobytes() for p in parts], pa.binary())})
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, salt, suffixes in _streams(batches, bitmap):
-            rows, times = _counted(suffixes)
-            group, _ = _split(rows, salt, plan)
-            order = np.argsort(group, kind="stable")
-            start = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else []
-            parts = np.split(order, start[1:]) if len(order) else []
-            yield pa.RecordBatch.from_pydict({
-                "grp": pa.array([int(group[p[0]]) for p in parts], pa.int64()), "lang": pa.array([lang] * len(parts), pa.string()),
-                "suffixes": pa.array([rows[p].tobytes() for p in parts], pa.binary()), "times": pa.array([times[p].tobytes() for p in parts], pa.binary()),
-            })
+        held: dict[str, list[np.ndarray]] = {}
+        for lang, _, suffixes in _streams(batches, known):
+            held.setdefault(lang, []).append(suffixes)
+            if sum(map(len, held[lang])) > CHUNK:
+                yield cut(lang, held.pop(lang))
+        for lang, some in held.items():
+            yield cut(lang, some)
+        release()
 
     return work
 
@@ -270,15 +377,20 @@ def _bitmap(frequent: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def phrase_counts(tokens: DataFrame, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """Rows (lang, word, n)."""
+    return tokens.mapInArrow(_word_counts, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(tokens: DataFrame, counts: DataFrame, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
     """Rows (lang, words, n, above): all phrases of 1 to ``DEPTH`` words that occur ``least`` times.
 
     ``above`` counts their shorter prefixes, NULL where a prefix was split.
     """
-    counts = tokens.select("lang", F.explode(F.arrays_zip("seen", "times")).alias("w")).groupBy("lang", F.col("w.seen").alias("word")).agg(F.sum("w.times").alias("n"))
     bitmap = _bitmap(counts.where(F.col("n") >= least))
-    plan = vertical_partition(tokens, bitmap, budget)
-    parts = tokens.select("lang", "own", "stream").mapInArrow(_parts(bitmap, plan), "grp long, lang string, suffixes binary, times binary")
+    known = bitmap, frequent_pairs(tokens, bitmap, least)
+    plan = vertical_partition(tokens, known, budget)
+    parts = tokens.mapInArrow(_parts(known, plan), "grp long, lang string, suffixes binary, times binary")
     grouped = parts.repartition("grp").sortWithinPartitions("grp", "lang")
     nodes = grouped.mapInArrow(_subtrees(least, budget, plan), "lang string, words array<long>, n long, above array<long>, whole boolean")
     if len(plan) == 1:
@@ -292,8 +404,9 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """Rows (lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language."""
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     tokens = materialize(texts.mapInArrow(_tokens, _TOKENS), "tokens")
-    totals = tokens.groupBy("lang").agg(F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y)).alias("total"))
-    phrases = materialize(phrase_counts(tokens, least, budget), "phrases")
+    counts = materialize(word_counts(tokens), "words")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    phrases = materialize(phrase_counts(tokens, counts, least, budget), "phrases")
     longer = phrases.where(F.size("words") > 1).select("lang", "words", F.col("n").alias("a"), "above", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
     cuts = longer.select(
         "lang", "words", "a", "k", F.element_at("above", F.col("k")).alias("l"), F.expr("slice(words, k + 1, size(words) - k)").alias("rest"))
@@ -313,7 +426,7 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     # Ties at the border stay until their words are known.
     first = materialize(best.withColumn("tied", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("tied") <= top), "first")
     wanted = first.select("lang", F.explode("words").alias("word")).distinct()
-    spelt = tokens.select("lang", F.explode(F.arrays_zip("seen", "spelt")).alias("w")).select("lang", F.col("w.seen").alias("word"), F.col("w.spelt").alias("spelt"))
+    spelt = texts.mapInArrow(_spelt(_bitmap(wanted)), "lang string, word long, spelt string")
     spelt = spelt.join(wanted, ["lang", "word"], "left_semi").dropDuplicates(["lang", "word"])
     said = first.select("*", F.posexplode("words").alias("pos", "word")).join(spelt, ["lang", "word"])
     said = said.groupBy("lang", "words", "a", "l", "r", "n", "score").agg(F.array_sort(F.collect_list(F.struct("pos", "spelt"))).alias("s"))

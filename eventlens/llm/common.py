@@ -20,13 +20,19 @@ ORACLES: dict[str, str] = {}
 
 #: Bytes of text that a task works on at a time (a single longer text is worked on alone).
 SLICE = 2 << 20
+#: Bytes of an Arrow batch between Spark and Python; a single larger row is a batch of its own.
+BATCH = 8 << 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register ``fn`` under ``name``; ``sql`` is its DuckDB equivalent."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

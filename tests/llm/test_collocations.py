@@ -73,6 +73,7 @@ def test_equals_plain_counts(spark, docs, budget, least, top):
 
 def test_long_text_is_taken_whole(spark, monkeypatch):
     monkeypatch.setattr(co, "STREAM", 64)
+    monkeypatch.setattr(co, "CHUNK", 500)
     rng = random.Random(1)
     docs = [(" ".join(rng.choice("abc") for _ in range(30_000)), "en"), ("a b c " * 5000, None)]
     assert found(spark, docs, least=50, top=500) == plain(docs, 50, 500)
@@ -98,10 +99,10 @@ def test_groups_keep_the_budget(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     texts = docs.select("lang", "text")
     tokens = co.materialize(texts.mapInArrow(co._tokens, co._TOKENS), "tokens")
-    counts = tokens.select("lang", F.explode(F.arrays_zip("seen", "times")).alias("w")).groupBy("lang", F.col("w.seen").alias("word")).agg(F.sum("w.times").alias("n"))
-    bitmap = co._bitmap(counts)
+    bitmap = co._bitmap(co.word_counts(tokens))
+    known = bitmap, co.frequent_pairs(tokens, bitmap, 2)
     budget = 2000
-    plan = co.vertical_partition(tokens, bitmap, budget)
-    parts = tokens.select("lang", "own", "stream").mapInArrow(co._parts(bitmap, plan), "grp long, lang string, suffixes binary, times binary")
+    plan = co.vertical_partition(tokens, known, budget)
+    parts = tokens.mapInArrow(co._parts(known, plan), "grp long, lang string, suffixes binary, times binary")
     sizes = [r[0] for r in parts.groupBy("grp").agg(F.sum(F.length("suffixes") / 40).alias("n")).select("n").collect()]
     assert len(plan) > 1 and len(sizes) > 3 and max(sizes) <= 2 * budget
