@@ -1,5 +1,8 @@
 """Mapping and validation queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.catalog.common import epoch, load_events, r, with_ev
@@ -190,6 +193,32 @@ def val_unique(spark, sf):
     return va.flag_duplicates(load_events(spark, sf).select("event_id", "amount"), "amount", F.col("event_id"))
 
 
+# The rule counts what the fix before it left; the one after it sees its default.
+UNIQUE = [
+    rule("amount", "range", "fix", min=50), rule("amount", "unique", "warn"), rule("amount", "range", "reject", max=80),
+]
+ACTIONS = {"reject": None, "warn": None, "fix": None, "default": "81", "skip_field": None}
+
+
+@query("val_unique_in_list", with_ev("""
+SELECT event_id, action, CASE WHEN twice AND action = 'default' THEN 81 WHEN twice AND action = 'skip_field' THEN NULL ELSE x END AS amount,
+  (twice AND action = 'reject') OR coalesce(CASE WHEN twice AND action = 'default' THEN 81 WHEN twice AND action = 'skip_field' THEN NULL ELSE x END > 80, false) AS rejected,
+  x IS DISTINCT FROM amount AS fixed FROM
+(SELECT event_id, amount, greatest(amount, CASE WHEN amount IS NOT NULL THEN 50 END) AS x,
+  amount IS NOT NULL AND count(*) OVER (PARTITION BY greatest(amount, CASE WHEN amount IS NOT NULL THEN 50 END)) > 1 AS twice FROM ev),
+(SELECT unnest(['reject', 'warn', 'fix', 'default', 'skip_field']) AS action)"""))
+def val_unique_in_list(spark, sf):
+    """A ``unique`` rule between other rules, once with each action."""
+    events = load_events(spark, sf).select("event_id", "amount")
+    parts = []
+    for action, default in ACTIONS.items():
+        rules = [{**r, "on_failure": action, "default_value": default} if r["rule_type"] == "unique" else r for r in UNIQUE]
+        out = va.run_checks(events, rules)
+        fixed = F.exists("issues", lambda i: (i["action"] == "fix") & (i["rule_type"] == "range"))
+        parts.append(out.select("event_id", F.lit(action).alias("action"), "amount", "rejected", fixed.alias("fixed")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # The second range rule sees what the first one fixed; skip_field clears, reject drops.
 FOLD = [
     rule("amount", "required", "reject"),

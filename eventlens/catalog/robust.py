@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from eventlens.catalog.common import load_events, table, with_ev
 from eventlens.catalog.filters import cond
 from eventlens.catalog.io import _stored
-from eventlens.functions.predicates import filter_rows
+from eventlens.functions.predicates import filter_rows, filter_view, step_condition
 from eventlens.functions.rules import rule_tree
 from eventlens.operators import quantiles, steps, windows
 from eventlens.operators.joins import window_join
@@ -115,6 +115,34 @@ def rules_mixed_types(spark, sf):
     return events.select("event_id", *[rule_tree(events, cond(*c)).alias(name) for name, c in rules.items()])
 
 
+# Conditions of every type mix: name -> (field, operator, value, SQL).
+MIXED = {
+    "text_true": ("event_type", "eq", True, "false"), "text_not_true": ("event_type", "ne", True, "true"), "number_true": ("event_id", "eq", True, "event_id = 1"),
+    "number_not_false": ("event_id", "ne", False, "event_id <> 0"), "time_true": ("ts", "eq", True, "false"),
+    "time_after_text": ("ts", "gt", "2024-01-03 06:00:00", "ts > TIMESTAMP '2024-01-03 06:00:00'"), "time_after_word": ("ts", "gt", "soon", "false"),
+    "time_not_word": ("ts", "ne", "soon", "true"), "time_number": ("ts", "gte", 5, "false"), "text_number": ("device_id", "lt", 5, "coalesce(TRY_CAST(device_id AS DOUBLE) < 5, false)"),
+    "between_text": ("event_id", "between", ["3", "7"], "event_id BETWEEN 3 AND 7"), "between_words": ("event_id", "between", ["a", "z"], "false"),
+    "text_between": ("device_id", "between", [2, 4.5], "coalesce(TRY_CAST(device_id AS DOUBLE) BETWEEN 2 AND 4.5, false)"),
+    "text_between_text": ("country", "between", ["C1", "C3"], "coalesce(country BETWEEN 'C1' AND 'C3', false)"),
+    "time_between": ("ts", "between", ["2024-01-03", "2024-01-04 12:00:00"], "ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-04 12:00:00'"),
+    "listed": ("event_id", "in", ["3", 4, True, "x"], "event_id IN (1, 3, 4)"), "text_listed": ("device_id", "in", [3, "4", True], "coalesce(TRY_CAST(device_id AS DOUBLE) = 3 OR device_id = '4', false)"),
+}
+
+
+@query("conditions_mixed", with_ev("SELECT event_id, " + ", ".join(f"{sql} AS {name}" for name, (*_, sql) in MIXED.items()) + " FROM ev"))
+def conditions_mixed(spark, sf):
+    events = load_events(spark, sf)
+    return events.select("event_id", *[step_condition(F.col(c), op, v).alias(name) for name, (c, op, v, _) in MIXED.items()])
+
+
+@query("where_viz_mixed", with_ev("""
+SELECT event_id FROM ev WHERE coalesce(amount >= 10, false) AND event_id BETWEEN 5 AND 5000 AND coalesce(TRY_CAST(device_id AS DOUBLE) <> 3, true)"""))
+def where_viz_mixed(spark, sf):
+    """Unknown operators and fields don't filter; a condition without an operator tests equality."""
+    conds = [cond("amount", "gte", "10"), cond("event_id", "between", ["5", 5000]), cond("device_id", "ne", 3), cond("amount", "like", "x"), cond("none", "eq", 1)]
+    return filter_view(load_events(spark, sf), conds).select("event_id")
+
+
 @query("delete_all_counts", with_ev("SELECT count(*) AS removed, 0::BIGINT AS again FROM ev"))
 def delete_all_counts(spark, sf):
     path = _stored(spark, sf)

@@ -8,6 +8,7 @@ Every condition returns a non-null boolean, so conditions compose freely.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from datetime import date, datetime
 from functools import reduce
 from typing import Any
 
@@ -40,19 +41,34 @@ def matches_start(col: Column, pattern: str) -> Column:
 
 
 def compared(col: Column, value: Any, test: Callable[[Column, Column], Column]) -> Column:
-    """``test`` of a column of any type and a value: numbers where one side is a number, NULL where the other is none."""
-    if isinstance(value, Column) or value is None or isinstance(value, bool):
-        return test(col, value if isinstance(value, Column) else F.lit(value))
-    kind = F.typeof(col)
+    """``test`` of a column of any type and a value, NULL where the two have no common type.
+
+    Numbers, also as text, compare with numeric columns; a number compares with text that is one. Boolean words and times in text do
+    alike with booleans and times; in a number column true is 1. Everything else compares as text.
+    """
+    if isinstance(value, Column) or value is None:
+        return test(col, F.lit(None) if value is None else value)
+    kind, text, never = F.typeof(col), col.cast("string"), F.lit(None).cast("boolean")
+    number = kind.rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
+    timed = kind.rlike("^(timestamp|date)")
+    if isinstance(value, bool):
+        return (
+            F.when(kind.isin("boolean", "string"), test(text.try_cast("boolean"), F.lit(value)))
+            .when(number, test(text.try_cast("double"), F.lit(float(value)))).otherwise(never)
+        )
     if isinstance(value, (int, float)):
-        return F.when(kind == "string", test(col.cast("string").try_cast("double"), F.lit(float(value)))).otherwise(test(col, F.lit(value)))
+        exact = F.when(kind.isin("tinyint", "smallint", "int", "bigint"), test(text.try_cast("bigint"), F.lit(value))) if isinstance(value, int) and abs(value) < 1 << 63 else F
+        return exact.when(number | (kind == "string"), test(text.try_cast("double"), F.lit(float(value)))).when(
+            kind == "boolean", test(text.try_cast("boolean").cast("double"), F.lit(float(value)))).otherwise(never)
+    if isinstance(value, (datetime, date)):
+        return F.when(timed | (kind == "string"), test(text.try_cast("timestamp"), F.lit(value).cast("timestamp"))).otherwise(never)
     if not isinstance(value, str):
         return test(col, F.lit(value))
-    number = kind.rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
     return (
-        F.when(number, test(col.cast("string").try_cast("double"), F.lit(value).try_cast("double")))
-        .when(kind == "string", test(col.cast("string"), F.lit(value)))
-        .otherwise(test(col, F.lit(value)))
+        F.when(number, test(text.try_cast("double"), F.lit(value).try_cast("double")))
+        .when(timed, test(text.try_cast("timestamp"), F.lit(value).try_cast("timestamp")))
+        .when(kind == "boolean", test(text.try_cast("boolean"), F.lit(value).try_cast("boolean")))
+        .otherwise(test(text, F.lit(value)))
     )
 
 
@@ -100,10 +116,13 @@ def step_condition(col: Column, op: str, value: Any = None) -> Column:
         return matches_start(col, str(value))
     if op == "between":
         low, high = value
-        return settled(col.between(F.lit(low), F.lit(high)))
+        return settled(compared(col, low, lambda a, b: a >= b) & compared(col, high, lambda a, b: a <= b))
     raise ValueError(f"unknown filter operator {op!r}")
 
 
+STEP_OPS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "nin", "contains", "startswith", "endswith", "isnull", "notnull", "regex", "between")
+
+
 def viewer_condition(col: Column, op: str, value: Any = None) -> Column:
     """Viewer dialect: ``contains`` is a case-sensitive search, ``icontains`` is not."""
     if op == "contains":
@@ -143,13 +162,15 @@ def filter_rows(df: DataFrame, spec: Mapping | Iterable[Mapping]) -> DataFrame:
 
 
 def filter_view(df: DataFrame, conds: Iterable[Mapping]) -> DataFrame:
-    """Viewer filters: ``meta.key`` fields, text compared with ``ts`` read as time."""
+    """Viewer filters: ``meta.key`` fields, text compared with ``ts`` read as time; unknown fields and operators are ignored."""
     parts = []
     for c in conds:
         col = field_column(df, c.get("field", ""))
         if col is None:
             continue
-        op, value = c["op"], c.get("value")
+        op, value = c.get("op", "eq"), c.get("value")
+        if op not in (*STEP_OPS, "icontains"):
+            continue
         if c["field"] == "ts" and op in _TIME_OPS:
             parts.append(step_condition(col, op, F.try_to_timestamp(F.lit(str(value)))))
         else:

@@ -9,7 +9,7 @@ from conftest import SF, rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from eventlens import session
+from eventlens import registry, session
 from eventlens.catalog import streams
 from eventlens.plans.steps import run_steps
 from eventlens.plans.views import Views, select_sql
@@ -161,8 +161,8 @@ def test_streams_read_a_single_file(spark):
 
 
 def test_registered_names():
-    names = entry_module.queries()
-    assert len(names) > 180 and not any("pipeline" in n or n.startswith("op") for n in names)
+    assert len(registry.QUERIES) > 180 and not any("pipeline" in n or n.startswith("op") for n in registry.QUERIES)
+    assert registry.QUERIES.keys() <= entry_module.queries().keys()
 
 
 def test_legs_keep_all_their_keys(spark):
