@@ -8,6 +8,7 @@ from eventlens.functions import rules as ru
 from eventlens.functions import validation as va
 from eventlens.operators import mapping as mp
 from eventlens.registry import query
+from eventlens.session import scratch_path
 from eventlens.sources.canonical import canonical
 from eventlens.streaming import jobs
 
@@ -58,14 +59,31 @@ def stream_first_seen(spark, sf):
 
 
 @query("stream_ewma", with_ev("""
-SELECT user_id, bucket, rows, round(mu, 9) AS mu FROM (SELECT user_id, bucket, x::BIGINT AS rows, list_reduce(list(x) OVER (PARTITION BY user_id ORDER BY bucket ROWS BETWEEN 162 PRECEDING AND CURRENT ROW),
-  lambda a, b: 0.8::DOUBLE * a + 0.2::DOUBLE * b) AS mu FROM ser) WHERE rows > 0 AND (bucket + 3600) * 1000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM ev)""",
+SELECT user_id, bucket, rows, round(mu, 9) AS mu, round(spread, 9) AS spread, round((rows - mu) / (1.4826 * (spread + 1e-6)), 6) AS z FROM (
+  SELECT *, list_reduce(list(abs(x - mu)) OVER (PARTITION BY user_id ORDER BY bucket ROWS BETWEEN 162 PRECEDING AND CURRENT ROW),
+    lambda a, b: 0.8::DOUBLE * a + 0.2::DOUBLE * b) AS spread FROM (
+    SELECT user_id, bucket, x, x::BIGINT AS rows, list_reduce(list(x) OVER (PARTITION BY user_id ORDER BY bucket ROWS BETWEEN 162 PRECEDING AND CURRENT ROW),
+      lambda a, b: 0.8::DOUBLE * a + 0.2::DOUBLE * b) AS mu FROM ser)) WHERE rows > 0""",
     """spb AS (SELECT user_id, us // 3600000000 * 3600 AS bucket, count(*)::DOUBLE AS x FROM ev GROUP BY ALL),
     grid AS (SELECT user_id, unnest(generate_series(min(bucket), max(bucket), 3600)) AS bucket FROM spb GROUP BY user_id),
     ser AS (SELECT g.user_id, g.bucket, coalesce(x, 0::DOUBLE) AS x FROM grid g LEFT JOIN spb s ON g.user_id = s.user_id AND g.bucket = s.bucket)"""))
 def stream_ewma(spark, sf):
-    out = jobs.run_to_table(jobs.online_ewma(stream(spark, sf)), "ewma")
-    return out.select("user_id", "bucket", "rows", r("mu", 9).alias("mu"))
+    out = jobs.latest(jobs.run_to_table(jobs.online_ewma(stream(spark, sf)), "ewma", "update"), ["user_id", "bucket"])
+    return out.select("user_id", "bucket", "rows", r("mu", 9).alias("mu"), r("spread", 9).alias("spread"), r("z").alias("z"))
+
+
+@query("stream_late_counts", with_ev("""
+SELECT part AS batch_id, count(*) AS input_rows, count(*) FILTER ((us // 3600000000 + 1) * 3600000000 <= mark) AS late_rows FROM (
+  SELECT event_id, us, event_id % 4 AS part FROM ev) JOIN (
+  SELECT p.part AS part, max(us) // 1000 * 1000 - 600000000 AS mark FROM (SELECT unnest(range(4)) AS part) p LEFT JOIN ev ON ev.event_id % 4 < p.part - 1 GROUP BY p.part) USING (part)
+GROUP BY part"""))
+def stream_late_counts(spark, sf):
+    """All events, arriving in four files one after the other."""
+    events = canonical(table(spark, sf, "events")).select("event_id", "ts", "user_id")
+    folder = scratch_path(spark, "arrivals")
+    for part in range(4):
+        events.where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{folder}/p")
+    return jobs.late_counts(jobs.open_stream(spark, folder, "p", events.schema, files_per_batch=1))
 
 
 @query("stream_join_window", with_ev("""

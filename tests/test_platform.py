@@ -144,9 +144,54 @@ def test_late_rows_are_dropped(spark, tmp_path):
 def test_running_mean_over_several_batches_equals_one(spark, tmp_path):
     parts = [[(10 * i + j, f"2024-01-{1 + i:02d}T{3 * j:02d}:00:01", f"u{j % 2}") for j in range(6)] for i in range(4)]
     schema = write_parts(spark, tmp_path, parts)
-    many = jobs.run_to_table(jobs.online_ewma(jobs.open_stream(spark, str(tmp_path), "p", schema, 1)), "many").drop("batch_id")
-    one = jobs.run_to_table(jobs.online_ewma(jobs.open_stream(spark, str(tmp_path), "p", schema)), "one").drop("batch_id")
-    assert rows(many.withColumn("mu", F.round("mu", 12))) == rows(one.withColumn("mu", F.round("mu", 12))) and one.count() > 10
+    tables = [jobs.run_to_table(jobs.online_ewma(jobs.open_stream(spark, str(tmp_path), "p", schema, n)), f"mean{n}", "update") for n in (1, None)]
+    many, one = (jobs.latest(t, ["user_id", "bucket"]).withColumns({c: F.round(c, 12) for c in ("mu", "spread", "z")}) for t in tables)
+    assert rows(many) == rows(one) and one.count() == 24
+    # Each bucket is closed once at most; the last ones stay open and come out all the same.
+    closed = tables[0].where("closed").groupBy("user_id", "bucket").count()
+    assert closed.where("count > 1").count() == 0 and 0 < closed.count() < 24
+    plain = {}
+    for user in ("u0", "u1"):
+        hours = {dt.datetime.fromisoformat(t).replace(minute=0, second=0, tzinfo=dt.UTC).timestamp() for p in parts for _, t, u in p if u == user}
+        mu = spread = None
+        for hour in range(int(min(hours)), int(max(hours)) + 1, 3600):
+            x = float(hour in hours)
+            mu = x if mu is None else 0.8 * mu + 0.2 * x
+            spread = 0.0 if spread is None else 0.8 * spread + 0.2 * abs(x - mu)
+            if x:
+                plain[user, hour] = (mu, spread, (x - mu) / (1.4826 * (spread + 1e-6)))
+    got = {(r.user_id, r.bucket): (r.mu, r.spread, r.z) for r in one.collect()}
+    assert got.keys() == plain.keys() and all(abs(a - b) < 1e-6 for k in got for a, b in zip(got[k], plain[k], strict=True))
+
+
+def test_buckets_come_out_while_none_has_closed(spark, tmp_path):
+    schema = write_parts(spark, tmp_path, [[(1, "2024-01-01T00:10:00", "u"), (2, "2024-01-01T00:20:00", "u"), (3, "2024-01-01T00:30:00", None)]])
+    out = jobs.run_to_table(jobs.online_ewma(jobs.open_stream(spark, str(tmp_path), "p", schema)), "open", "update")
+    assert rows(out, "user_id", "rows", "mu", "closed") == [("u", 2, 2.0, False), (None, 1, 1.0, False)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    schema = write_parts(spark, tmp_path, [
+        [(1, "2024-01-01T00:10:00", "u"), (2, "2024-01-01T05:00:00", "u")], [(3, "2024-01-01T05:10:00", "u")],
+        [(4, "2024-01-01T00:20:00", "u"), (5, "2024-01-01T00:21:00", "u"), (6, "2024-01-01T05:30:00", "u")]])
+    out = jobs.late_counts(jobs.open_stream(spark, str(tmp_path), "p", schema, files_per_batch=1))
+    assert rows(out, "batch_id", "input_rows", "late_rows") == [(0, 2, 0), (1, 1, 0), (2, 3, 2)]
+
+
+def test_first_seen_forgets_idle_pairs(spark, tmp_path):
+    """Ten users, each on a day of its own; pairs idle for two days leave the state and would be new again."""
+    days = [[(i, f"2024-01-{1 + i:02d}T00:00:00", f"u{i}")] for i in range(10)] + [[(99, "2024-01-11T00:00:00", "u0")]]
+    schema = write_parts(spark, tmp_path, days)
+    listener = jobs._Progress()
+    kept = []
+    listener.onQueryProgress = lambda e: kept.extend(o.numRowsTotal for o in e.progress.stateOperators)
+    spark.streams.addListener(listener)
+    stream = jobs.open_stream(spark, str(tmp_path), "p", schema, 1).withColumn("device", F.lit("d"))
+    out = jobs.run_to_table(jobs.first_seen(stream, "device", keep_days=2), "idle", "update", listener=listener)
+    assert listener.ended.wait(60)
+    spark.streams.removeListener(listener)
+    assert rows(out.where("user_id = 'u0'"), "event_id") == [(0,), (99,)] and out.count() == 11
+    assert max(kept) <= 4 and len(kept) >= 10
 
 
 def test_first_seen_over_several_batches(spark, tmp_path):
