@@ -37,7 +37,7 @@ DEPTH, LEAST, TOP = 5, 100, 2000
 #: Suffixes of a group; words of a row of the token table; suffixes or words that a task holds before it counts equal ones.
 BUDGET, STREAM, CHUNK = 1 << 20, 1 << 15, 1 << 18
 #: Slots (powers of two) of the prefix histogram of each depth, of the bitmap of frequent words, and of the counters of pairs in how many cells.
-SLOT_BITS, WORD_BITS, PAIR_BITS, CELL_BITS = 16, 24, 20, 8
+SLOT_BITS, WORD_BITS, PAIR_BITS, CELL_BITS = 16, 24, 23, 8
 
 IS_BREAK = np.zeros(256, dtype=bool)
 IS_BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -160,10 +160,12 @@ def _pair_counts(bitmap: bytes):
     """Rows (cell, counts) of a task: how many pairs of frequent words fall into each slot."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, held = np.frombuffer(bitmap, np.uint8), np.zeros(1 << PAIR_BITS, np.int64), []
+        known, total, held = np.frombuffer(bitmap, np.uint8), np.zeros(1 << PAIR_BITS, np.uint8), []
 
         def add() -> None:
-            np.add(total, np.bincount(np.concatenate([held.pop() for _ in held[:]]), minlength=len(total)), out=total)
+            slot, n = np.unique(np.concatenate(held), return_counts=True)
+            total[slot] = np.minimum(total[slot] + n, 255)
+            held.clear()
 
         for batch in batches:
             for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
@@ -176,34 +178,42 @@ def _pair_counts(bitmap: bytes):
                     add()
         if held:
             add()
-        cells = total.reshape(1 << CELL_BITS, -1)
-        cells = cells[:0] if not total.any() else cells
-        yield pa.RecordBatch.from_pydict({"cell": np.arange(len(cells)), "counts": pa.array([x.tobytes() for x in cells], pa.binary())})
+        yield _cells(total)
         release()
 
     return work
 
 
-def _enough(least: int):
-    """Rows (cell, bits): the slots of each cell whose counts add up to ``least``."""
+def _cells(total: np.ndarray) -> pa.RecordBatch:
+    """Counters as rows (cell, counts); nothing where all are zero."""
+    parts = [(i, x) for i, x in enumerate(total.reshape(1 << CELL_BITS, -1)) if x.any()]
+    return pa.RecordBatch.from_pydict({"cell": pa.array([i for i, _ in parts], pa.int64()), "counts": pa.array([x.tobytes() for _, x in parts], pa.binary())})
+
+
+def _added(kind: type, finish):
+    """Rows (cell, counts): the counters of each cell added up and passed through ``finish``."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for cell, counts in zip(batch.column("cell").to_pylist(), batch.column("counts"), strict=True):
-                totals[cell] = totals.get(cell, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+                totals[cell] = totals.get(cell, 0) + np.frombuffer(counts.as_buffer(), kind).astype(np.int64)
         yield pa.RecordBatch.from_pydict({
-            "cell": pa.array(list(totals), pa.int64()), "bits": pa.array([np.packbits(x >= least, bitorder="little").tobytes() for x in totals.values()], pa.binary())})
+            "cell": pa.array(list(totals), pa.int64()), "counts": pa.array([finish(x).tobytes() for x in totals.values()], pa.binary())})
 
     return work
 
 
 def frequent_pairs(tokens: DataFrame, bitmap: bytes, least: int) -> bytes:
-    """Bitmap of ``2 ** PAIR_BITS`` slots: where a pair of words that occurs ``least`` times falls, and others by chance."""
+    """Bitmap of ``2 ** PAIR_BITS`` slots: where a pair of words that occurs ``least`` times falls, and others by chance.
+
+    A task counts up to 255 in a slot, so ``least`` is at most that.
+    """
+    enough = min(least, 255)
     counts = tokens.mapInArrow(_pair_counts(bitmap), "cell long, counts binary").repartition("cell")
     bits = np.zeros((1 << CELL_BITS, 1 << (PAIR_BITS - CELL_BITS - 3)), np.uint8)
-    for row in counts.mapInArrow(_enough(least), "cell long, bits binary").collect():
-        bits[row["cell"]] = np.frombuffer(row["bits"], np.uint8)
+    for row in counts.mapInArrow(_added(np.uint8, lambda x: np.packbits(x >= enough, bitorder="little")), "cell long, counts binary").collect():
+        bits[row["cell"]] = np.frombuffer(row["counts"], np.uint8)
     return bits.tobytes()
 
 
@@ -241,15 +251,14 @@ def _split(suffixes: np.ndarray, salt: np.uint64, plan: list[np.ndarray]) -> tup
 
 
 def _histogram(known: tuple[bytes, bytes], plan: list[np.ndarray]):
-    """Rows (slot, n): suffixes of this task by the slot of their next undecided prefix; distinct ones of a row count once at full depth."""
+    """Rows (cell, counts): suffixes of this task by the slot of their next undecided prefix."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for _, salt, suffixes in _streams(batches, known):
             _, slot = _split(suffixes, salt, plan)
             total += np.bincount(slot[slot >= 0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"slot": at, "n": total[at]})
+        yield _cells(total)
         release()
 
     return work
@@ -262,10 +271,11 @@ def vertical_partition(tokens: DataFrame, known: tuple[bytes, bytes], budget: in
     """
     plan, groups = [], 0
     for depth in range(1, DEPTH + 1):
-        counts = tokens.mapInArrow(_histogram(known, plan), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-        size = np.zeros(1 << SLOT_BITS, np.int64)
-        found = counts.toPandas()
-        size[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+        counts = tokens.mapInArrow(_histogram(known, plan), "cell long, counts binary").repartition("cell")
+        size = np.zeros((1 << CELL_BITS, 1 << (SLOT_BITS - CELL_BITS)), np.int64)
+        for row in counts.mapInArrow(_added(np.int64, lambda x: x), "cell long, counts binary").collect():
+            size[row["cell"]] = np.frombuffer(row["counts"], np.int64)
+        size = size.ravel()
         fits = (size <= budget) if depth < DEPTH else np.ones(len(size), bool)
         packed = np.cumsum(np.where(fits, np.minimum(size, budget), 0)) // budget + groups
         plan.append(np.where(fits, packed, -1))
