@@ -165,9 +165,11 @@ def extract(html: str | None) -> str:
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
         element, level = place if place.tag not in ("p", "pre", "li", *_HEADINGS) else place.parent or place, 1
         while element:
-            element.points += points / level
+            if level < 1 << 60:  # further out a share is below a double's last digit
+                element.points += points / level
+                level = level + 1 if level == 1 else level * 2
             scored[id(element)] = element
-            element, level = element.parent, level + 1 if level == 1 else level * 2
+            element = element.parent
 
     def score(e: _Element) -> float:
         return (e.points + 25 * (e.tag in ("article", "main") or bool(e.words & _MAIN_WORDS))) * (1 - e.link_chars / max(e.chars, 1))
