@@ -45,6 +45,30 @@ def read_json_events(spark, sf):
     return _round_trip(spark, sf, "json")
 
 
+@query("read_json_array", with_ev("SELECT event_id, user_id, event_type, device_id, ip, amount, meta FROM ev"))
+def read_json_array(spark, sf):
+    """One array in one file, read by byte ranges."""
+    events = load_events(spark, sf).select(*PLAIN)
+    record = F.to_json(F.struct(*PLAIN), {"ignoreNullFields": "false"})
+    ends = events.agg(F.min("event_id"), F.max("event_id")).first()
+    opened = F.when(F.col("event_id") == ends[0], "[").otherwise("")
+    closed = F.when(F.col("event_id") == ends[1], "]").otherwise(",")
+    path = scratch_path(spark, "array") + ".json"
+    events.select("event_id", F.concat(opened, record, closed).alias("value")).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    return formats.read_any(spark, path, None, PLAIN_SCHEMA)
+
+
+@query("read_csv_encodings", with_ev("SELECT event_id, 'Zoë ' || event_type AS name FROM ev"))
+def read_csv_encodings(spark, sf):
+    """Half of the files in Latin-1, half in UTF-8."""
+    events = load_events(spark, sf).select("event_id", F.concat(F.lit("Zoë "), "event_type").alias("name"))
+    paths = []
+    for part, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        paths.append(scratch_path(spark, "names"))
+        events.where(F.col("event_id") % 2 == part).write.option("header", True).option("encoding", encoding).csv(paths[-1])
+    return formats.read_csv(spark, paths, "event_id bigint, name string")
+
+
 @query("batch_load_sources", """
 SELECT 'load:' || f AS source, count(*) AS rows_loaded, sum(length(text))::BIGINT AS chars FROM (
   SELECT 'documents' AS f, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark
@@ -176,6 +200,19 @@ def flatten_meta(spark, sf):
     return store.flatten_meta(load_events(spark, sf), ["k", "source", "absent"]).select("event_id", "source", "k", "absent")
 
 
+@query("flatten_meta_all", with_ev("""
+SELECT event_id, source, json_extract_string(meta, '$.k') AS k, CASE WHEN event_id % 3 = 0 THEN event_type END AS "x.0", CASE WHEN event_id % 3 = 1 THEN event_type END AS "x.1",
+  CASE WHEN event_id % 3 = 2 THEN event_type END AS "x.2", CASE WHEN event_id % 3 = 1 THEN '{"d":' || event_id || '}' END AS nested FROM ev"""))
+def flatten_meta_all(spark, sf):
+    """Keys found in the rows; a dot in a key and nested values stay as they are."""
+    events = load_events(spark, sf).select("event_id", "source", "event_type", "meta")
+    more = F.concat(
+        F.lit('{"source":"other","k":'), F.get_json_object("meta", "$.k"), F.lit(',"x.'), (F.col("event_id") % 3).cast("string"), F.lit('":"'), F.col("event_type"),
+        F.when(F.col("event_id") % 3 == 1, F.concat(F.lit('","nested":{"d":'), F.col("event_id").cast("string"), F.lit("}}"))).otherwise('"}'))
+    out = store.flatten_meta(events.withColumn("meta", more))
+    return out.drop("event_type", "meta")
+
+
 LOG_CTE = """chk AS (SELECT source, us, (ts IS NULL) AS rejected,
   (NOT regexp_full_match(origin, '[A-Z]{3}') OR NOT regexp_full_match(dest, '[A-Z]{3}')
    OR NOT (length(country) BETWEEN 2 AND 3) OR NOT regexp_full_match(carrier, '[A-Z0-9]{2,3}')
@@ -186,7 +223,8 @@ LOG_CTE = """chk AS (SELECT source, us, (ts IS NULL) AS rejected,
 SELECT source, count(*) AS total_rows, count(*) FILTER (NOT rejected) AS ingested_rows, count(*) FILTER (rejected) AS rejected_rows,
   count(*) FILTER (warned AND NOT rejected) AS warning_rows FROM chk GROUP BY source""", LOG_CTE))
 def ingest_log(spark, sf):
-    return store.ingest_log(run_checks(load_events(spark, sf), BUILTIN_CHECKS))
+    checked = run_checks(load_events(spark, sf), BUILTIN_CHECKS)
+    return store.append_logged(checked, scratch_path(spark, "logged"), ["auth_events", "ticket_events", "web_events"])
 
 
 @query("ingest_history", with_ev("""

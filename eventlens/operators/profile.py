@@ -1,10 +1,22 @@
-"""Column profiles and result statistics in one aggregate over all columns."""
+"""Column profiles and result statistics, all columns side by side.
+
+One aggregate counts NULLs, looks at types and feeds a mergeable sketch of distinct values for each column. A second scan, of which every
+task keeps only the first few values of each column, finds samples. No row is repeated for its columns.
+"""
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct values that a theta sketch holds, as a power of two: the count is exact below that, with an error of about 0.4 % above.
+SKETCH_BITS = 16
+
 BOOL_WORDS = ["true", "false", "0", "1", "yes", "no", ""]
 
 
@@ -31,8 +43,21 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("uniques"))
 
 
-def profile_columns(df: DataFrame, samples: int = 5, approx: bool = False) -> DataFrame:
-    """(column, detected_type, nulls, null_percent, uniques, samples)."""
+def _sketch(column: str) -> Column:
+    # The sketch passes over empty texts, so none is left empty.
+    return F.theta_sketch_agg(F.concat(F.lit("="), F.col(column).cast("string")), SKETCH_BITS)
+
+
+def _uniques(out: DataFrame, df: DataFrame, exact: bool) -> DataFrame:
+    """``uniques`` from the sketch of each column, or counted."""
+    if not exact:
+        return out.withColumn("uniques", F.coalesce(F.theta_sketch_estimate("sketch"), F.lit(0).cast("bigint"))).drop("sketch")
+    counted = out.drop("sketch").join(distinct_counts(df, df.columns), "column", "left")
+    return counted.withColumn("uniques", F.coalesce(F.col("uniques"), F.lit(0).cast("bigint")))
+
+
+def profile_columns(df: DataFrame, samples: int = 5, exact: bool = False, width: int | None = None) -> DataFrame:
+    """(column, detected_type, nulls, null_percent, uniques, samples); samples are cut to ``width`` characters if given."""
     types = dict(df.dtypes)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(df.columns):
@@ -40,38 +65,39 @@ def profile_columns(df: DataFrame, samples: int = 5, approx: bool = False) -> Da
         aggs += [
             F.count_if(F.col(c).isNull()).alias(f"nulls{i}"),
             F.coalesce(F.bool_and(F.lower(text).isin(BOOL_WORDS)), F.lit(True)).alias(f"words{i}"),
+            (F.lit(None).cast("binary") if exact else _sketch(c)).alias(f"sketch{i}"),
         ]
-        if approx:
-            aggs.append(F.approx_count_distinct(c).alias(f"uniq{i}"))
-    one = df.agg(*aggs)
     rows = F.array(*[
         F.struct(
             F.lit(c).alias("column"), _kind(types[c], F.col(f"words{i}")).alias("detected_type"),
-            F.col(f"nulls{i}").alias("nulls"), F.round(F.col(f"nulls{i}") / F.col("n") * 100, 2).alias("null_percent"),
-            *([F.col(f"uniq{i}").alias("uniques")] if approx else []),
+            F.col(f"nulls{i}").alias("nulls"), F.round(F.col(f"nulls{i}") / F.col("n") * 100, 2).alias("null_percent"), F.col(f"sketch{i}").alias("sketch"),
         )
         for i, c in enumerate(df.columns)
     ])
-    out = one.select(F.explode(rows).alias("r")).select("r.*")
-    if not approx:
-        out = out.join(distinct_counts(df, df.columns), "column", "left").withColumn(
-            "uniques", F.coalesce(F.col("uniques"), F.lit(0).cast("bigint"))
-        )
-    return out.join(sample_values(df, df.columns, samples), "column", "left")
-
-
-def sample_values(df: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """(column, samples): the n smallest distinct values, cut to 100 characters."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    rows = df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("value").isNotNull()).distinct()
+    out = _uniques(df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*"), df, exact)
+    return out.join(sample_values(df, df.columns, samples, width), "column", "left")
+
+
+def sample_values(df: DataFrame, columns: list[str], n: int, width: int | None = None) -> DataFrame:
+    """(column, samples): the n smallest distinct values."""
+    def smallest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list[bytes]] = {}
+        for batch in batches:
+            for name, column in zip(columns, batch.columns, strict=True):
+                values = pc.unique(column.cast(pa.binary())).drop_null().to_pylist()
+                kept[name] = heapq.nsmallest(n, {*kept.get(name, ()), *values})
+        yield pa.RecordBatch.from_pydict({
+            "column": pa.array([c for c, v in kept.items() for _ in v], pa.string()), "value": pa.array([x.decode() for v in kept.values() for x in v], pa.string())})
+
+    rows = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(smallest, "column string, value string").distinct()
     rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     best = rows.withColumn("r", rank).where(F.col("r") <= n)
-    return best.groupBy("column").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("value")), lambda v: F.substring(v, 1, 100)), "|").alias("samples")
-    )
+    shown = F.array_sort(F.collect_list("value"))
+    shown = shown if width is None else F.transform(shown, lambda v: F.substring(v, 1, width))
+    return best.groupBy("column").agg(F.array_join(shown, "|").alias("samples"))
 
 
-def column_stats(df: DataFrame) -> DataFrame:
+def column_stats(df: DataFrame, exact: bool = False) -> DataFrame:
     """Per column: nulls, uniques, and min / max / mean of numbers."""
     types = dict(df.dtypes)
     aggs, rows = [], []
@@ -80,14 +106,14 @@ def column_stats(df: DataFrame) -> DataFrame:
         aggs += [
             F.count_if(F.col(c).isNull()).alias(f"nulls{i}"), F.min(number).alias(f"min{i}"),
             F.max(number).alias(f"max{i}"), F.avg(number).alias(f"avg{i}"),
+            (F.lit(None).cast("binary") if exact else _sketch(c)).alias(f"sketch{i}"),
         ]
         rows.append(F.struct(
             F.lit(c).alias("column"), F.col(f"nulls{i}").alias("nulls"), F.col(f"min{i}").alias("min_value"),
             F.col(f"max{i}").alias("max_value"), F.col(f"avg{i}").alias("mean_value"),
+            F.col(f"sketch{i}").alias("sketch"),
         ))
-    out = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    joined = out.join(distinct_counts(df, df.columns), "column", "left")
-    return joined.withColumn("uniques", F.coalesce(F.col("uniques"), F.lit(0).cast("bigint")))
+    return _uniques(df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*"), df, exact)
 
 
 def _is_number(dtype: str) -> bool:

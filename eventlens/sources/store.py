@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -105,13 +105,31 @@ def source_catalog(df: DataFrame) -> DataFrame:
     ).orderBy(F.desc("row_count"), "source")
 
 
-def flatten_meta(df: DataFrame, keys: Sequence[str], meta: str = "meta") -> DataFrame:
-    """Listed JSON keys as columns; a standard column of that name wins."""
-    out = df
+#: Most keys that ``flatten_meta`` turns into columns by itself.
+MAX_META_KEYS = 2000
+
+
+def meta_keys(df: DataFrame, meta: str = "meta") -> list[str]:
+    """All top-level keys of the JSON objects in a column, in order; each task passes on a key once."""
+    found = df.select(F.explode(F.json_object_keys(meta)).alias("key")).distinct().orderBy("key").limit(MAX_META_KEYS + 1)
+    keys = [r["key"] for r in found.collect()]
+    if len(keys) > MAX_META_KEYS:
+        raise ValueError(f"more than {MAX_META_KEYS} keys in {meta}: list the wanted ones")
+    return keys
+
+
+def flatten_meta(df: DataFrame, keys: Sequence[str] | None = None, meta: str = "meta") -> DataFrame:
+    """JSON keys as text columns, by default all that occur; a standard column of that name wins.
+
+    The object is parsed once; nested values stay JSON text, text that is no object has no keys.
+    """
+    keys = meta_keys(df, meta) if keys is None else keys
+    parsed = F.from_json(meta, "map<string,string>")
+    columns = {}
     for key in keys:
-        value = F.get_json_object(meta, f"$.{key}")
-        out = out.withColumn(key, F.coalesce(F.col(key).cast("string"), value) if key in df.columns else value)
-    return out
+        value = F.try_element_at(F.col("__meta"), F.lit(key))
+        columns[key] = F.coalesce(F.col(f"`{key}`").cast("string"), value) if key in df.columns else value
+    return df.withColumn("__meta", parsed).withColumns(columns).drop("__meta") if columns else df
 
 
 def parse_legs(legs: Column) -> Column:
@@ -199,6 +217,27 @@ def resolve_links(links: DataFrame, entities: DataFrame) -> DataFrame:
 
 # --- ingest log ------------------------------------------------------------------
 
+def append_logged(checked: DataFrame, path: str, sources: Sequence[str]) -> DataFrame:
+    """Append the accepted rows of checked ones and return the log of the load: per source total, ingested, rejected and warning rows.
+
+    The counts are observed on the write itself, so the input is read once. ``sources`` names the sources of the load; rows of others
+    count under a NULL source.
+    """
+    keys = [*dict.fromkeys(sources), None]
+    listed = F.coalesce(F.col("source").isin(*keys[:-1]), F.lit(False)) if keys[:-1] else F.lit(False)
+    metrics = []
+    for i, source in enumerate(keys):
+        here = ~listed if source is None else F.col("source").eqNullSafe(F.lit(source))
+        metrics += [F.count_if(here & test).alias(f"{name}{i}") for name, test in (
+            ("total", F.lit(True)), ("ingested", ~F.col("rejected")), ("rejected", F.col("rejected")), ("warning", F.col("warned")))]
+    seen = Observation()
+    append_events(checked.observe(seen, *metrics).where("NOT rejected").drop("issues", "rejected", "warned"), path)
+    got = seen.get
+    rows = [(source, *(got[f"{name}{i}"] for name in ("total", "ingested", "rejected", "warning"))) for i, source in enumerate(keys)]
+    return checked.sparkSession.createDataFrame(
+        [r for r in rows if r[1]], "source string, total_rows bigint, ingested_rows bigint, rejected_rows bigint, warning_rows bigint")
+
+
 def ingest_log(checked: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Per load: total, ingested, rejected and warning rows."""
     return checked.groupBy(*keys).agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from eventlens import registry, session
 from eventlens.catalog import streams
+from eventlens.operators import profile
 from eventlens.plans.steps import run_steps
 from eventlens.plans.views import Views, select_sql
 from eventlens.sources import formats, store
@@ -129,6 +130,48 @@ def write_parts(spark, path, parts):
     return out_schema
 
 
+def test_layouts_are_found_for_each_input(spark, tmp_path):
+    """Multi-line arrays, arrays of one record a line, lines, two encodings, equal base names."""
+    texts = {
+        "a/x.json": '[\n  {"n": 1,\n   "t": "[{\\"}]"},\n  {"n": 2, "t": null}\n]\n', "b/x.json": '{"n": 3, "t": "c"}\n{"n": 4, "t": "d"}\n',
+        "c/y.json": '[{"n": 5, "t": "e"},\n{"n": 6, "t": "f,]"}]', "a/z.csv": "n,t\n7,Zoë\n".encode("latin-1"), "b/z.csv": "n,t\n8,Zoë\n"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+    out = formats.read_batch(spark, [f"{tmp_path}/{n}" for n in texts], "up", "n int, t string")
+    assert rows(out, "n", "t", "source") == [
+        (1, '[{"}]', "up:x"), (2, None, "up:x"), (3, "c", "up:x"), (4, "d", "up:x"), (5, "e", "up:y"), (6, "f,]", "up:y"), (7, "Zoë", "up:z"), (8, "Zoë", "up:z")]
+    both = formats.read_json(spark, [f"{tmp_path}/{n}" for n in ("a/x.json", "b/x.json", "c/y.json")])
+    assert rows(both, "n") == [(i,) for i in range(1, 7)]
+    assert rows(formats.read_json(spark, f"{tmp_path}/c/y.json")) == [(5, "e"), (6, "f,]")]
+
+
+def test_an_array_is_read_in_parts(spark, tmp_path):
+    lines = [json.dumps({"n": i, "t": "x" * 200}) for i in range(20_000)]
+    (tmp_path / "big.json").write_text("[\n" + ",\n".join(lines) + "\n]\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        out = formats.read_json(spark, f"{tmp_path}/big.json", "n int, t string")
+        assert out.rdd.getNumPartitions() > 3 and out.agg(F.count("n"), F.sum("n")).first()[:] == (20_000, sum(range(20_000)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_too_many_keys_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(store, "MAX_META_KEYS", 2)
+    df = spark.createDataFrame([(i, json.dumps({f"k{i}": i})) for i in range(3)] + [(9, "no json"), (10, None)], "event_id long, meta string")
+    assert store.flatten_meta(df.where("event_id <> 0")).columns == ["event_id", "meta", "k1", "k2"]
+    with pytest.raises(ValueError, match="keys"):
+        store.flatten_meta(df)
+
+
+def test_profile_counts_exactly_on_request(spark):
+    df = spark.range(100_000).select("id", F.when(F.col("id") % 2 == 0, "").alias("t"))
+    exact, near = ({r.column: r for r in profile.profile_columns(df, exact=e, width=3).collect()} for e in (True, False))
+    assert exact["id"].uniques == 100_000 and abs(near["id"].uniques - 100_000) < 2_000
+    assert exact["t"].uniques == near["t"].uniques == 1 and exact["id"].samples == "0|1|10|100|100"
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     schema = write_parts(spark, tmp_path, [
         [(1, "2024-01-01T00:10:00", "u"), (2, "2024-01-01T05:00:00", "u")],
