@@ -29,11 +29,11 @@ def payloads(spark, sf):
     return df.select("event_id", "source", raw.alias("raw"))
 
 
-CATALOG_SQL = "cat AS (SELECT DISTINCT source AS dataset, unnest(CASE source " + " ".join(
-    f"WHEN '{s}' THEN [{', '.join(repr(n) for n in names)}]" for s, names in RAW_NAMES.items()) + " END) AS col FROM ev)"
+CATALOG_SQL = "cat AS (SELECT dataset, f.col AS col, f.place AS place FROM (SELECT DISTINCT source AS dataset, unnest(CASE source " + " ".join(
+    f"WHEN '{s}' THEN [{', '.join(f'{{col: {n!r}, place: {i}}}' for i, n in enumerate(names))}]" for s, names in RAW_NAMES.items()) + " END) AS f FROM ev))"
 PATTERN_SQL = "pat(target, pattern, pos) AS (VALUES " + ", ".join(
     f"('{t}', '{p}', {i})" for i, (t, p) in enumerate(mp.SYNONYMS.items())) + ")"
-HITS_SQL = """hits AS (SELECT dataset, col, target, length(regexp_extract(lower(col), pattern, 0)) / length(col) AS score
+HITS_SQL = """hits AS (SELECT dataset, col, place, target, length(regexp_extract(lower(col), pattern, 0)) / length(col) AS score
   FROM cat, pat WHERE regexp_matches(lower(col), pattern))"""
 
 
@@ -48,11 +48,11 @@ _EXPR_SQL = " ".join(f"WHEN '{t}' THEN '{e}'" for t, e in mp.SUGGESTED_EXPRESSIO
 
 
 @query("suggest_mapping", with_ev(f"""
-SELECT dataset, target, min(col) AS "column", CASE target {_EXPR_SQL} END AS expression FROM hits WHERE target NOT IN ('ts', 'event_type') GROUP BY dataset, target
-UNION ALL SELECT c.dataset, 'ts', coalesce(min(h.col), min(c.col)), NULL FROM cat c LEFT JOIN hits h ON h.dataset = c.dataset AND h.target = 'ts' GROUP BY c.dataset
-UNION ALL SELECT c.dataset, 'event_type', coalesce(min(h.col), 'event'), NULL FROM cat c LEFT JOIN hits h ON h.dataset = c.dataset AND h.target = 'event_type' GROUP BY c.dataset
+SELECT dataset, target, arg_min(col, place) AS "column", CASE target {_EXPR_SQL} END AS expression FROM hits WHERE target NOT IN ('ts', 'event_type') GROUP BY dataset, target
+UNION ALL SELECT c.dataset, 'ts', coalesce(arg_min(h.col, h.place), arg_min(c.col, c.place)), NULL FROM cat c LEFT JOIN hits h ON h.dataset = c.dataset AND h.target = 'ts' GROUP BY c.dataset
+UNION ALL SELECT c.dataset, 'event_type', coalesce(arg_min(h.col, h.place), 'event'), NULL FROM cat c LEFT JOIN hits h ON h.dataset = c.dataset AND h.target = 'event_type' GROUP BY c.dataset
 UNION ALL SELECT DISTINCT dataset, 'source_value', 'csv_upload', NULL FROM cat
-UNION ALL SELECT dataset, 'user_id', NULL, 'concat:-:' || min(col) FILTER (target = 'account_id') || ',' || min(col) FILTER (target = 'device_id') FROM hits
+UNION ALL SELECT dataset, 'user_id', NULL, 'concat:-:' || arg_min(col, place) FILTER (target = 'account_id') || ',' || arg_min(col, place) FILTER (target = 'device_id') FROM hits
   GROUP BY dataset HAVING count(*) FILTER (target = 'user_id') = 0""", CATALOG_SQL, PATTERN_SQL, HITS_SQL))
 def suggest_mapping(spark, sf):
     return mp.suggest_mapping(mp.catalog_of(payloads(spark, sf), "source", "raw"))

@@ -90,6 +90,7 @@ def add_reasons(
     rules = []
     if with_forest:
         rules.append((c("anomaly"), _reason("IF_OUTLIER", c("anom_score"), F.lit(contamination), F.lit("IsolationForest outlier"))))
+    # Codes and texts of the reasons, as viewers show them.
     far_text = F.format_string(f"Distance from home %.0fkm exceeds {dist_km_thr}km", c("dist_home_km"))
     jump_text = F.format_string("Geographic jump %.0fkm at %.0fkm/h", c("dist_prev_km"), c("speed_kmh"))
     rate_text = F.format_string(

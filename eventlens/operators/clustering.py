@@ -16,10 +16,11 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.operators.graph import connected_components
+from eventlens.operators.windows import range_numbered
 from eventlens.session import materialize
 
 AXES = ("x", "y", "z")
@@ -204,8 +205,7 @@ def geo_dbscan(df: DataFrame, eps: float = 0.7, min_samples: int = 15) -> DataFr
     first = core.groupBy(*CELL).agg(F.min(F.struct("ts", "event_id")).alias("first")).withColumn("id", key)
     members = first.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     starts = members.groupBy("component").agg(F.min("first").alias("first"))
-    # One row per cluster: at most as many as there are occupied cells.
-    numbered = starts.withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first")) - 1)
+    numbered = range_numbered(starts, ["first"], "cluster")
     cell_cluster = materialize(members.join(numbered.select("component", "cluster"), "component").select(*CELL, "cluster"), "cellcluster")
 
     core_labels = core.join(cell_cluster, CELL).select("event_id", "cluster")

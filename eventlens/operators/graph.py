@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions.scales import severity
 from eventlens.operators.viz import metric_column, usable_value
+from eventlens.operators.windows import range_numbered
 from eventlens.session import materialize
 
 #: Rounds of label propagation in which all nodes may move.
@@ -35,9 +36,9 @@ def link_cells(df: DataFrame, edges: Sequence[str], extra: Sequence[str] = ()) -
 
 def graph_edges(
     df: DataFrame, edges: Sequence[str], metric: str = "count", value: str | None = None,
-    min_link: float = 1.0, max_links: int | None = 6000,
+    min_link: float = 1.0, max_links: int | None = None,
 ) -> DataFrame:
-    """Weighted links, the heaviest ``max_links`` of each type; None keeps all."""
+    """Weighted links; with ``max_links`` the heaviest of each type."""
     kept = usable_value(df, value)
     links = link_cells(df, edges, [kept] if kept else []).groupBy("etype", "a", "b").agg(
         metric_column(metric, kept).alias("value")
@@ -56,11 +57,12 @@ def node_weights(links: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("value").alias("value"))
 
 
-def graph_nodes(links: DataFrame, max_nodes: int = 4000) -> tuple[DataFrame, DataFrame]:
-    """The heaviest nodes with degree, and the links among them."""
-    links = materialize(links, "links")  # at most max_links per type
-    top = node_weights(links).orderBy(F.desc("value"), "id").limit(max_nodes)
-    kept = links_among(links, top)
+def graph_nodes(links: DataFrame, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes with degree, and the links among them; with ``max_nodes`` the heaviest nodes only."""
+    links = materialize(links, "links")
+    top = node_weights(links)
+    top = top if max_nodes is None else top.orderBy(F.desc("value"), "id").limit(max_nodes)
+    kept = links if max_nodes is None else links_among(links, top)
     degrees = kept.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(
         F.count(F.lit(1)).alias("degree")
     )
@@ -120,8 +122,10 @@ def neighbors(links: DataFrame) -> DataFrame:
     return both_ways(links).select(F.col("src").alias("node"), F.col("dst").alias("neighbor"))
 
 
-def label_propagation(links: DataFrame) -> DataFrame:
-    """(id, label): every node takes its neighbours' heaviest label each round, until no label moves.
+def label_propagation(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """(id, label, converged): every node takes its neighbours' heaviest label each round, until no label moves.
+
+    After ``rounds`` rounds the labels are taken as they are, with ``converged`` false.
 
     A node's own label votes with the weight of its heaviest link, which keeps
     most two-sided graphs from swapping labels; ties go to the smallest label.
@@ -133,8 +137,8 @@ def label_propagation(links: DataFrame) -> DataFrame:
     own = pairs.groupBy("src").agg(F.max("weight").alias("weight"))
     votes = materialize(pairs.unionByName(own.select("src", F.col("src").alias("dst"), "weight")), "votes")
     labels = votes.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
-    before, halves, turn = None, False, 0
-    while True:
+    before, halves = None, False
+    for turn in range(1, rounds + 1):
         weighed = (
             votes.join(labels, votes["dst"] == labels["id"]).groupBy("src", "label").agg(F.sum("weight").alias("w"))
         )
@@ -142,14 +146,14 @@ def label_propagation(links: DataFrame) -> DataFrame:
         best = weighed.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("nw"), "label")).alias("b"))
         fresh = materialize(best.select(F.col("src").alias("id"), F.col("b.label").alias("label")), f"labels{turn}")
         if not _differ(fresh, labels):
-            return fresh
-        turn += 1
+            return fresh.withColumn("converged", F.lit(True))
         halves = halves or turn >= TOGETHER or (before is not None and not _differ(fresh, before))
         if halves:
             moves = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
             mixed = fresh.join(labels.withColumnRenamed("label", "old"), "id")
             fresh = materialize(mixed.select("id", F.when(moves, F.col("label")).otherwise(F.col("old")).alias("label")), f"labels{turn}")
         before, labels = labels, fresh
+    return labels.withColumn("converged", F.lit(False))
 
 
 def _differ(some: DataFrame, others: DataFrame) -> bool:
@@ -157,23 +161,9 @@ def _differ(some: DataFrame, others: DataFrame) -> bool:
 
 
 def communities(labels: DataFrame) -> DataFrame:
-    """(id, community): numbered by size, ties by label.
-
-    Labels are dealt by ranges of (size, label) and numbered within each range,
-    from the number of labels in the ranges before it.
-    """
+    """(id, label, community, size): numbered by size, ties by label."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    ranges = sizes.repartitionByRange(F.desc("size"), "label").withColumn("part", F.spark_partition_id())
-    ranges = materialize(ranges, "label-sizes")
-    # One row for each range.
-    counts, before = sorted(map(tuple, ranges.groupBy("part").count().collect())), 0
-    offsets = []
-    for part, n in counts:
-        offsets.append((part, before))
-        before += n
-    offset = labels.sparkSession.createDataFrame(offsets, "part int, before long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("size"), "label"))
-    numbered = ranges.join(offset, "part").select("label", "size", (F.col("before") + place - 1).alias("community"))
+    numbered = range_numbered(sizes, [F.desc("size"), "label"], "community")
     return labels.join(numbered, "label").select("id", "label", "community", "size")
 
 

@@ -124,9 +124,9 @@ def ingest(
 
 
 def catalog_of(payloads: DataFrame, dataset: str, payload: str) -> DataFrame:
-    """(dataset, column): the distinct field names found in JSON records."""
-    names = payloads.select(F.col(dataset).alias("dataset"), F.explode(F.json_object_keys(payload)).alias("column"))
-    return names.distinct()
+    """(dataset, column, place): the distinct field names found in JSON records, and their order in the fullest record."""
+    names = payloads.select(F.col(dataset).alias("dataset"), F.posexplode(F.json_object_keys(payload)).alias("pos", "column"))
+    return names.groupBy("dataset", "column").agg(F.max("pos").alias("place"))
 
 
 def name_matches(catalog: DataFrame) -> DataFrame:
@@ -141,9 +141,9 @@ def name_matches(catalog: DataFrame) -> DataFrame:
         )
         for i, (target, pattern) in enumerate(SYNONYMS.items())
     ])
-    rows = catalog.select("dataset", "column", F.explode(tried).alias("t")).where(F.col("t.hit") != "")
+    rows = catalog.select("dataset", "column", "place", F.explode(tried).alias("t")).where(F.col("t.hit") != "")
     share = F.length("t.hit") / F.length(F.trim("column"))
-    return rows.select("dataset", "column", "t.target", "t.target_order", share.alias("score"))
+    return rows.select("dataset", "column", "place", "t.target", "t.target_order", share.alias("score"))
 
 
 def mapping_scores(catalog: DataFrame, floor: float = 0.1, n: int = 5) -> DataFrame:
@@ -156,16 +156,16 @@ def mapping_scores(catalog: DataFrame, floor: float = 0.1, n: int = 5) -> DataFr
 
 
 def suggest_mapping(catalog: DataFrame) -> DataFrame:
-    """(dataset, target, column, expression): first matching column per target.
+    """(dataset, target, column, expression): first matching column per target, in the order of the file.
 
     ``ts`` falls back to the first column and ``event_type`` to ``event``. A
     missing user is built from account and device, or taken from the agent sign.
     """
-    first = name_matches(catalog).groupBy("dataset", "target").agg(F.min("column").alias("column"))
+    first = name_matches(catalog).groupBy("dataset", "target").agg(F.min_by("column", F.struct("place", "column")).alias("column"))
     found = first.groupBy("dataset").agg(
         F.map_from_entries(F.collect_list(F.struct("target", "column"))).alias("m")  # at most one entry per target
     )
-    datasets = catalog.groupBy("dataset").agg(F.min("column").alias("__first"))
+    datasets = catalog.groupBy("dataset").agg(F.min_by("column", F.struct("place", "column")).alias("__first"))
     joined = datasets.join(found, "dataset", "left")
     m = F.coalesce("m", F.create_map().cast("map<string,string>"))
 

@@ -81,16 +81,19 @@ def top_groups_of(cells: DataFrame, n: int) -> DataFrame:
 
 def timeline_topn(cells: DataFrame, n: int) -> DataFrame:
     """(bucket, series, value): top n groups and the rest, zero where nothing happened."""
+    cells = materialize(cells, "cells")
     top = top_groups_of(cells, n).select("grp")
-    # At most n + 1 names.
-    names = top.agg(F.sort_array(F.collect_list("grp")).alias("names")).scalar()
-    series = F.when(F.array_contains(names, F.col("grp")), F.col("grp")).otherwise(OTHERS)
+    # At most n + 1 names; a mark in front tells the rest from a group of that name.
+    names = top.agg(F.sort_array(F.collect_list(F.concat(F.lit("="), "grp"))).alias("names")).scalar()
+    marked = F.concat(F.lit("="), F.col("grp"))
+    series = F.when(F.array_contains(names, marked), marked).otherwise("+" + OTHERS)
     sums = cells.groupBy("bucket", series.alias("series")).agg(F.sum("value").alias("value"))
     filled = (
         sums.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("series", "value"))).alias("seen"))
-        .select("bucket", "seen", F.explode(F.concat(names, F.array(F.lit(OTHERS)))).alias("series"))
+        .select("bucket", "seen", F.explode(F.concat(names, F.array(F.lit("+" + OTHERS)))).alias("series"))
     )
-    return filled.select("bucket", "series", F.coalesce(F.col("seen")[F.col("series")], F.lit(0.0)).alias("value"))
+    return filled.select(
+        "bucket", F.substring("series", 2, 1 << 30).alias("series"), F.coalesce(F.col("seen")[F.col("series")], F.lit(0.0)).alias("value"))
 
 
 def timeline_normalized(timeline: DataFrame) -> DataFrame:
@@ -159,12 +162,12 @@ def timeline_markers(cells: DataFrame, overlay: DataFrame, stacked: bool = True,
 def minute_chart(scored: DataFrame, n: int) -> DataFrame:
     """Per minute: top users and the rest, with the highest anomalous score."""
     rows = scored.withColumn("anom_score", F.when(F.col("anomaly"), F.col("anom_score")))
-    cells = bucket_groups(rows, "1m", ["user_id"])
+    cells = materialize(bucket_groups(rows, "1m", ["user_id"]), "cells")
     names = top_groups_of(cells, n).agg(F.collect_list("grp").alias("names")).scalar()
-    series = F.when(F.array_contains(names, F.col("grp")), F.col("grp")).otherwise(OTHERS)
-    return cells.groupBy("bucket", series.alias("series")).agg(
+    own = F.array_contains(names, F.col("grp"))
+    return cells.groupBy("bucket", own.alias("own"), F.when(own, F.col("grp")).otherwise(OTHERS).alias("series")).agg(
         F.sum("value").alias("value"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score")
-    )
+    ).drop("own")
 
 
 # --- grids and rankings -----------------------------------------------------------
@@ -224,11 +227,12 @@ def topn_others(df: DataFrame, fields: Sequence[str], n: int, metric: str = "sum
         F.coalesce(metric_column(metric, usable_value(df, value)), F.lit(0.0)).alias("value"),
         F.count(F.lit(1)).alias("events"), F.max("anom_score").alias("max_score"),
     )
+    totals = materialize(totals, "totals")
     names = totals.orderBy(F.desc("value"), "grp").limit(n).agg(F.collect_list("grp").alias("names")).scalar()
-    label = F.when(F.array_contains(names, F.col("grp")), F.col("grp")).otherwise(OTHERS)
-    out = totals.groupBy(label.alias("grp")).agg(
+    own = F.array_contains(names, F.col("grp"))
+    out = totals.groupBy(own.alias("own"), F.when(own, F.col("grp")).otherwise(OTHERS).alias("grp")).agg(
         F.sum("value").alias("value"), F.sum("events").alias("events"), F.max("max_score").alias("max_score")
-    )
+    ).drop("own")
     # At most n + 1 rows from here on.
     total = F.sum("value").over(Window.partitionBy(F.lit(1)))
     return out.withColumn("percent", F.when(total != 0, F.col("value") / total * 100).otherwise(0.0)).withColumn(
@@ -316,6 +320,7 @@ def flow_links(
     links = exploded.groupBy("step", "a", "b").agg(
         metric_column(metric, kept).alias("value"), F.max("anom_score").alias("max_score")
     )
+    links = materialize(links, "flow")
     ends = links.select(
         F.explode(F.array(F.struct(F.col("step").alias("level"), F.col("a").alias("v")),
                           F.struct((F.col("step") + 1).alias("level"), F.col("b").alias("v")))).alias("e"), "value"
@@ -368,16 +373,19 @@ def hex_bins(scored: DataFrame, radius_km: float, color_by: Sequence[str] = (),
     """Events and mean score per hexagon, split by the top_k composite categories."""
     rows = scored.where(F.col("geo_lat").isNotNull() & F.col("geo_lon").isNotNull())
     q, r = hex_cell(F.col("geo_lat"), F.col("geo_lon"), radius_km)
-    category = F.lit("all")
+    sums = [F.count(F.lit(1)).alias("events"), F.sum("anom_score").alias("total"), F.count("anom_score").alias("scored")]
     if color_by:
         key = F.concat_ws(" · ", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in color_by])
-        rows = rows.withColumn("key", key)
-        top = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").limit(top_k)
+        cells = materialize(rows.groupBy(q.alias("q"), r.alias("r"), key.alias("key")).agg(*sums), "hexes")
+        top = cells.groupBy("key").agg(F.sum("events").alias("n")).orderBy(F.desc("n"), "key").limit(top_k)
         names = top.agg(F.collect_list("key").alias("names")).scalar()
-        category = F.when(F.array_contains(names, F.col("key")), F.col("key")).otherwise(OTHERS)
-    return rows.groupBy(q.alias("q"), r.alias("r"), category.alias("category")).agg(
-        F.count(F.lit(1)).alias("events"), F.avg("anom_score").alias("mean_score")
-    )
+        own = F.array_contains(names, F.col("key"))
+        cells = cells.groupBy("q", "r", own.alias("own"), F.when(own, F.col("key")).otherwise(OTHERS).alias("category")).agg(
+            *[F.sum(c).alias(c) for c in ("events", "total", "scored")])
+    else:
+        cells = rows.groupBy(q.alias("q"), r.alias("r"), F.lit("all").alias("category")).agg(*sums)
+    mean = F.when(F.col("scored") > 0, F.col("total") / F.col("scored"))
+    return cells.select("q", "r", "category", "events", mean.alias("mean_score"))
 
 
 def geo_grid_clusters(scored: DataFrame, radius_km: float) -> DataFrame:
@@ -394,7 +402,7 @@ def geo_grid_clusters(scored: DataFrame, radius_km: float) -> DataFrame:
 
 def globe_events(scored: DataFrame, bucket: str, tz: str | None, contamination: float) -> DataFrame:
     """Located events with floored time, flagged from the score quantile upward."""
-    rows = scored.where(F.col("geo_lat").isNotNull() & F.col("geo_lon").isNotNull())
+    rows = materialize(scored.where(F.col("geo_lat").isNotNull() & F.col("geo_lon").isNotNull()), "located")
     cut = quantile_scalar(rows, "anom_score", 1 - contamination)
     out = rows.withColumn("bucket", bucket_epoch(F.col("ts"), bucket_seconds(bucket), tz))
     return out.withColumn("high", F.col("anom_score") >= cut)

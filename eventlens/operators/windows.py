@@ -182,3 +182,20 @@ def with_first_seen(
         return rows
 
     return heavy.split(df, plain, chunked)
+
+
+def range_numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """``df`` with a number from 0 in the given order, without a task that holds all rows.
+
+    Rows are dealt by ranges and numbered within each range, from the number of rows in the ranges before it.
+    """
+    ranges = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranges = materialize(ranges, "ranges")
+    # One row for each range.
+    counts, before, offsets = sorted(map(tuple, ranges.groupBy("__part").count().collect())), 0, []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    offset = df.sparkSession.createDataFrame(offsets, "__part int, __before long")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranges.join(offset, "__part").withColumn(name, F.col("__before") + place - 1).drop("__part", "__before")
