@@ -1,7 +1,7 @@
 """Phrase collocations from depth-truncated suffix subtrees (operator 12).
 
 A text is cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and those into words. The suffixes of all pieces, cut after ``DEPTH`` words or before
-the first word or pair of words that is too rare for any phrase, are partitioned vertically in the manner of ERA: the suffixes below a word prefix
+the first word, pair or triple of words that is too rare for any phrase, are partitioned vertically in the manner of ERA: the suffixes below a word prefix
 form a subtree, a prefix with more suffixes than ``BUDGET`` is split by its next word, and prefixes are packed into groups that
 fit the budget. Each group is built by itself in one task: its sorted suffixes are its leaves, runs of equal words at each depth are
 its nodes, and a phrase occurs as often as the leaves below its node in total. The few nodes above a split prefix have leaves in several groups;
@@ -9,8 +9,8 @@ their totals are added up. Equal suffixes of a slice of text are counted before
 each slice however frequent it is.
 
 Prefixes are counted and packed by hash slots (``2 ** SLOT_BITS`` for each depth), so what reaches the driver and the tasks has a fixed size: a
-slot stands for all prefixes that fall into it, which are split together. Suffixes are cut by two bitmaps, of the slots of frequent words and of
-the slots where pairs add up to the least count. A rare word or pair that they let through costs work and changes nothing, since nodes below
+slot stands for all prefixes that fall into it, which are split together. Suffixes are cut by bitmaps: of the slots of frequent words, and of
+the slots where pairs, then triples of what passed before, add up to the least count. A rare one that they let through costs work and changes nothing, since nodes below
 the least count are dropped.
 
 NULL texts count as empty, a NULL language as ``und``; empty texts and tables give no rows, texts of any length are taken whole (in
@@ -36,8 +36,10 @@ from eventlens.session import materialize
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Suffixes of a group; words of a row of the token table; suffixes or words that a task holds before it counts equal ones.
 BUDGET, STREAM, CHUNK = 1 << 20, 1 << 15, 1 << 18
-#: Slots (powers of two) of the prefix histogram of each depth, of the bitmap of frequent words, and of the counters of pairs in how many cells.
-SLOT_BITS, WORD_BITS, PAIR_BITS, CELL_BITS = 16, 24, 23, 8
+#: Slots (powers of two) of the prefix histogram of each depth, of the bitmap of frequent words, and of the counters of pairs and triples in how many cells.
+SLOT_BITS, WORD_BITS, GRAM_BITS, CELL_BITS = 16, 24, 23, 8
+#: Lengths of the runs of words that are counted in slots before suffixes are cut.
+GRAMS = (2, 3)
 
 IS_BREAK = np.zeros(256, dtype=bool)
 IS_BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -135,32 +137,52 @@ def _in_bitmap(words: np.ndarray, salt: np.uint64, bitmap: np.ndarray) -> np.nda
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0
 
 
-def _pair_slot(first: np.ndarray, second: np.ndarray, salt: np.uint64) -> np.ndarray:
-    return _top_bits(mix(first * _PLACE[0] + second * _PLACE[1] + salt), PAIR_BITS)
+def _passing(words: np.ndarray, salt: np.uint64, bitmaps: list[np.ndarray], overlap: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each length in ``GRAMS`` with a bitmap whether the run of words at each place passes, 0 standing between pieces.
 
-
-def _suffixes(stream: bytes, own: int, salt: np.uint64, bitmap: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    Then the slots of the runs of the first length without a bitmap whose shorter runs pass, but for those that start in the last ``overlap`` words.
+    """
+    padded = np.append(words, np.zeros(DEPTH, np.uint64))
+    whole, passing = padded != 0, []
+    before = whole
+    for k, bitmap in zip(GRAMS, [*bitmaps, None], strict=False):
+        alive = np.append(before[1:], False) & before
+        at = np.flatnonzero(alive)
+        total = np.full(len(at), salt, np.uint64)
+        for d in range(k):
+            total += padded[at + d] * _PLACE[d]
+        slot = _top_bits(mix(total), GRAM_BITS)
+        if bitmap is None:
+            return passing, slot[at < len(words) - overlap]
+        alive[at] = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0
+        passing.append(alive)
+        before = alive
+    return passing, np.zeros(0, np.int64)
+
+
+def _suffixes(stream: bytes, own: int, salt: np.uint64, bitmap: np.ndarray, *grams: np.ndarray) -> np.ndarray:
     """Truncated suffixes that start with a frequent word, 0 behind their end."""
     words = np.frombuffer(stream, np.uint64)
     words = np.where(_in_bitmap(words, salt, bitmap), words, np.uint64(0))
+    passing, _ = _passing(words, salt, list(grams))
     padded = np.append(words, np.zeros(DEPTH, np.uint64))
-    slot = _pair_slot(padded[:-1], padded[1:], salt)
-    goes_on = (padded[1:] != 0) & ((pairs[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0)
     start = np.flatnonzero(words[:own])
     out = np.zeros((len(start), DEPTH), np.uint64)
     out[:, 0] = padded[start]
     alive = np.ones(len(start), bool)
     for d in range(1, DEPTH):
-        alive &= goes_on[start + d - 1]
+        for k, passes in zip(GRAMS, passing, strict=True):
+            if d >= k - 1:
+                alive &= passes[start + d - k + 1]
         out[:, d] = padded[start + d] * alive
     return out
 
 
-def _pair_counts(bitmap: bytes):
-    """Rows (cell, counts) of a task: how many pairs of frequent words fall into each slot."""
+def _gram_counts(known: tuple[bytes, ...]):
+    """Rows (cell, counts) of a task: how many runs of words of the next length fall into each slot."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, held = np.frombuffer(bitmap, np.uint8), np.zeros(1 << PAIR_BITS, np.uint8), []
+        bitmaps, total, held = [np.frombuffer(x, np.uint8) for x in known], np.zeros(1 << GRAM_BITS, np.uint8), []
 
         def add() -> None:
             slot, n = np.unique(np.concatenate(held), return_counts=True)
@@ -170,10 +192,8 @@ def _pair_counts(bitmap: bytes):
         for batch in batches:
             for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
                 salt, words = _salt(lang), np.frombuffer(stream.as_buffer(), np.uint64)
-                frequent = _in_bitmap(words, salt, known) & (words != 0)
-                at = np.flatnonzero(frequent[:-1] & frequent[1:])
-                at = at[at < own]
-                held.append(_pair_slot(words[at], words[at + 1], salt))
+                words = np.where(_in_bitmap(words, salt, bitmaps[0]), words, np.uint64(0))
+                held.append(_passing(words, salt, bitmaps[1:], len(words) - own)[1])
                 if sum(map(len, held)) > CHUNK:
                     add()
         if held:
@@ -204,17 +224,19 @@ def _added(kind: type, finish):
     return work
 
 
-def frequent_pairs(tokens: DataFrame, bitmap: bytes, least: int) -> bytes:
-    """Bitmap of ``2 ** PAIR_BITS`` slots: where a pair of words that occurs ``least`` times falls, and others by chance.
+def frequent_runs(tokens: DataFrame, bitmap: bytes, least: int) -> tuple[bytes, ...]:
+    """``bitmap`` and for each length in ``GRAMS`` one of ``2 ** GRAM_BITS`` slots: where runs that occur ``least`` times fall, and others by chance.
 
-    A task counts up to 255 in a slot, so ``least`` is at most that.
+    A task counts up to 255 in a slot, so no more than that is asked for.
     """
-    enough = min(least, 255)
-    counts = tokens.mapInArrow(_pair_counts(bitmap), "cell long, counts binary").repartition("cell")
-    bits = np.zeros((1 << CELL_BITS, 1 << (PAIR_BITS - CELL_BITS - 3)), np.uint8)
-    for row in counts.mapInArrow(_added(np.uint8, lambda x: np.packbits(x >= enough, bitorder="little")), "cell long, counts binary").collect():
-        bits[row["cell"]] = np.frombuffer(row["counts"], np.uint8)
-    return bits.tobytes()
+    known, enough = (bitmap,), min(least, 255)
+    for _ in GRAMS:
+        counts = tokens.mapInArrow(_gram_counts(known), "cell long, counts binary").repartition("cell")
+        bits = np.zeros((1 << CELL_BITS, 1 << (GRAM_BITS - CELL_BITS - 3)), np.uint8)
+        for row in counts.mapInArrow(_added(np.uint8, lambda x: np.packbits(x >= enough, bitorder="little")), "cell long, counts binary").collect():
+            bits[row["cell"]] = np.frombuffer(row["counts"], np.uint8)
+        known += (bits.tobytes(),)
+    return known
 
 
 def _counted(suffixes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +250,7 @@ def _counted(suffixes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.
     return rows[start], total
 
 
-def _streams(batches: Iterable[pa.RecordBatch], known: tuple[bytes, bytes]) -> Iterator[tuple[str, np.uint64, np.ndarray]]:
+def _streams(batches: Iterable[pa.RecordBatch], known: tuple[bytes, ...]) -> Iterator[tuple[str, np.uint64, np.ndarray]]:
     bitmaps = [np.frombuffer(x, np.uint8) for x in known]
     for batch in batches:
         for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
@@ -250,7 +272,7 @@ def _split(suffixes: np.ndarray, salt: np.uint64, plan: list[np.ndarray]) -> tup
     return group, slot
 
 
-def _histogram(known: tuple[bytes, bytes], plan: list[np.ndarray]):
+def _histogram(known: tuple[bytes, ...], plan: list[np.ndarray]):
     """Rows (cell, counts): suffixes of this task by the slot of their next undecided prefix."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +286,7 @@ def _histogram(known: tuple[bytes, bytes], plan: list[np.ndarray]):
     return work
 
 
-def vertical_partition(tokens: DataFrame, known: tuple[bytes, bytes], budget: int = BUDGET) -> list[np.ndarray]:
+def vertical_partition(tokens: DataFrame, known: tuple[bytes, ...], budget: int = BUDGET) -> list[np.ndarray]:
     """Plan of the groups, which are numbered by the depth of their prefixes: for each depth the group of every prefix slot, -1 where its suffixes are above ``budget`` and the next word decides.
 
     Slots of the last depth are never split: equal suffixes are counted before they travel.
@@ -285,7 +307,7 @@ def vertical_partition(tokens: DataFrame, known: tuple[bytes, bytes], budget: in
     return plan
 
 
-def _parts(known: tuple[bytes, bytes], plan: list[np.ndarray]):
+def _parts(known: tuple[bytes, ...], plan: list[np.ndarray]):
     """Rows (grp, lang, suffixes, times): distinct suffixes of a part of a task's text that belong to a group."""
 
     def cut(lang: str, some: list[np.ndarray]) -> pa.RecordBatch:
@@ -398,7 +420,7 @@ def phrase_counts(tokens: DataFrame, counts: DataFrame, least: int = LEAST, budg
     ``above`` counts their shorter prefixes, NULL where a prefix was split.
     """
     bitmap = _bitmap(counts.where(F.col("n") >= least))
-    known = bitmap, frequent_pairs(tokens, bitmap, least)
+    known = frequent_runs(tokens, bitmap, least)
     plan = vertical_partition(tokens, known, budget)
     parts = tokens.mapInArrow(_parts(known, plan), "grp long, lang string, suffixes binary, times binary")
     grouped = parts.repartition("grp").sortWithinPartitions("grp", "lang")

@@ -100,7 +100,7 @@ def test_groups_keep_the_budget(spark):
     texts = docs.select("lang", "text")
     tokens = co.materialize(texts.mapInArrow(co._tokens, co._TOKENS), "tokens")
     bitmap = co._bitmap(co.word_counts(tokens))
-    known = bitmap, co.frequent_pairs(tokens, bitmap, 2)
+    known = co.frequent_runs(tokens, bitmap, 2)
     budget = 2000
     plan = co.vertical_partition(tokens, known, budget)
     parts = tokens.mapInArrow(co._parts(known, plan), "grp long, lang string, suffixes binary, times binary")
