@@ -5,10 +5,12 @@ training count. With c, N, V of the training tokens, P(word | state) = P(class |
 (c + 0.5) in the class; a word without training count has 0.5 / (N + 0.5 (V + 1)) in every state, as in the unigram base. So the
 probabilities of all known words and one unknown word sum to one in each state.
 
-Baum-Welch: each task gathers expected counts of its training texts (in windows of ``WINDOW`` tokens, each a sequence of
-its own), Spark sums them across tasks, and the next round starts from the sums. The first parameters come from a few rounds over ``SEEDS``
-training texts (those of the smallest id hashes). Word counts are summed over all training texts. The score of a text is its exact log
-likelihood: one scaled forward recursion over the whole text.
+Baum-Welch: each task gathers expected counts of its training texts, Spark sums them across tasks, and the next round starts from the sums, over
+all training texts each time, until a round gains less than ``GAIN`` bits a token (at most ``ROUNDS`` times). Tasks work on windows of ``WINDOW``
+tokens; each is read with ``CONTEXT`` tokens of its text on either side, over which the forward and backward messages settle, so that every
+transition counts once and only beginnings of texts count as such. The first parameters are the classes' shares of all training tokens, blurred
+for each state. Word counts are summed over all training texts. The score of a text is its exact log likelihood: one scaled forward recursion over
+the whole text.
 
 Texts are packed once into chunks of about ``CHUNK`` tokens with a vocabulary of their own, written as Parquet; later passes read those, and
 only distinct words of chunks are shuffled, never tokens. Broadcast are the parameters, whose size is fixed.
@@ -26,15 +28,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import query, remainder, sliced, table
 from eventlens.llm.words import LOWER, Words, mix, words_of
 from eventlens.session import materialize
 
-STATES, CLASSES, WINDOW, ROUNDS = 8, 1 << 15, 128, 2
-SEEDS, SEED_ROUNDS = 300, 25
+STATES, CLASSES, WINDOW, CONTEXT = 8, 1 << 15, 128, 12
+#: Most rounds, and the gain in bits a token below which there is no further one.
+ROUNDS, GAIN = 12, 0.01
 CHUNK, BLOCK = 2_000_000, 8192
 #: Class of the end token.
 END = 0
@@ -108,31 +111,53 @@ class Model(NamedTuple):
     emit: np.ndarray  # CLASSES x STATES
 
 
-def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and length of all windows, longest first."""
+class Windows(NamedTuple):
+    """Windows of texts with their context, longest first: begin and length, the part that counts (from, to), and whether a text begins there."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+
+
+def windows_of(lengths: np.ndarray) -> Windows:
     pieces = -(-lengths // WINDOW)
-    begin = np.repeat(np.cumsum(lengths) - lengths, pieces) + WINDOW * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    size = np.minimum(WINDOW, np.repeat(np.cumsum(lengths), pieces) - begin)
-    order = np.argsort(-size, kind="stable")
-    return begin[order], size[order]
+    ends = np.repeat(np.cumsum(lengths), pieces)
+    starts = np.repeat(np.cumsum(lengths) - lengths, pieces)
+    core = starts + WINDOW * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    until = np.minimum(core + WINDOW, ends)
+    begin, end = np.maximum(core - CONTEXT, starts), np.minimum(until + CONTEXT, ends)
+    order = np.argsort(begin - end, kind="stable")
+    return Windows(*(x[order] for x in (begin, end - begin, core - begin, until - begin, core == starts)))
+
 
+def lasting(step: np.ndarray) -> np.ndarray:
+    """Distribution of states that a chain settles at."""
+    out = np.full(len(step), 1 / len(step))
+    for _ in range(200):
+        out = out @ step
+    return out / out.sum()
 
-def expected(model: Model, seq: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, step, emit) of texts by forward and backward recursion over their windows."""
+
+def expected(model: Model, seq: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (start, step, emit) of texts and their log likelihood, by forward and backward recursion over their windows."""
     k = len(model.start)
-    start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
-    a_, b_, p_ = (x.astype(np.float32) for x in (model.step, model.emit, model.start))
-    begins, sizes = _windows(lengths)
-    for lo in range(0, len(begins), BLOCK):
-        begin, size = begins[lo : lo + BLOCK], sizes[lo : lo + BLOCK]
+    start, step, emit, gained = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0
+    a_, b_, p_, l_ = (x.astype(np.float32) for x in (model.step, model.emit, model.start, lasting(model.step)))
+    every = windows_of(lengths)
+    for lo in range(0, len(every.begin), BLOCK):
+        begin, size, low, high, first = (x[lo : lo + BLOCK] for x in every)
         top = int(size[0])
         active = [int(np.searchsorted(-size, -t, "left")) for t in range(top)]
         token = [seq[begin[:n] + t] for t, n in enumerate(active)]
+        counts = [((low[:n] <= t) & (t < high[:n])).astype(np.float32) for t, n in enumerate(active)]
         likely = [b_[x] for x in token]
         alpha, scale = [], []
         for t in range(top):
-            now = (p_ if t == 0 else alpha[-1][: active[t]] @ a_) * likely[t]
+            now = (np.where(first[:, None], p_, l_) if t == 0 else alpha[-1][: active[t]] @ a_) * likely[t]
             total = np.maximum(now.sum(axis=1, keepdims=True), np.float32(1e-30))
+            gained += float(np.log(total[:, 0]) @ counts[t])
             alpha.append(now / total)
             scale.append(total)
         beta = np.ones((active[-1], k), np.float32)
@@ -141,14 +166,14 @@ def expected(model: Model, seq: np.ndarray, lengths: np.ndarray) -> tuple[np.nda
             if t < top - 1:
                 ahead = likely[t + 1] * beta / scale[t + 1]
                 n = active[t + 1]
-                step += alpha[t][:n].T @ ahead
+                step += alpha[t][:n].T @ (ahead * counts[t + 1][:, None])
                 beta = np.concatenate([ahead @ a_.T, np.ones((active[t] - n, k), np.float32)])
             gamma[t] = alpha[t] * beta
-        start += gamma[0].sum(axis=0)
-        tokens, shares = np.concatenate(token), np.concatenate(gamma)
+        start += gamma[0][first].sum(axis=0)
+        tokens, shares = np.concatenate(token), np.concatenate(gamma) * np.concatenate(counts)[:, None]
         for j in range(k):
             emit[:, j] += np.bincount(tokens, weights=shares[:, j], minlength=CLASSES)
-    return start, step * model.step, emit
+    return start, step * model.step, emit, gained
 
 
 def improved(start: np.ndarray, step: np.ndarray, emit: np.ndarray, share: np.ndarray) -> Model:
@@ -179,55 +204,58 @@ def log_likelihood(model: Model, unknown: float, seq: np.ndarray, lengths: np.nd
 
 
 def _partial(model: Model):
-    """Expected counts of a task: rows (kind, place, values)."""
+    """Expected counts of a task: rows (place, values); classes, then transitions, starts, and the log likelihood."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, step, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        for batch in batches:
-            for i in range(batch.num_rows):
-                learn, lengths, tokens, classes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (
-                    ("learn", bool), ("lengths", np.int32), ("tokens", np.int32), ("classes", np.uint16)))
-                if learn.any():
-                    seq, full = sequences(classes[tokens][np.repeat(learn, lengths)], lengths[learn].astype(np.int64))
-                    for total, more in zip((start, step, emit), expected(model, seq, full), strict=True):
-                        total += more
+        sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)), np.zeros(1)]
+        for seq, full in _training(batches):
+            for total, more in zip(sums, expected(model, seq, full), strict=True):
+                total += more
+        start, step, emit, gained = sums
         used = np.flatnonzero(emit.any(axis=1))
-        place = np.concatenate([used, CLASSES + np.arange(STATES + 1)])
-        values = np.concatenate([emit[used], step, start[None]])
+        place = np.concatenate([used, CLASSES + np.arange(STATES + 2)])
+        values = np.concatenate([emit[used], step, start[None], np.broadcast_to(gained / STATES, (1, STATES))])
         yield pa.RecordBatch.from_pydict({"place": place.astype(np.int32), **{f"s{j}": values[:, j] for j in range(STATES)}})
 
     return work
 
 
-def fit(chunks: DataFrame, seeds: list[tuple[np.ndarray, np.ndarray]], share: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts of ``chunks``, started from the texts ``seeds``."""
-    rng = np.random.default_rng(5)
+def _training(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of the training texts of each chunk."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            learn, lengths, tokens, classes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (
+                ("learn", bool), ("lengths", np.int32), ("tokens", np.int32), ("classes", np.uint16)))
+            if learn.any():
+                yield sequences(classes[tokens][np.repeat(learn, lengths)], lengths[learn].astype(np.int64))
+
+
+def first_model(share: np.ndarray) -> Model:
+    """States that last, each with the classes' shares of all training tokens under noise of its own."""
     sticky = np.full((STATES, STATES), 0.1 / max(STATES - 1, 1))
     np.fill_diagonal(sticky, 0.9)
-    noisy = share[:, None] * rng.gamma(1.0, 1.0, (CLASSES, STATES))
-    model = Model(np.full(STATES, 1 / STATES), sticky, noisy / noisy.sum(axis=0))
-    if seeds:
-        seq, lengths = sequences(np.concatenate([x for x, _ in seeds]), np.concatenate([n for _, n in seeds]))
-        for _ in range(SEED_ROUNDS):
-            model = improved(*expected(model, seq, lengths), share)
+    noisy = share[:, None] * np.random.default_rng(5).gamma(1.0, 1.0, (CLASSES, STATES))
+    return Model(np.full(STATES, 1 / STATES), sticky, noisy / noisy.sum(axis=0))
+
+
+def fit(chunks: DataFrame, share: np.ndarray, tokens: int, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
+    """Baum-Welch over all training texts of ``chunks``, which hold ``tokens`` tokens."""
+    parts = chunks.select("learn", "lengths", "tokens", "classes")
+    model, before = first_model(share), -np.inf
     for _ in range(rounds):
         columns = ", ".join(f"s{j} double" for j in range(STATES))
-        partial = chunks.select("learn", "lengths", "tokens", "classes").mapInArrow(_partial(model), f"place int, {columns}")
+        partial = parts.mapInArrow(_partial(model), f"place int, {columns}")
         sums = partial.groupBy("place").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(STATES)]).toPandas()
-        total = np.zeros((CLASSES + STATES + 1, STATES))
+        total = np.zeros((CLASSES + STATES + 2, STATES))
         total[sums["place"].to_numpy()] = sums[[f"s{j}" for j in range(STATES)]].to_numpy()
-        model = improved(total[-1], total[CLASSES:-1], total[:CLASSES], share)
+        model = improved(total[-2], total[CLASSES:-2], total[:CLASSES], share)
+        now = total[-1].sum() / np.log(2) / max(tokens, 1)
+        if now - before < gain:
+            break
+        before = now
     return model
 
 
-def _seed_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, "text"):
-        words = words_of(batch.column("text"))
-        classes = word_classes(words)
-        yield pa.RecordBatch.from_pydict({"classes": pa.array(
-            [classes[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary())})
-
-
 class Totals(NamedTuple):
     """Training tokens, distinct ones, ends, and for each class the sum of c + 0.5."""
 
@@ -281,19 +309,18 @@ def score(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
     packed = texts.mapInArrow(_chunks(), _CHUNKS.format(id=id_type))
     chunks = materialize(packed, "chunks")
     words = chunks.select("chunk", "hashes", "classes", "counts").mapInArrow(_vocabulary, "chunk long, number int, word long, class int, n long")
-    same = Window.partitionBy("word")
-    counted = materialize(words.select(
-        "chunk", "number", "class", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first")), "words")
-    by_class = counted.where("first AND c > 0").groupBy("class").agg(F.count("*").alias("words"), F.sum("c").alias("c")).toPandas()
+    words = materialize(words, "words")
+    # One row for each word, combined before the shuffle; a frequent word has a row in every chunk, which joins may split.
+    totals_ = materialize(words.groupBy("word").agg(F.sum("n").alias("c"), F.first("class").alias("class")), "totals")
+    counted = words.select("chunk", "number", "word").join(totals_.select("word", "c"), "word")
+    by_class = totals_.where("c > 0").groupBy("class").agg(F.count("*").alias("words"), F.sum("c").alias("c")).toPandas()
     ends = texts.where("learn").count()
     mass = np.zeros(CLASSES)
     mass[by_class["class"].to_numpy()] = (by_class["c"] + 0.5 * by_class["words"]).to_numpy(dtype=float)
     mass[END] = ends + 0.5 * (ends > 0)
     totals = Totals(int(by_class["c"].sum()) + ends, int(by_class["words"].sum()) + (ends > 0), ends, mass)
-    first = texts.where("learn").orderBy(F.xxhash64("id"), "id").limit(SEEDS).select("text")
-    seeds = [np.frombuffer(x, np.uint16) for x in first.mapInArrow(_seed_rows, "classes binary").toPandas()["classes"]]
     share = mass / mass.sum() if ends else np.full(CLASSES, 1 / CLASSES)
-    model = fit(chunks, [(x, np.array([len(x)])) for x in seeds], share, rounds if ends else 0)
+    model = fit(chunks, share, totals.tokens, rounds if ends else 0)
     out = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     left = chunks.select("chunk", "ids", "learn", "lengths", "tokens", "classes").groupBy("chunk")
     return left.cogroup(counted.select("chunk", "number", "c").groupBy("chunk")).applyInPandas(_scored(model, totals), out)

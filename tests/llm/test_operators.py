@@ -296,11 +296,26 @@ def test_baum_welch_raises_the_likelihood():
     share[:30] = 1e-9
     model = hmm.Model(np.full(8, 1 / 8), np.full((8, 8), 1 / 8), rng.dirichlet(np.ones(hmm.CLASSES), 8).T)
     counts = hmm.expected(model, seq, lengths)
-    assert np.isclose(counts[2].sum(), lengths.sum(), rtol=1e-4) and np.isclose(counts[0].sum(), (-(-lengths // hmm.WINDOW)).sum(), rtol=1e-4)
-    better = hmm.improved(*counts, share)
+    assert np.isclose(counts[2].sum(), lengths.sum(), rtol=1e-4) and np.isclose(counts[0].sum(), len(lengths), rtol=1e-4)
+    assert np.isclose(counts[1].sum(), (lengths - 1).sum(), rtol=1e-4)
+    better = hmm.improved(*counts[:3], share)
     assert hmm.log_likelihood(better, 1e-9, seq, lengths).sum() > hmm.log_likelihood(model, 1e-9, seq, lengths).sum()
 
 
+def test_windows_count_as_whole_texts(monkeypatch):
+    """Counts over windows with context come close to those of one window, and the likelihood too."""
+    rng = np.random.default_rng(6)
+    step = np.full((8, 8), 0.02) + 0.84 * np.eye(8)
+    model = hmm.Model(rng.dirichlet(np.ones(8)), step / step.sum(axis=1, keepdims=True), rng.dirichlet(np.full(hmm.CLASSES, 0.01), 8).T + 1e-9)
+    lengths = np.array([700, 129, 128, 3])
+    seq = rng.integers(1, 50, lengths.sum())
+    parts = hmm.expected(model, seq, lengths)
+    monkeypatch.setattr(hmm, "WINDOW", 10_000)
+    whole = hmm.expected(model, seq, lengths)
+    assert all(np.abs(a - b).sum() < 0.02 * np.abs(b).sum() for a, b in zip(parts[:3], whole[:3], strict=True)) and np.isclose(parts[3], whole[3], rtol=1e-2)
+    assert np.isclose(whole[3], hmm.log_likelihood(model, 0.0, seq, lengths).sum(), rtol=1e-3)
+
+
 def test_scores_and_base(spark):
     rng = random.Random(5)
     texts = [" ".join(f"{'ab'[k % 2]}{rng.randrange(30)}{'xy'[k % 2]}" for _ in range(rng.randrange(3, 80))) for k in range(200)]
