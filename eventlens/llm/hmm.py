@@ -38,7 +38,7 @@ from eventlens.session import materialize
 STATES, CLASSES, WINDOW, CONTEXT = 8, 1 << 15, 128, 12
 #: Most rounds, and the gain in bits a token below which there is no further one.
 ROUNDS, GAIN = 12, 0.01
-CHUNK, BLOCK = 2_000_000, 8192
+CHUNK, BLOCK = 2_000_000, 4096
 #: Class of the end token.
 END = 0
 
@@ -309,7 +309,6 @@ def score(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
     packed = texts.mapInArrow(_chunks(), _CHUNKS.format(id=id_type))
     chunks = materialize(packed, "chunks")
     words = chunks.select("chunk", "hashes", "classes", "counts").mapInArrow(_vocabulary, "chunk long, number int, word long, class int, n long")
-    words = materialize(words, "words")
     # One row for each word, combined before the shuffle; a frequent word has a row in every chunk, which joins may split.
     totals_ = materialize(words.groupBy("word").agg(F.sum("n").alias("c"), F.first("class").alias("class")), "totals")
     counted = words.select("chunk", "number", "word").join(totals_.select("word", "c"), "word")
