@@ -5,9 +5,12 @@ query joins neighbours with the merge table, takes each word's leftmost pair of
 on until no word has a pair left. Decoding joins token rows with the vocabulary and aggregates bytes in order. A
 task starts with no words and keeps none for the next, so that its work and memory don't hang on what ran before.
 
-In words of over ``SHORT`` bytes, equal minimum pairs are contracted together unless the new token could take part in
-a lower merge (``solo``); this gives what one merge at a time gives, and long runs need few rounds. A recursion stops
-after as many rounds as its memory allows and starts again from its last rows.
+A word of over ``SHORT`` bytes is cut into parts of ``PART`` bytes, which are encoded like words. Two tokens may stand side by side if the encoding
+of their bytes is just these two; a row of tokens in which all neighbours may is the encoding of the whole, since no merge ever crosses a border
+that it would not cross with the two neighbours alone. So borders of parts are tried, and where neighbours don't fit, a few tokens on both
+sides are encoded again as one, more with each round, until all fit. Stretches of over ``SHORT`` bytes that come up there contract equal
+minimum pairs together unless the new token could take part in a lower merge (``solo``), which gives what one merge at a time gives. A recursion
+stops after as many rounds as its memory allows and starts again from its last rows.
 
 NULL texts count as empty and have no ids. Nothing is shuffled; repeated, long or empty texts need no special care.
 """
@@ -38,6 +41,9 @@ BLOCK, REMEMBERED, REMEMBERED_BYTES, GATHERED = 50_000, 500_000, 64 << 20, 2_000
 #: Bytes of a word up to which positions fit the packed key of ``ENCODE``.
 SHORT = 250
 
+#: Bytes of a part of a longer word; bytes of one query and pairs of tokens remembered.
+PART, QUERY_BYTES, PAIRS = 64, 400_000, 500_000
+
 #: Each round: leftmost lowest pair of each word (rank, place and next place packed), whose left row goes and whose
 #: right row takes its place; only the two pairs that changed look up the merge table again.
 ENCODE = """
@@ -99,6 +105,8 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.split = regex.compile(pattern).findall
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.token = {rank: token for token, rank in ranks.items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
         merges, low = [], set()
         for token, made in ranks.items():
             for cut in range(1, len(token)):
@@ -125,9 +133,74 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
+    def encode_parts(self, parts: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of byte strings of any length, equal ones encoded once, by queries of a bounded size."""
+        made: dict[bytes, tuple[int, ...]] = {}
+        for long in (False, True):
+            waiting, size = [], 0
+            own = [p for p in dict.fromkeys(parts) if (len(p) > SHORT) == long]
+            for i, part in enumerate(own):
+                waiting.append(part)
+                size += len(part)
+                if size >= QUERY_BYTES or i == len(own) - 1:
+                    made.update(zip(waiting, (tuple(np.frombuffer(x, "<i4").tolist()) for x in self.encode_words(waiting)), strict=True))
+                    waiting, size = [], 0
+        return [made[p] for p in parts]
+
+    def fit(self, pairs: Iterable[tuple[int, int]]) -> None:
+        """Learn which pairs of tokens may stand side by side."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        new = [p for p in dict.fromkeys(pairs) if p not in self.pairs]
+        for pair, ids in zip(new, self.encode_parts([self.token[a] + self.token[b] for a, b in new]), strict=True):
+            self.pairs[pair] = ids == pair
+
+    def encode_long(self, words: list[bytes]) -> list[bytes]:
+        """Ids of long words: parts of each, encoded again around the borders where neighbours don't fit."""
+        cut = [[w[i : i + PART] for i in range(0, len(w), PART)] for w in words]
+        flat = iter(self.encode_parts([p for parts in cut for p in parts]))
+        rows = [[list(next(flat)) for _ in parts] for parts in cut]
+        turn, open_ = 0, [(w, set(range(1, len(segments)))) for w, segments in enumerate(rows)]
+        while open_:
+            reach = 2 << turn // 4
+            self.fit((rows[w][j - 1][-1], rows[w][j][0]) for w, borders in open_ for j in borders)
+            jobs, going = [], []
+            for w, borders in open_:
+                wrong = sorted(j for j in borders if not self.pairs[rows[w][j - 1][-1], rows[w][j][0]])
+                taken, chosen = -1, []
+                for j in wrong:
+                    if j - 1 > taken:  # a segment takes part in one repair of a round
+                        taken, right = j, list(rows[w][j])
+                        while len(right) < reach and taken + 1 < len(rows[w]):
+                            taken += 1
+                            right += rows[w][taken]
+                        chosen.append((j, taken, right))
+                        jobs.append(b"".join(map(self.token.__getitem__, rows[w][j - 1][-reach:] + right[:reach])))
+                if wrong:
+                    going.append((w, set(wrong), chosen))
+            made = iter(self.encode_parts(jobs))
+            open_ = []
+            for w, wrong, chosen in going:
+                old, new, borders, at = rows[w], [], set(), 0
+                for j, last, right in chosen:
+                    new += old[at : j - 1]
+                    borders |= {len(new) - (j - 1) + b for b in wrong if at < b < j - 1 or b == j - 1 > at}
+                    middle = list(next(made))
+                    for part in (old[j - 1][:-reach], middle, right[reach:]):
+                        if part:
+                            borders.add(len(new))
+                            new.append(part)
+                    borders.add(len(new))
+                    at = last + 1
+                borders |= {len(new) - at + b for b in wrong if b > at}
+                rows[w] = new + old[at:]
+                open_.append((w, {b for b in borders if 0 < b < len(rows[w])}))
+            turn += 1
+        return [np.array([t for segment in segments for t in segment], "<i4").tobytes() for segments in rows]
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word; all words are short or all are long."""
-        raw = [word.encode() for word in words]
+        raw = words
         n = np.array([len(x) for x in raw])
         end = np.cumsum(n)
         tok = self.byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
@@ -177,7 +250,8 @@ class Codec:
             for word in new[a : a + BLOCK]:
                 some[len(word.encode()) > SHORT].append(word)
             for group in filter(None, some):
-                ids = self.encode_words(group)
+                raw = [word.encode() for word in group]
+                ids = self.encode_words(raw) if len(raw[0]) <= SHORT else self.encode_long(raw)
                 self.place.update(zip(group, range(len(self.place), len(self.place) + len(group)), strict=True))
                 self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.binary())])
                 self.raw = pa.concat_arrays([self.raw, pa.array(self.decode(ids), pa.binary())])
