@@ -129,6 +129,19 @@ def shingles_of(words: Words, k: int, short: bool = True) -> tuple[np.ndarray, n
     return out, at
 
 
+def short_runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words, equal to the one that ``shingles_of`` gives a row of just these words for a greater k."""
+    n = np.diff(words.first)
+    full = max(len(words.hash) - size + 1, 0)
+    rolled = np.full(full, size, dtype=np.uint64)
+    for j in range(size):
+        rolled += words.hash[j : j + full] * _STEP[j]
+    count = np.maximum(n - size + 1, 0)
+    at = np.concatenate([[0], np.cumsum(count)])
+    keep = np.repeat(words.first[:-1], count) + (np.arange(at[-1]) - np.repeat(at[:-1], count))
+    return mix(rolled)[keep], at
+
+
 def sets_of(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     """For each row the sorted distinct shingle hashes."""
     hashes, at = shingles_of(words_of(column), k)
