@@ -67,7 +67,8 @@ class _Element:
             for name, a, b, c, flag in _ATTRIBUTE.findall(attributes):
                 given.setdefault((name or flag).lower(), unescape(a or b or c).lower())
             self.words = frozenset(_WORD.findall(f"{given.get('class', '')} {given.get('id', '')}"))
-            banned = self.words & _NEVER_WORDS
+            # The id of a heading is made from its text.
+            banned = frozenset() if tag in _HEADINGS else self.words & _NEVER_WORDS
             if self.in_main:
                 banned -= {"header", "alert"}
             self.never = (
