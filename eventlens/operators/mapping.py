@@ -129,6 +129,11 @@ def catalog_of(payloads: DataFrame, dataset: str, payload: str) -> DataFrame:
     return names.groupBy("dataset", "column").agg(F.max("pos").alias("place"))
 
 
+def _placed(catalog: DataFrame) -> DataFrame:
+    """A catalog without places is in the order of names."""
+    return catalog if "place" in catalog.columns else catalog.withColumn("place", F.lit(0))
+
+
 def name_matches(catalog: DataFrame) -> DataFrame:
     """(dataset, column, target, score): every pattern tried on every column name.
 
@@ -141,7 +146,7 @@ def name_matches(catalog: DataFrame) -> DataFrame:
         )
         for i, (target, pattern) in enumerate(SYNONYMS.items())
     ])
-    rows = catalog.select("dataset", "column", "place", F.explode(tried).alias("t")).where(F.col("t.hit") != "")
+    rows = _placed(catalog).select("dataset", "column", "place", F.explode(tried).alias("t")).where(F.col("t.hit") != "")
     share = F.length("t.hit") / F.length(F.trim("column"))
     return rows.select("dataset", "column", "place", "t.target", "t.target_order", share.alias("score"))
 
@@ -165,7 +170,7 @@ def suggest_mapping(catalog: DataFrame) -> DataFrame:
     found = first.groupBy("dataset").agg(
         F.map_from_entries(F.collect_list(F.struct("target", "column"))).alias("m")  # at most one entry per target
     )
-    datasets = catalog.groupBy("dataset").agg(F.min_by("column", F.struct("place", "column")).alias("__first"))
+    datasets = _placed(catalog).groupBy("dataset").agg(F.min_by("column", F.struct("place", "column")).alias("__first"))
     joined = datasets.join(found, "dataset", "left")
     m = F.coalesce("m", F.create_map().cast("map<string,string>"))
 
