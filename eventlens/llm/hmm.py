@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import query, remainder, sliced, table
+from eventlens.llm.common import query, release, remainder, sliced, table
 from eventlens.llm.words import LOWER, Words, mix, words_of
 from eventlens.session import materialize
 
 STATES, CLASSES, WINDOW, CONTEXT = 8, 1 << 15, 128, 12
 #: Most rounds, and the gain in bits a token below which there is no further one.
 ROUNDS, GAIN = 12, 0.01
-CHUNK, BLOCK = 2_000_000, 4096
+CHUNK, BLOCK = 1_500_000, 2048
 #: Class of the end token.
 END = 0
 
@@ -228,6 +228,7 @@ def _training(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
                 ("learn", bool), ("lengths", np.int32), ("tokens", np.int32), ("classes", np.uint16)))
             if learn.any():
                 yield sequences(classes[tokens][np.repeat(learn, lengths)], lengths[learn].astype(np.int64))
+            release()
 
 
 def first_model(share: np.ndarray) -> Model:
@@ -297,6 +298,7 @@ def _scored(model: Model, totals: Totals):
             out.append(pd.DataFrame({
                 "id": list(row.ids), "held_out": ~learn, "n_tokens": full, "n_known": per_text(known.astype(float), int(has_end)).astype(np.int64),
                 "train_tokens": totals.tokens, "base_score": per_text(base, np.log10((totals.ends + 0.5) / below)), "score": score}))
+        release()
         return pd.concat(out)
 
     return work
