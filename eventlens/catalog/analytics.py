@@ -124,12 +124,42 @@ def forest_check(spark, sf):
         F.countDistinct("user_id").alias("users"))
 
 
-@query("geo_dbscan")
+# All pairs within eps, counted; core points meet through their cells, whose components are closed by recursion.
+DBSCAN_SQL = (
+    """raw_points AS (SELECT event_id, us, geo_lat, geo_lon, (us - min(us) OVER ()) / 60e6 AS minutes FROM ev
+  WHERE geo_lat IS NOT NULL AND geo_lon IS NOT NULL AND us IS NOT NULL)""",
+    """scale AS (SELECT avg(geo_lat) AS mx, avg(geo_lon) AS my, avg(minutes) AS mz, coalesce(nullif(stddev_pop(geo_lat), 0), 1) AS sx,
+  coalesce(nullif(stddev_pop(geo_lon), 0), 1) AS sy, coalesce(nullif(stddev_pop(minutes), 0), 1) AS sz FROM raw_points)""",
+    """points AS MATERIALIZED (SELECT event_id, us, (geo_lat - mx) / sx AS x, (geo_lon - my) / sy AS y, (minutes - mz) / sz AS z FROM raw_points, scale)""",
+    """near AS MATERIALIZED (SELECT a.event_id AS a, b.event_id AS b FROM points a JOIN points b ON b.x BETWEEN a.x - 0.71 AND a.x + 0.71
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.7 * 0.7)""",
+    "dense AS (SELECT a AS event_id FROM near GROUP BY a HAVING count(*) >= 15)",
+    """core AS MATERIALIZED (SELECT event_id, us, dense_rank() OVER (ORDER BY floor(x / (0.7 / sqrt(3))), floor(y / (0.7 / sqrt(3))), floor(z / (0.7 / sqrt(3)))) AS cell
+  FROM points JOIN dense USING (event_id))""",
+    """cell_links AS MATERIALIZED (SELECT DISTINCT p.cell AS a, q.cell AS b FROM near JOIN core p ON near.a = p.event_id JOIN core q ON near.b = q.event_id)""",
+    "reach(a, b) AS (SELECT a, b FROM cell_links UNION SELECT reach.a, cell_links.b FROM reach JOIN cell_links ON reach.b = cell_links.a)",
+    "comp AS (SELECT a AS cell, min(b) AS comp FROM reach GROUP BY a)",
+    """numbered AS (SELECT comp, row_number() OVER (ORDER BY min(struct_pack(us := us, id := event_id))) - 1 AS cluster FROM core JOIN comp USING (cell) GROUP BY comp)""",
+    "labelled AS MATERIALIZED (SELECT event_id, cluster FROM core JOIN comp USING (cell) JOIN numbered USING (comp))",
+    """border AS (SELECT near.a AS event_id, min(cluster) AS cluster FROM near JOIN labelled ON near.b = labelled.event_id
+  WHERE near.a NOT IN (SELECT event_id FROM core) GROUP BY near.a)""",
+    """clustered AS MATERIALIZED (SELECT ev.event_id, us, geo_lat, geo_lon, coalesce(l.cluster, b.cluster, -1) AS cluster
+  FROM ev LEFT JOIN labelled l USING (event_id) LEFT JOIN border b USING (event_id))""",
+)
+
+
+def clustered_sql(body):
+    return with_ev(body, *DBSCAN_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("geo_dbscan", clustered_sql("SELECT event_id, cluster FROM clustered"))
 def dbscan(spark, sf):
     return geo_dbscan(load_events(spark, sf)).select("event_id", "cluster")
 
 
-@query("cluster_summary")
+@query("cluster_summary", clustered_sql("""
+SELECT cluster, count(*) AS size, round(avg(geo_lat), 4) AS centroid_lat, round(avg(geo_lon), 4) AS centroid_lon, min(us) AS time_start,
+  max(us) AS time_end, (SELECT count(*) FROM clustered WHERE cluster = -1) AS noise_count FROM clustered WHERE cluster >= 0 GROUP BY cluster"""))
 def summary(spark, sf):
     out = cluster_summary(geo_dbscan(load_events(spark, sf)))
     return out.withColumns({"time_start": epoch("time_start"), "time_end": epoch("time_end")})

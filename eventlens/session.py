@@ -41,7 +41,8 @@ def local_session(cores: int | str = 8, app: str = "eventlens") -> SparkSession:
     return prepare(spark)
 
 
-_local_scratch: dict[str, str] = {}
+# Removed when the driver's Python ends.
+_local_scratch: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -57,13 +58,27 @@ def scratch_root(spark: SparkSession) -> str:
     if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _local_scratch:
-        _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="eventlens-")
-    return _local_scratch[context.applicationId]
+        _local_scratch[context.applicationId] = tempfile.TemporaryDirectory(prefix="eventlens-", ignore_cleanup_errors=True)
+    return _local_scratch[context.applicationId].name
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder."""
+    return f"{scratch_root(spark)}/eventlens/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove all that this application has written as intermediate data, once none of its results is read any more.
+
+    False if there was nothing. Files of other applications stay.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is ever reused."""
-    return f"{scratch_root(spark)}/eventlens/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

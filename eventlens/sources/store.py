@@ -20,12 +20,14 @@ def conform(df: DataFrame, columns: Sequence[str], source: str | None = None) ->
 
 
 def append_events(df: DataFrame, path: str) -> None:
-    """Append, partitioned by source and day; rows are sorted so that each task
-    writes few files, and a hot source is spread over its days."""
+    """Append, partitioned by source and day.
+
+    Adaptive execution deals the rows by their measured bytes: small (source, day) pairs share a task and get one file
+    each, a hot pair is split over as many tasks as its size asks for (``spark.sql.adaptive.advisoryPartitionSizeInBytes``).
+    """
     rows = df.withColumn("day", F.to_date("ts"))
-    rows.repartition("source", "day", F.pmod(F.xxhash64("event_id"), F.lit(8))).write.mode("append").partitionBy(
-        *PARTITIONS
-    ).parquet(path)
+    dealt = df.sparkSession.sql("SELECT /*+ REBALANCE(source, day) */ * FROM {rows}", rows=rows)
+    dealt.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +85,11 @@ def delete_all(spark: SparkSession, path: str) -> int:
 
 
 def _delete(spark: SparkSession, doomed: DataFrame) -> int:
-    """Folders are taken from the rows' own files: Spark escapes some characters of a name."""
+    """Folders are taken from the rows' own files: Spark escapes some characters of a name.
+
+    A source goes by one delete of its folder, so a failure in between leaves whole sources; the same call again ends the
+    work and counts what it removed itself. Readers that started before may fail on files that are gone.
+    """
     folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*/source=[^/]*)/", 1)
     folders = doomed.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n")).collect()
     jvm = spark.sparkContext._jvm

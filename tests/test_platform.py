@@ -72,6 +72,32 @@ def test_append_then_delete_touches_one_source(spark, events, tmp_path):
     assert store.read_events(spark, path).count() == events.count() - n
 
 
+def test_append_splits_a_hot_day_by_size_and_gathers_small_ones(spark, tmp_path):
+    day = F.when(F.col("id") < 300_000, 0).otherwise(F.col("id") % 10 + 1).cast("int")
+    df = spark.range(0, 300_100, 1, 16).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(day.cast("long") * 86_400).alias("ts"), F.lit("web").alias("source"),
+        F.sha2(F.col("id").cast("string"), 256).alias("note"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1m")
+    try:
+        store.append_events(df, f"{tmp_path}/hot")
+    finally:
+        spark.conf.set(size, before)
+    files = {folder.name: len(list(folder.glob("*.parquet"))) for folder in (tmp_path / "hot" / "source=web").iterdir() if folder.is_dir()}
+    assert files.pop("day=1970-01-01") > 8 and set(files.values()) == {1} and len(files) == 10
+    assert store.read_events(spark, f"{tmp_path}/hot").distinct().count() == 300_100
+
+
+def test_cleared_scratch_leaves_other_applications(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    other = tmp_path / "eventlens" / "other" / "x"
+    other.mkdir(parents=True)
+    assert session.materialize(spark.range(3), "some").count() == 3
+    assert session.clear_scratch(spark) and not session.clear_scratch(spark)
+    assert other.exists() and not Path(session.scratch_folder(spark)).exists()
+
+
 def test_scan_prunes_partitions_and_columns(spark, events, tmp_path):
     path = f"{tmp_path}/pruned"
     store.append_events(events.select("event_id", "ts", "source", "user_id", "amount"), path)
