@@ -1,11 +1,16 @@
 """Quality classifier by Bradley-Terry pairwise ranking (operator 3).
 
 A document's score is linear in features of its whole text. Weights come from preference pairs (a document marked 1
-over one marked 0) by logistic loss on feature differences. A quantile of the training scores, at the share of
-documents marked 0, becomes the threshold; the score of a document is the logistic of its distance from there.
+over one marked 0) by logistic loss on feature differences, over all such pairs of all labelled documents. A quantile of
+the training scores, at the share of documents marked 0, becomes the threshold; the score of a document is the logistic
+of its distance from there.
 
-Training reads at most ``PER_CLASS`` documents of each mark, those with the smallest hashes of doc_id; the model is a
-few dozen numbers. Scoring is one pass without a shuffle. Labels, lang, source and doc_id are never inputs of a score.
+Training writes the features of the labelled documents once. Each Newton step reads them twice and adds up numbers, sums
+and weighted squares by bins of ``BIN`` of the score, since how often a document loses depends on its score and on how
+many documents of the other mark have which score. So nothing is drawn, and what reaches the driver has a fixed size.
+A document meets its opponents at the mean score of their bin, an error of about ``BIN ** 2 / 24`` of a pair's weight; the
+threshold is exact.
+Scoring is one pass without a shuffle. Labels, lang, source and doc_id are never inputs of a score.
 
 NULL and empty texts have zero counts and are scored like any text. NULL labels are ignored; a document labelled more
 than once takes part with its lowest mark. Without documents of both marks every score is 0.5.
@@ -20,12 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from eventlens.llm.common import query, remainder, sliced, table
 from eventlens.llm.words import BLOCK, buffers, shingles_of, words_of
+from eventlens.operators.quantiles import grouped_quantiles
+from eventlens.session import materialize
 
-PER_CLASS, PAIRS, STEPS, RIDGE = 4000, 40_000, 40, 1e-3
+#: Newton steps at most and the change of a weight that ends them; weight of the squared weights in the loss.
+STEPS, SETTLED, RIDGE = 40, 1e-3, 1e-3
+#: Width of a bin of scores, and number of bins for each mark; scores beyond them fall into the first or last.
+BIN, BINS = 1 / 32, 2048
+BORDERS = (np.arange(BINS + 1) - BINS // 2) * BIN
 
 #: Byte classes: 0 letters a-z, 1 A-Z, 2 digits, 3 blanks, 4 line ends, 5 sentence ends, 6 other ASCII marks, 7 above
 #: ASCII, 8 continuation bytes of UTF-8, 9 brackets and quotes.
@@ -79,6 +90,15 @@ def features(column: pa.Array) -> np.ndarray:
     return np.column_stack(columns) if rows else np.zeros((0, len(columns)))
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+
+
+def linear(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sums of rows, to the last bit the same for equal rows in whatever batch."""
+    return (z * weights).sum(axis=1)
+
+
 class Model(NamedTuple):
     mean: np.ndarray
     spread: np.ndarray
@@ -86,61 +106,134 @@ class Model(NamedTuple):
     threshold: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.spread) @ self.weights - self.threshold, -700, 700)))
+        return _sigmoid(linear((x - self.mean) / self.spread, self.weights) - self.threshold)
+
+
+def _rows(batches: Iterable[pa.RecordBatch], mean: np.ndarray, spread: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Marks and standardised features of each batch."""
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield batch.column("mark").to_numpy().astype(np.int64), (x - mean) / spread
+
+
+def _cell(mark: np.ndarray, z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return mark * BINS + np.clip(np.floor(linear(z, weights) / BIN).astype(np.int64) + BINS // 2, 0, BINS - 1)
+
+
+def _bin_sums(mean: np.ndarray, spread: np.ndarray, weights: np.ndarray):
+    """Rows (cell, n, z): numbers and summed features of a task's documents by mark and bin of the score."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(2 * BINS, np.int64), np.zeros((2 * BINS, len(mean)))
+        for mark, z in _rows(batches, mean, spread):
+            cell = _cell(mark, z, weights)
+            order = np.argsort(cell, kind="stable")
+            own, start, times = np.unique(cell[order], return_index=True, return_counts=True)
+            n[own] += times
+            total[own] += np.add.reduceat(z[order], start)
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"cell": own, "n": n[own], "z": _lists(total[own])})
+
+    return work
 
 
-def fit(x: np.ndarray, mark: np.ndarray, low_share: float, seed: int = 3) -> Model:
-    """Bradley-Terry weights by Newton steps over ``PAIRS`` drawn pairs; ``low_share`` is the share of mark 0 to cut off."""
-    mean, spread = x.mean(axis=0), x.std(axis=0)
+def _slopes(mean: np.ndarray, spread: np.ndarray, weights: np.ndarray, lost: np.ndarray, curved: np.ndarray):
+    """Rows (place, value): a task's sums of the outer products of features times ``curved``, then of features times ``lost``, less for mark 0.
+
+    Both are given for each mark at the borders of the bins and interpolated at the document's score.
+    """
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(mean) + 1, len(mean)))
+        for mark, z in _rows(batches, mean, spread):
+            at = linear(z, weights)
+            here = [np.where(mark == 1, np.interp(at, BORDERS, some[1]), np.interp(at, BORDERS, some[0])) for some in (curved, lost)]
+            total[:-1] += (z * here[0][:, None]).T @ z
+            total[-1] += (2 * mark - 1) * here[1] @ z
+        yield pa.RecordBatch.from_pydict({"place": np.arange(total.size), "value": total.ravel()})
+
+    return work
+
+
+class _Pairs:
+    """Loss, gradient and curvature at ``weights`` over all pairs of a document of either mark."""
+
+    def __init__(self, marked: DataFrame, mean: np.ndarray, spread: np.ndarray, weights: np.ndarray):
+        self.marked, self.given, d = marked, (mean, spread, weights), len(mean)
+        cells = marked.mapInArrow(_bin_sums(*self.given), "cell long, n long, z array<double>").groupBy("cell").agg(
+            F.sum("n").alias("n"), *[F.sum(F.get("z", F.lit(i))).alias(f"z{i}") for i in range(d)]).toPandas().sort_values("cell")
+        mark, n = cells["cell"].to_numpy() >= BINS, cells["n"].to_numpy(float)
+        self.z = [cells.iloc[:, 2:].to_numpy(float)[mark == m] / n[mark == m][:, None] for m in (0, 1)]
+        self.share = [n[mark == m] / n[mark == m].sum() for m in (0, 1)]
+        self.at = [z @ weights for z in self.z]
+        self.count = n[~mark].sum(), n[mark].sum()
+        gap = self.at[1][:, None] - self.at[0]
+        self.loss = float(self.share[1] @ np.logaddexp(0, -gap) @ self.share[0] + RIDGE / 2 * weights @ weights)
+
+    def step(self) -> np.ndarray:
+        """Newton's step towards a smaller loss."""
+        # How often a document loses its pairs (mark 0: wins them) by its score.
+        lose = [_sigmoid(BORDERS[:, None] - self.at[1]), _sigmoid(self.at[0] - BORDERS[:, None])]
+        lost, curved = (np.array([f(x) @ self.share[1 - m] / self.count[m] for m, x in enumerate(lose)]) for f in (np.array, lambda x: x * (1 - x)))
+        sums = self.marked.mapInArrow(_slopes(*self.given, lost, curved), "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+        sums = sums.toPandas().sort_values("place")["value"].to_numpy().reshape(-1, len(self.given[0]))
+        p = _sigmoid(self.at[0] - self.at[1][:, None])
+        both = (self.z[1] * self.share[1][:, None]).T @ (p * (1 - p)) @ (self.z[0] * self.share[0][:, None])
+        return np.linalg.solve(sums[:-1] - both - both.T + RIDGE * np.eye(len(both)), sums[-1] - RIDGE * self.given[2])
+
+
+def fit(marked: DataFrame) -> Model | None:
+    """Bradley-Terry weights from rows (mark, x); the share of mark 0 is cut off. None if a mark has no row."""
+    width = features(pa.array([""])).shape[1]
+    found = marked.agg(
+        F.count("*").alias("n"), F.count_if(F.col("mark") == 0).alias("low"),
+        *[f(F.get("x", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(width)]).first()
+    n, low = found["n"], found["low"]
+    if not 0 < low < n:
+        return None
+    # Sums of doubles hang on the order of tasks in their last digits; what is kept does not.
+    mean, spread = (np.array([float(f"{v:.9e}") for v in found[a : a + width]]) for a in (2, 2 + width))
     spread[spread < 1e-9] = 1.0
-    z = (x - mean) / spread
-    good, bad = z[mark == 1], z[mark == 0]
-    rng = np.random.default_rng(seed)
-    gap = good[rng.integers(0, len(good), PAIRS)] - bad[rng.integers(0, len(bad), PAIRS)]
-    w = np.zeros(z.shape[1])
+    weights = np.zeros(width)
+    now = _Pairs(marked, mean, spread, weights)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(gap @ w, -500, 500)))
-        step = np.linalg.solve((gap * (p * (1 - p))[:, None]).T @ gap / PAIRS + RIDGE * np.eye(len(w)), gap.T @ p / PAIRS - RIDGE * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = now.step()
+        while np.abs(step).max() > SETTLED and (new := _Pairs(marked, mean, spread, weights + step)).loss > now.loss + 1e-6:
+            step = step / 2
+        weights = weights + step
+        if np.abs(step).max() <= SETTLED:
             break
-    score = z @ w
-    weight = np.where(mark == 1, (1 - low_share) / max(len(good), 1), low_share / max(len(bad), 1))
-    order = np.argsort(score, kind="stable")
-    below = np.cumsum(weight[order])
-    k = min(int(np.searchsorted(below, low_share - 1e-12)), len(order) - 1)
-    ahead = min(k + 1, len(order) - 1)
-    return Model(mean, spread, w, float((score[order[k]] + score[order[ahead]]) / 2))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark_col: str = "quality",
-          per_class: int = PER_CLASS) -> Model | None:
-    """Fit on up to ``per_class`` labelled documents of each mark; None if a mark has none."""
+        now = new
+    weights = np.round(weights, 6)
+
+    def scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, z in _rows(batches, mean, spread):
+            yield pa.RecordBatch.from_pydict({"score": linear(z, weights)})
+
+    between = grouped_quantiles(marked.mapInArrow(scores, "score double"), [], "score", {"score": (low - 0.5) / (n - 1)})
+    return Model(mean, spread, weights, between.first()["score"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark_col: str = "quality") -> Model | None:
+    """Fit on all labelled documents; None if a mark has none."""
     marks = (
         labels.select(F.col(id_col).alias("id"), F.col(mark_col).alias("mark")).where("id IS NOT NULL AND mark IN (0, 1)")
-        .groupBy("id").agg(F.min("mark").alias("mark"))
+        .groupBy("id").agg(F.min("mark").cast("int").alias("mark"))
     )
-    marked = docs.select(F.col(id_col).alias("id")).join(marks, "id")
-    counts = {r["mark"]: r["n"] for r in marked.groupBy("mark").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        return None
-    chosen = None
-    for mark in (0, 1):
-        some = marked.where(F.col("mark") == mark).distinct().orderBy(F.xxhash64("id"), "id").limit(per_class)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    width = features(pa.array([""])).shape[1]
-    rows = sample.mapInArrow(_feature_rows, "id string, mark int, x array<double>").toPandas().sort_values("id", kind="stable")
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, width)
-    return fit(x, rows["mark"].to_numpy(), counts[0] / (counts[0] + counts[1]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    # Features are smaller than texts, so they are joined.
+    rows = texts.mapInArrow(_feature_rows, StructType([texts.schema["id"], StructField("x", ArrayType(DoubleType()))]))
+    return fit(materialize(rows.join(marks, "id").select("mark", "x"), "features"))
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
 
 
 def _feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
-        yield pa.RecordBatch.from_pydict({
-            "id": batch.column("id").cast(pa.string()), "mark": batch.column("mark").cast(pa.int32()),
-            "x": pa.array(list(features(batch.column("text"))), pa.list_(pa.float64())),
-        })
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "x": _lists(features(batch.column("text")))})
 
 
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

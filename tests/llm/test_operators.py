@@ -175,6 +175,24 @@ def test_quality_on_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.id for r in rows if r.score >= 0.5}
 
 
+def test_quality_learns_from_all_documents(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(3, 12)) + ("." if i % 3 else "!! A1") for i in range(10_400)]
+    marks = [int(i % 3 > 0) if rng.random() < 0.9 else int(i % 3 == 0) for i in range(len(texts))]
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int")
+    model = quality.train(frame(spark, texts), labels)
+    x, mark = quality.features(pa.array(texts)), np.array(marks)
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-8, rtol=1e-8)
+    # As many documents are cut off as are marked 0, but for equal scores, and the loss over all pairs has no slope.
+    assert (model.score(x) < 0.5).sum() <= (mark == 0).sum() <= (model.score(x) <= 0.5).sum()
+    z = (x - model.mean) / model.spread
+    score = z @ model.weights
+    good, bad = z[mark == 1], z[mark == 0]
+    lost = 1 / (1 + np.exp(score[mark == 1][:, None] - score[mark == 0]))
+    slope = (lost.sum(axis=1) @ good - lost.sum(axis=0) @ bad) / lost.size - quality.RIDGE * model.weights
+    assert np.abs(slope).max() < 1e-4
+
+
 def test_quality_without_labels(spark):
     docs, labels, _ = quality_data(spark, 3)
     assert quality.train(docs, labels.where("quality = 1")) is None
