@@ -6,7 +6,7 @@ import corpus_pipeline
 import __spark_entry__ as entry
 from eventlens.llm import jaccard, quality
 from eventlens.llm.catalog import ORACLES, QUERIES
-from eventlens.llm.common import table
+from eventlens.llm.common import BATCH, table
 from eventlens.session import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,11 @@ def test_stages(spark):
     assert {r.doc_id for r in docs.collect()} == seen[3].keys()
     run = {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()}
     assert run == {tuple(r) for r in docs.collect()}
+
+
+def test_stages_set_the_size_of_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        spark.conf.unset(name)
+        stage(spark, table(spark, SF, "documents").limit(0), SF)
+        assert spark.conf.get(name) == str(BATCH)
