@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import query, release, sliced, table, whole_groups
+from eventlens.llm.common import configure, cut_up, query, release, sliced, table, whole_groups
 from eventlens.llm.words import LOWER, mix, words_of
 from eventlens.session import materialize
 
@@ -36,6 +36,9 @@ from eventlens.session import materialize
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Suffixes of a group; words of a row of the token table; suffixes or words that a task holds before it counts equal ones.
 BUDGET, STREAM, CHUNK = 1 << 20, 1 << 15, 1 << 18
+#: Bytes of an Arrow batch into Python; rows of numbers of one out of it, and suffixes of a row. The executor's JVM holds batches outside its heap, and
+#: pieces of over 4 MB of that memory don't return to its pool.
+PASSED, ROWS, PIECE = 1 << 20, 1 << 14, 1 << 14
 #: Slots (powers of two) of the prefix histogram of each depth, of the bitmap of frequent words, and of the counters of pairs and triples in how many cells.
 SLOT_BITS, WORD_BITS, GRAM_BITS, CELL_BITS = 16, 24, 23, 8
 #: Lengths of the runs of words that are counted in slots before suffixes are cut.
@@ -75,20 +78,20 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, word, n) of a task's words; a word may come more than once."""
     held: dict[str, list] = {}
 
-    def drained(lang: str) -> pa.RecordBatch:
+    def drained(lang: str) -> Iterator[pa.RecordBatch]:
         some = held.pop(lang)
         words, at = np.unique(np.concatenate([w for w, _ in some]), return_inverse=True)
         n = np.bincount(at, weights=np.concatenate([n for _, n in some])).astype(np.int64)
-        return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": words.view(np.int64), "n": n})
+        yield from cut_up(pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": words.view(np.int64), "n": n}), ROWS)
 
     for batch in batches:
         for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
             words = np.frombuffer(stream.as_buffer(), np.uint64)[:own]
             held.setdefault(lang, []).append(np.unique(words[words != 0], return_counts=True))
             if sum(len(w) for w, _ in held[lang]) > CHUNK:
-                yield drained(lang)
+                yield from drained(lang)
     for lang in list(held):
-        yield drained(lang)
+        yield from drained(lang)
     release()
 
 
@@ -198,16 +201,18 @@ def _gram_counts(known: tuple[bytes, ...]):
                     add()
         if held:
             add()
-        yield _cells(total)
+        yield from _cells(total)
         release()
 
     return work
 
 
-def _cells(total: np.ndarray) -> pa.RecordBatch:
+def _cells(total: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counters as rows (cell, counts); nothing where all are zero."""
     parts = [(i, x) for i, x in enumerate(total.reshape(1 << CELL_BITS, -1)) if x.any()]
-    return pa.RecordBatch.from_pydict({"cell": pa.array([i for i, _ in parts], pa.int64()), "counts": pa.array([x.tobytes() for _, x in parts], pa.binary())})
+    if parts:
+        cells = pa.RecordBatch.from_pydict({"cell": pa.array([i for i, _ in parts], pa.int64()), "counts": pa.array([x.tobytes() for _, x in parts], pa.binary())})
+        yield from cut_up(cells, max(1, PASSED // parts[0][1].nbytes))
 
 
 def _added(kind: type, finish):
@@ -280,7 +285,7 @@ def _histogram(known: tuple[bytes, ...], plan: list[np.ndarray]):
         for _, salt, suffixes in _streams(batches, known):
             _, slot = _split(suffixes, salt, plan)
             total += np.bincount(slot[slot >= 0], minlength=len(total))
-        yield _cells(total)
+        yield from _cells(total)
         release()
 
     return work
@@ -310,24 +315,27 @@ def vertical_partition(tokens: DataFrame, known: tuple[bytes, ...], budget: int
 def _parts(known: tuple[bytes, ...], plan: list[np.ndarray]):
     """Rows (grp, lang, suffixes, times): distinct suffixes of a part of a task's text that belong to a group."""
 
-    def cut(lang: str, some: list[np.ndarray]) -> pa.RecordBatch:
+    def cut(lang: str, some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows, times = _counted(np.concatenate(some))
         group, _ = _split(rows, _salt(lang), plan)
         order = np.argsort(group, kind="stable")
         start = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else []
-        parts = np.split(order, start[1:]) if len(order) else []
-        return pa.RecordBatch.from_pydict({
-            "grp": pa.array([int(group[p[0]]) for p in parts], pa.int64()), "lang": pa.array([lang] * len(parts), pa.string()),
-            "suffixes": pa.array([rows[p].tobytes() for p in parts], pa.binary()), "times": pa.array([times[p].tobytes() for p in parts], pa.binary())})
+        parts = [p[a : a + PIECE] for p in (np.split(order, start[1:]) if len(order) else []) for a in range(0, len(p), PIECE)]
+        while parts:
+            size = np.cumsum([len(p) for p in parts])
+            now, parts = parts[: (n := max(1, int(np.searchsorted(size, PIECE, "right"))))], parts[n:]
+            yield pa.RecordBatch.from_pydict({
+                "grp": pa.array([int(group[p[0]]) for p in now], pa.int64()), "lang": pa.array([lang] * len(now), pa.string()),
+                "suffixes": pa.array([rows[p].tobytes() for p in now], pa.binary()), "times": pa.array([times[p].tobytes() for p in now], pa.binary())})
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         for lang, _, suffixes in _streams(batches, known):
             held.setdefault(lang, []).append(suffixes)
             if sum(map(len, held[lang])) > CHUNK:
-                yield cut(lang, held.pop(lang))
+                yield from cut(lang, held.pop(lang))
         for lang, some in held.items():
-            yield cut(lang, some)
+            yield from cut(lang, some)
         release()
 
     return work
@@ -387,9 +395,9 @@ def _subtrees(least: int, budget: int, plan: list[np.ndarray]):
                 partial = np.broadcast_to(np.arange(depth - 1) < split, above.shape).ravel()
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * w), pa.array(x, pa.int64(), mask=m))
                          for x, w, m in ((words.ravel().view(np.int64), depth, None), (above.ravel(), depth - 1, partial))]
-                yield pa.RecordBatch.from_pydict({
+                yield from cut_up(pa.RecordBatch.from_pydict({
                     "lang": pa.array([group.column("lang")[0].as_py()] * len(count), pa.string()), "words": lists[0], "n": count, "above": lists[1],
-                    "whole": pa.array([depth > split] * len(count), pa.bool_())})
+                    "whole": pa.array([depth > split] * len(count), pa.bool_())}), ROWS)
 
     return work
 
@@ -492,4 +500,4 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE
 
 @query("op12_collocation_subtrees", SQL)
 def op12_collocation_subtrees(spark, sf_dir):
-    return collocations(table(spark, sf_dir, "documents"))
+    return collocations(table(configure(spark, PASSED), sf_dir, "documents"))

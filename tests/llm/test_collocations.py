@@ -106,3 +106,14 @@ def test_groups_keep_the_budget(spark):
     parts = tokens.mapInArrow(co._parts(known, plan), "grp long, lang string, suffixes binary, times binary")
     sizes = [r[0] for r in parts.groupBy("grp").agg(F.sum(F.length("suffixes") / 40).alias("n")).select("n").collect()]
     assert len(plan) > 1 and len(sizes) > 3 and max(sizes) <= 2 * budget
+
+
+def test_batches_are_small():
+    assert [b.num_rows for b in co._cells(np.ones(1 << co.GRAM_BITS, np.uint8))] == [32] * 8
+    words = np.random.default_rng(6).integers(1, 2**63, co.STREAM, dtype=np.uint64)
+    tokens = co.pa.RecordBatch.from_pydict({"lang": ["en"] * 4, "own": co.pa.array([co.STREAM] * 4, co.pa.int32()), "stream": [(words + np.uint64(i)).tobytes() for i in range(4)]})
+    known = (b"\xff" * (1 << co.WORD_BITS - 3), *[b"\xff" * (1 << co.GRAM_BITS - 3)] * len(co.GRAMS))
+    made = list(co._parts(known, [np.zeros(1 << co.SLOT_BITS, np.int64)])([tokens]))
+    assert max(b.nbytes for b in made) <= 1 << 20 and sum(len(x) for b in made for x in b.column("times").to_pylist()) == 8 * 4 * co.STREAM
+    counted = list(co._word_counts([tokens]))
+    assert max(b.num_rows for b in counted) <= co.ROWS and sum(b.num_rows for b in counted) == 4 * co.STREAM
