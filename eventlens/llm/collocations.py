@@ -36,8 +36,7 @@ from eventlens.session import materialize
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Suffixes of a group; words of a row of the token table; suffixes or words that a task holds before it counts equal ones.
 BUDGET, STREAM, CHUNK = 1 << 20, 1 << 15, 1 << 18
-#: Bytes of an Arrow batch into Python; rows of numbers of one out of it, and suffixes of a row. The executor's JVM holds batches outside its heap, and
-#: pieces of over 4 MB of that memory don't return to its pool.
+#: Bytes of an Arrow batch into Python; rows of numbers of one out of it, and suffixes of a row. They bound what workers and the JVM hold at once.
 PASSED, ROWS, PIECE = 1 << 20, 1 << 14, 1 << 14
 #: Slots (powers of two) of the prefix histogram of each depth, of the bitmap of frequent words, and of the counters of pairs and triples in how many cells.
 SLOT_BITS, WORD_BITS, GRAM_BITS, CELL_BITS = 16, 24, 23, 8
