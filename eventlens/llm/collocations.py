@@ -5,8 +5,11 @@ the first word, pair or triple of words that is too rare for any phrase, are par
 form a subtree, a prefix with more suffixes than ``BUDGET`` is split by its next word, and prefixes are packed into groups that
 fit the budget. Each group is built by itself in one task: its sorted suffixes are its leaves, runs of equal words at each depth are
 its nodes, and a phrase occurs as often as the leaves below its node in total. The few nodes above a split prefix have leaves in several groups;
-their totals are added up. Equal suffixes of a slice of text are counted before the shuffle, so that a prefix of full depth is one row for
-each slice however frequent it is.
+their totals are added up. A task counts equal suffixes before the shuffle for as long as its distinct ones fit, so that a prefix of full depth
+is one row for each such part however frequent it is.
+
+Words are counted straight from the texts. The token table, which all later passes read, is written after that: a word too rare for any phrase stands
+as the end of a piece does, and a row holds its distinct words once and 32-bit places in them, by count and compressed.
 
 Prefixes are counted and packed by hash slots (``2 ** SLOT_BITS`` for each depth), so what reaches the driver and the tasks has a fixed size: a
 slot stands for all prefixes that fall into it, which are split together. Suffixes are cut by bitmaps: of the slots of frequent words, and of
@@ -14,7 +17,7 @@ the slots where pairs, then triples of what passed before, add up to the least c
 the least count are dropped.
 
 NULL texts count as empty, a NULL language as ``und``; empty texts and tables give no rows, texts of any length are taken whole (in
-rows of ``STREAM`` words that overlap by ``DEPTH - 1``). Repeated rows count each time; ids and other columns are not looked at. Of cuts with the
+rows that overlap by ``DEPTH - 1`` words). Repeated rows count each time; ids and other columns are not looked at. Of cuts with the
 same floored score the smallest counts; phrases with equal score and count are ordered by their UTF-8 bytes. Words are 64-bit hashes until the
 last step.
 """
@@ -36,6 +39,8 @@ from eventlens.session import materialize
 DEPTH, LEAST, TOP = 5, 100, 2000
 #: Suffixes of a group; words of a row of the token table; suffixes or words that a task holds before it counts equal ones.
 BUDGET, STREAM, CHUNK = 1 << 20, 1 << 15, 1 << 18
+#: Words of a row of the packed token table (under twice as many); words or distinct suffixes of all languages that a task holds at once.
+ROW, HELD = 1 << 17, 1 << 19
 #: Bytes of an Arrow batch into Python; rows of numbers of one out of it, and suffixes of a row. They bound what workers and the JVM hold at once.
 PASSED, ROWS, PIECE = 1 << 20, 1 << 14, 1 << 14
 #: Slots (powers of two) of the prefix histogram of each depth, of the bitmap of frequent words, and of the counters of pairs and triples in how many cells.
@@ -49,11 +54,12 @@ IS_GAP = IS_BREAK.copy()
 IS_GAP[[0x20, 0x09]] = True
 
 _TOKENS = "lang string, own int, stream binary"
+_PACKED = "lang string, own int, size int, words binary, places binary"
 _PLACE = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
-def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the token table: the words of a language in order with a 0 between pieces; the last of the next row are repeated."""
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+    """The words of each language in a slice of the texts in order, with a 0 before each piece."""
     for batch in sliced(batches, "text"):
         words = words_of(batch.column("text"), IS_GAP)
         if not len(words.hash):
@@ -66,11 +72,76 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens[words.first[:-1][np.diff(words.first) > 0]] = True
         for i, name in enumerate(names.tolist()):
             mine = np.flatnonzero(lang == i)
-            stream = np.insert(hashes[mine], np.flatnonzero(opens[mine]), 0)
-            for a in range(0, len(stream), STREAM):
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([name], pa.string()), "own": pa.array([min(STREAM, len(stream) - a)], pa.int32()),
-                    "stream": pa.array([stream[a : a + STREAM + DEPTH - 1].tobytes()], pa.binary())})
+            if len(mine):
+                yield name, np.insert(hashes[mine], np.flatnonzero(opens[mine]), 0)
+
+
+def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of all words of a language in order with a 0 between pieces; the last of the next row are repeated."""
+    for lang, stream in _read(batches):
+        for a in range(0, len(stream), STREAM):
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([lang], pa.string()), "own": pa.array([min(STREAM, len(stream) - a)], pa.int32()),
+                "stream": pa.array([stream[a : a + STREAM + DEPTH - 1].tobytes()], pa.binary())})
+
+
+class _Held:
+    """Arrays by language; a language is given back once it has ``most`` entries, the largest once all have ``total``."""
+
+    def __init__(self, most: int, total: int) -> None:
+        self.most, self.total, self.parts, self.size = most, total, {}, {}
+
+    def add(self, lang: str, some: np.ndarray) -> Iterator[tuple[str, list[np.ndarray]]]:
+        self.parts.setdefault(lang, []).append(some)
+        self.size[lang] = self.size.get(lang, 0) + len(some)
+        while self.size and (max(self.size.values()) >= self.most or sum(self.size.values()) >= self.total):
+            largest = max(self.size, key=self.size.get)
+            del self.size[largest]
+            yield largest, self.parts.pop(largest)
+
+    def all(self) -> Iterator[tuple[str, list[np.ndarray]]]:
+        yield from self.parts.items()
+
+
+def _packed(bitmap: bytes):
+    """Rows of the packed token table: as ``_tokens``, but words that are not in the bitmap stand as a 0, and a run of those is one."""
+
+    def packed(lang: str, some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        stream = np.concatenate(some)
+        step = -(-len(stream) // max(1, len(stream) // ROW))
+        for a in range(0, len(stream), step):
+            words, at, n = np.unique(stream[a : a + step + DEPTH - 1], return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            planes = np.ascontiguousarray(place[at].view(np.uint8).reshape(-1, 4).T)  # the upper bytes of most places are 0
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([lang], pa.string()), "own": pa.array([min(step, len(stream) - a)], pa.int32()), "size": pa.array([len(at)], pa.int32()),
+                "words": pa.array([words[order].tobytes()], pa.binary()), "places": pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary())})
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = np.frombuffer(bitmap, np.uint8), _Held(ROW, HELD)
+        for lang, words in _read(batches):
+            words = np.where(_in_bitmap(words, _salt(lang), known), words, np.uint64(0))
+            for full in held.add(lang, words[np.append(True, words[:-1] != 0) | (words != 0)]):
+                yield from packed(*full)
+        for rest in held.all():
+            yield from packed(*rest)
+        release()
+
+    return work
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(lang, own, words) of the rows of a token table, packed or not."""
+    for batch in batches:
+        lang, own = batch.column("lang").to_pylist(), batch.column("own").to_pylist()
+        if "stream" in batch.schema.names:
+            yield from zip(lang, own, (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("stream")), strict=True)
+            continue
+        for name, n, size, words, places in zip(lang, own, batch.column("size").to_pylist(), batch.column("words"), batch.column("places"), strict=True):
+            planes = np.frombuffer(pa.decompress(places.as_buffer(), 4 * size, "zstd"), np.uint8).reshape(4, -1)
+            yield name, n, np.frombuffer(words.as_buffer(), np.uint64)[np.ascontiguousarray(planes.T).view(np.uint32).ravel()]
 
 
 def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,12 +154,11 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(at, weights=np.concatenate([n for _, n in some])).astype(np.int64)
         yield from cut_up(pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": words.view(np.int64), "n": n}), ROWS)
 
-    for batch in batches:
-        for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
-            words = np.frombuffer(stream.as_buffer(), np.uint64)[:own]
-            held.setdefault(lang, []).append(np.unique(words[words != 0], return_counts=True))
-            if sum(len(w) for w, _ in held[lang]) > CHUNK:
-                yield from drained(lang)
+    for lang, own, words in _rows(batches):
+        words = words[:own]
+        held.setdefault(lang, []).append(np.unique(words[words != 0], return_counts=True))
+        if sum(len(w) for w, _ in held[lang]) > CHUNK:
+            yield from drained(lang)
     for lang in list(held):
         yield from drained(lang)
     release()
@@ -162,9 +232,8 @@ def _passing(words: np.ndarray, salt: np.uint64, bitmaps: list[np.ndarray], over
     return passing, np.zeros(0, np.int64)
 
 
-def _suffixes(stream: bytes, own: int, salt: np.uint64, bitmap: np.ndarray, *grams: np.ndarray) -> np.ndarray:
+def _suffixes(words: np.ndarray, own: int, salt: np.uint64, bitmap: np.ndarray, *grams: np.ndarray) -> np.ndarray:
     """Truncated suffixes that start with a frequent word, 0 behind their end."""
-    words = np.frombuffer(stream, np.uint64)
     words = np.where(_in_bitmap(words, salt, bitmap), words, np.uint64(0))
     passing, _ = _passing(words, salt, list(grams))
     padded = np.append(words, np.zeros(DEPTH, np.uint64))
@@ -191,13 +260,12 @@ def _gram_counts(known: tuple[bytes, ...]):
             total[slot] = np.minimum(total[slot] + n, 255)
             held.clear()
 
-        for batch in batches:
-            for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
-                salt, words = _salt(lang), np.frombuffer(stream.as_buffer(), np.uint64)
-                words = np.where(_in_bitmap(words, salt, bitmaps[0]), words, np.uint64(0))
-                held.append(_passing(words, salt, bitmaps[1:], len(words) - own)[1])
-                if sum(map(len, held)) > CHUNK:
-                    add()
+        for lang, own, words in _rows(batches):
+            salt = _salt(lang)
+            words = np.where(_in_bitmap(words, salt, bitmaps[0]), words, np.uint64(0))
+            held.append(_passing(words, salt, bitmaps[1:], len(words) - own)[1])
+            if sum(map(len, held)) > CHUNK:
+                add()
         if held:
             add()
         yield from _cells(total)
@@ -256,10 +324,9 @@ def _counted(suffixes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.
 
 def _streams(batches: Iterable[pa.RecordBatch], known: tuple[bytes, ...]) -> Iterator[tuple[str, np.uint64, np.ndarray]]:
     bitmaps = [np.frombuffer(x, np.uint8) for x in known]
-    for batch in batches:
-        for lang, own, stream in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), batch.column("stream"), strict=True):
-            salt = _salt(lang)
-            yield lang, salt, _suffixes(stream.as_buffer(), own, salt, *bitmaps)
+    for lang, own, words in _rows(batches):
+        salt = _salt(lang)
+        yield lang, salt, _suffixes(words, own, salt, *bitmaps)
 
 
 def _split(suffixes: np.ndarray, salt: np.uint64, plan: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -314,8 +381,7 @@ def vertical_partition(tokens: DataFrame, known: tuple[bytes, ...], budget: int
 def _parts(known: tuple[bytes, ...], plan: list[np.ndarray]):
     """Rows (grp, lang, suffixes, times): distinct suffixes of a part of a task's text that belong to a group."""
 
-    def cut(lang: str, some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows, times = _counted(np.concatenate(some))
+    def cut(lang: str, rows: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
         group, _ = _split(rows, _salt(lang), plan)
         order = np.argsort(group, kind="stable")
         start = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else []
@@ -328,13 +394,25 @@ def _parts(known: tuple[bytes, ...], plan: list[np.ndarray]):
                 "suffixes": pa.array([rows[p].tobytes() for p in now], pa.binary()), "times": pa.array([times[p].tobytes() for p in now], pa.binary())})
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        counted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held = _Held(CHUNK, HELD)
+
+        def count(lang: str, some: list[np.ndarray]) -> None:
+            rows, times = _counted(np.concatenate(some))
+            if lang in counted:
+                rows, times = _counted(np.concatenate([counted[lang][0], rows]), np.concatenate([counted[lang][1], times]))
+            counted[lang] = rows, times
+
         for lang, _, suffixes in _streams(batches, known):
-            held.setdefault(lang, []).append(suffixes)
-            if sum(map(len, held[lang])) > CHUNK:
-                yield from cut(lang, held.pop(lang))
-        for lang, some in held.items():
-            yield from cut(lang, some)
+            for full in held.add(lang, suffixes):
+                count(*full)
+            while sum(len(rows) for rows, _ in counted.values()) > HELD:
+                largest = max(counted, key=lambda x: len(counted[x][0]))
+                yield from cut(largest, *counted.pop(largest))
+        for rest in held.all():
+            count(*rest)
+        for lang, some in counted.items():
+            yield from cut(lang, *some)
         release()
 
     return work
@@ -416,17 +494,16 @@ def _bitmap(frequent: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def word_counts(tokens: DataFrame) -> DataFrame:
+def word_counts(rows: DataFrame, work=_word_counts) -> DataFrame:
     """Rows (lang, word, n)."""
-    return tokens.mapInArrow(_word_counts, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(work, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(tokens: DataFrame, counts: DataFrame, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
+def phrase_counts(tokens: DataFrame, bitmap: bytes, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
     """Rows (lang, words, n, above): all phrases of 1 to ``DEPTH`` words that occur ``least`` times.
 
     ``above`` counts their shorter prefixes, NULL where a prefix was split.
     """
-    bitmap = _bitmap(counts.where(F.col("n") >= least))
     known = frequent_runs(tokens, bitmap, least)
     plan = vertical_partition(tokens, known, budget)
     parts = tokens.mapInArrow(_parts(known, plan), "grp long, lang string, suffixes binary, times binary")
@@ -442,10 +519,11 @@ def phrase_counts(tokens: DataFrame, counts: DataFrame, least: int = LEAST, budg
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, budget: int = BUDGET) -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language."""
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    tokens = materialize(texts.mapInArrow(_tokens, _TOKENS), "tokens")
-    counts = materialize(word_counts(tokens), "words")
+    counts = materialize(word_counts(texts, lambda batches: _word_counts(_tokens(batches))), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    phrases = materialize(phrase_counts(tokens, counts, least, budget), "phrases")
+    bitmap = _bitmap(counts.where(F.col("n") >= least))
+    tokens = materialize(texts.mapInArrow(_packed(bitmap), _PACKED), "tokens")
+    phrases = materialize(phrase_counts(tokens, bitmap, least, budget), "phrases")
     longer = phrases.where(F.size("words") > 1).select("lang", "words", F.col("n").alias("a"), "above", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
     cuts = longer.select(
         "lang", "words", "a", "k", F.element_at("above", F.col("k")).alias("l"), F.expr("slice(words, k + 1, size(words) - k)").alias("rest"))

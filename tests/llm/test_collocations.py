@@ -117,3 +117,56 @@ def test_batches_are_small():
     assert max(b.nbytes for b in made) <= 1 << 20 and sum(len(x) for b in made for x in b.column("times").to_pylist()) == 8 * 4 * co.STREAM
     counted = list(co._word_counts([tokens]))
     assert max(b.num_rows for b in counted) <= co.ROWS and sum(b.num_rows for b in counted) == 4 * co.STREAM
+
+
+def packed_rows(streams, bitmap, lang="en"):
+    def read(_):
+        yield from ((lang, s) for s in streams)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(co, "_read", read)
+        return list(co._packed(bitmap)([]))
+
+
+def test_packed_tokens_leave_out_rare_words():
+    rng = np.random.default_rng(8)
+    often, rare = rng.integers(1, 2**63, 50, dtype=np.uint64), rng.integers(1, 2**63, 200_000, dtype=np.uint64)
+    slots = co._top_bits(co.mix(often + co._salt("en")), co.WORD_BITS)
+    bits = np.zeros(1 << co.WORD_BITS, np.uint8)
+    bits[slots] = 1
+    bitmap = np.packbits(bits, bitorder="little")
+    streams = [np.insert(np.where(rng.random(100_000) < 0.7, rng.choice(often, 100_000), rng.choice(rare, 100_000)), 0, 0).astype(np.uint64) for _ in range(6)]
+    made = packed_rows(streams, bitmap.tobytes())
+    back = list(co._rows(made))
+    assert all(n <= own + co.DEPTH - 1 for own, n in ((own, len(words)) for _, own, words in back)) and max(own for _, own, _ in back) < 2 * co.ROW
+    kept = np.concatenate([words[:own] for _, own, words in back])
+    want = np.concatenate(streams)
+    want = np.where(co._in_bitmap(want, co._salt("en"), bitmap), want, np.uint64(0))
+    assert kept[kept != 0].tolist() == want[want != 0].tolist() and ((kept[1:] == 0) & (kept[:-1] == 0)).sum() < len(streams)
+    # Under 2 bytes a word of the text; as 64-bit words it took 8 before compression.
+    assert sum(b.nbytes for b in made) < 2 * 600_000
+    # The same suffixes as from the words as such.
+    raw = co.pa.RecordBatch.from_pydict({"lang": ["en"] * 6, "own": co.pa.array([len(s) for s in streams], co.pa.int32()), "stream": [s.tobytes() for s in streams]})
+    known = (bitmap.tobytes(), *[b"\xff" * (1 << co.GRAM_BITS - 3)] * len(co.GRAMS))
+    ours, theirs = (co._counted(np.concatenate([s for _, _, s in co._streams(x, known)])) for x in (made, [raw]))
+    assert all((a == b).all() for a, b in zip(ours, theirs, strict=True))
+
+
+def test_languages_held_share_one_limit():
+    held, given = co._Held(100, 150), []
+    for i in range(300):
+        given += held.add(f"l{i % 30}", np.arange(1 + i % 3))
+        assert sum(held.size.values()) < 150 and max(held.size.values(), default=0) < 100
+    given += held.all()
+    assert given and sum(len(x) for _, some in given for x in some) == 600
+
+
+def test_equal_suffixes_are_sent_once_by_a_task():
+    """However many words it reads, as long as its distinct suffixes fit."""
+    words = np.tile(np.arange(1, 1001, dtype=np.uint64), 33)[: co.STREAM]
+    n = 3 * co.CHUNK // co.STREAM
+    tokens = co.pa.RecordBatch.from_pydict({"lang": ["en"] * n, "own": co.pa.array([co.STREAM] * n, co.pa.int32()), "stream": [words.tobytes()] * n})
+    known = (b"\xff" * (1 << co.WORD_BITS - 3), *[b"\xff" * (1 << co.GRAM_BITS - 3)] * len(co.GRAMS))
+    made = list(co._parts(known, [np.zeros(1 << co.SLOT_BITS, np.int64)])(tokens.slice(i, 1) for i in range(n)))
+    times = np.concatenate([np.frombuffer(x, np.int64) for b in made for x in b.column("times").to_pylist()])
+    assert times.sum() == n * co.STREAM and len(times) == 1000 + co.DEPTH - 1
