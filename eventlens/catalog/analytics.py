@@ -83,7 +83,7 @@ DIGITS = {"dist_prev_km": 3, "dist_home_km": 3, "speed_kmh": 2, "event_velocity_
 @query("advanced_features", with_ev("SELECT event_id, " + ", ".join(
     f"round(coalesce({c}, quantile_cont({c}, 0.5) OVER (), 0)::DOUBLE, {DIGITS.get(c, 6)}) AS {c}" for c in ft.FEATURES) + " FROM feat", FEATURES_SQL))
 def advanced_features(spark, sf):
-    matrix = ft.feature_matrix(ft.behaviour_features(load_events(spark, sf)))
+    matrix = ft.feature_matrix(ft.behaviour_features(load_events(spark, sf), keep=()))
     return matrix.select("event_id", *[r(c, DIGITS.get(c, 6)).alias(c) for c in ft.FEATURES])
 
 

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.scales import bucket_epoch, bucket_seconds, haversine_km, sigmoid
 from eventlens.operators.joins import attach_stats, null_safe_join
-from eventlens.operators.quantiles import column_medians, grouped_quantiles, quantile_scalar
-from eventlens.operators.rolling import every_position, ewma_reach, rolling_series
+from eventlens.operators.quantiles import column_medians, grouped_quantiles, largest_group, quantile_scalar
+from eventlens.operators.rolling import every_position, ewma_reach, rolling_series, row_series
 from eventlens.operators.windows import (
     Heavy,
     with_first_seen,
@@ -26,6 +26,8 @@ MAD_SCALE = 1.4826
 EPSILON = 1e-6
 NOVELTY_WINDOW = 30
 VELOCITY_SECONDS = 300
+# Minutes of a user up to which one task walks the whole series.
+SERIES_ROWS = 100_000
 UNKNOWN = "unknown"
 
 
@@ -176,6 +178,18 @@ def add_rolling_novelty(df: DataFrame, heavy: Heavy | None = None, window: int =
     return with_recent_repeat(numbered, "user_id", "__rn", values, window, heavy).drop("__rn")
 
 
+def add_novelty(df: DataFrame, heavy: Heavy) -> DataFrame:
+    """``add_first_seen`` and ``add_rolling_novelty`` for rows that have their number ``__rn``, which is dropped.
+
+    Both flags of a value are read off one order of its rows.
+    """
+    order = ("__rn",) if heavy.values is None else ("ts", "event_id")
+    for name, column in (("device", "device_id"), ("ip", "ip")):
+        df = with_first_seen(df, "user_id", {f"is_new_{name}": F.col(column)}, heavy, order)
+        df = with_recent_repeat(df, "user_id", "__rn", {f"is_new_{name}_rolling": F.col(column)}, NOVELTY_WINDOW, heavy)
+    return df.drop("__rn")
+
+
 def add_global_rarity(df: DataFrame, columns: Mapping[str, str], source: DataFrame | None = None) -> DataFrame:
     """``new name: column``: -ln((rows with the value + 1) / (rows + 1))."""
     source = source or df
@@ -275,12 +289,15 @@ def dense_robust_z(df: DataFrame, value: Column, bucket: str, alpha: float = 0.2
 def failure_spikes(df: DataFrame) -> DataFrame:
     """Robust z of failures per (user, minute with events); the series stays sparse, windows count its rows."""
     per_minute = materialize(bucket_values(df, is_failure(F.col("event_type")), 60).where("bucket IS NOT NULL"), "minutes")
-    ordered = per_minute.withColumn("at", F.timestamp_seconds("bucket"))
-    numbered = with_row_number(ordered, "user_id", "b", order=("at",)).drop("at")
-    numbered = materialize(numbered, "numbered")
-    series = rolling_series(numbered.select("user_id", "b", "x", "rows"), 1440, 30, 0.2)
-    scaled = null_safe_join(series.withColumnRenamed("p", "b").drop("x", "rows"), numbered, ["user_id", "b"])
-    scaled = materialize(scaled.drop("b", "run"), "spike")
+    if largest_group(per_minute, ["user_id"]) <= SERIES_ROWS:
+        scaled = row_series(per_minute, "bucket", 1440, 30, 0.2)
+    else:
+        ordered = per_minute.withColumn("at", F.timestamp_seconds("bucket"))
+        numbered = with_row_number(ordered, "user_id", "b", order=("at",)).drop("at")
+        numbered = materialize(numbered, "numbered")
+        series = rolling_series(numbered.select("user_id", "b", "x", "rows"), 1440, 30, 0.2)
+        scaled = null_safe_join(series.withColumnRenamed("p", "b").drop("x", "rows"), numbered, ["user_id", "b"]).drop("b", "run")
+    scaled = materialize(scaled, "spike")
     return add_robust_z(fill_mad(scaled, positive_mad_median(scaled), 1.0)).withColumnRenamed("z", "z_fail")
 
 
@@ -310,24 +327,32 @@ FEATURES = [
 ]
 
 
-def behaviour_features(df: DataFrame) -> DataFrame:
-    """All features side by side.
+#: Columns that the features are made of.
+NEEDED = ["event_id", "ts", "event_type", "user_id", "device_id", "ip", "geo_lat", "geo_lon"]
+
+
+def behaviour_features(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """All features side by side, with all columns of ``df``, or with those they are made of and ``keep``.
 
-    For users of ordinary size the whole per-user part runs in one shuffle by
-    user. Statistics of other keys read the input, so only the result is written.
+    For users of ordinary size the whole per-user part runs in one shuffle by user. Statistics of other keys are attached before, while
+    rows are narrow. They read the input, so only the result is written; with ``keep`` the narrow input is written, too, as it is read many times.
     """
     base = known(df, "user_id", "device_id", "ip")
+    if keep is not None:
+        base = materialize(base.select(*dict.fromkeys([*NEEDED, *keep])), "events")
     heavy = Heavy(base, "user_id")
 
     def per_user(rows: DataFrame, size: Heavy) -> DataFrame:
         rows = add_travel(add_previous_position(rows, size))
-        rows = add_event_velocity(add_rolling_novelty(add_first_seen(rows, size), size), size)
-        if size.values is not None:
-            rows = materialize(rows, "ordered")  # the salted statistics read it twice
+        rows = add_event_velocity(with_row_number(rows, "user_id", "__rn", size), size)
+        if size.values is None:
+            # What is ordered by time comes first, so that rows are sorted once for all of it.
+            return add_hour_circle(add_hour_rarity(add_novelty(add_home(add_velocity_z(rows, size), size), size), size))
+        rows = materialize(add_novelty(rows, size), "ordered")  # the salted statistics read it twice
         return add_hour_circle(add_hour_rarity(add_velocity_z(add_home(rows, size), size), size))
 
-    out = add_global_rarity(per_user(base, heavy), {"device_rarity_global": "device_id", "ip_rarity_global": "ip"}, base)
-    return materialize(add_failure_spikes(out, base), "features")
+    out = add_global_rarity(base, {"device_rarity_global": "device_id", "ip_rarity_global": "ip"}, base)
+    return materialize(per_user(add_failure_spikes(out, base), heavy), "features")
 
 
 def finite(name: str) -> Column:

@@ -175,8 +175,7 @@ def column_medians(df: DataFrame, names: Sequence[str], zone_rows: int = 1_000_0
         cut = sketched.select(*[F.array(*[F.kll_sketch_get_quantile_double(F.col(n), F.lit(p)) for p in probes[n]]).alias(n) for n in todo]).first()
         zone.update({n: tuple(cut[n]) for n in todo})
     if todo:
-        cells = df.select(F.explode(F.filter(
-            F.array(*[F.struct(F.lit(i).alias("i"), inside(n).alias("x")) for i, n in enumerate(todo)]), lambda c: c["x"].isNotNull())).alias("c"))
+        cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), inside(n).alias("x")) for i, n in enumerate(todo)])).alias("c")).where("c.x IS NOT NULL")
         values = cells.groupBy("c.i", "c.x").agg(F.count(F.lit(1)).alias("w"))
         end = F.sum("w").over(Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
         ranks = [F.array(*[F.lit(r) for n in todo for r in ((state[n][0] - 1) // 2 - state[n][2], state[n][0] // 2 - state[n][2])])]

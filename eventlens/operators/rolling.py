@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from eventlens.operators.joins import null_safe_join
 
@@ -160,6 +161,56 @@ def rolling_series(sparse: DataFrame, window: int, least: int, alpha: float) ->
         _walk(size, window, least, alpha, kind), f"user_id {user_type.simpleString()}, p bigint, x double, rows bigint, mu double, mad_raw double, run bigint")
 
 
+def row_runs(values: Sequence[float], window: int, least: int, alpha: float) -> tuple[list[float], list[float | None]]:
+    """Means and medians of ``runs`` for a whole series without gaps, whose center is its own median."""
+    order, k = sorted(values), len(values)
+    center = 0.5 * order[(k - 1) // 2] + 0.5 * order[k // 2]
+    keep, mean, held = 1 - alpha, 0.0, []
+    means, medians = [], []
+    for i, x in enumerate(values):
+        mean = mean * keep + alpha * x if i else x
+        insort(held, abs(x - center))
+        if i >= window:
+            del held[bisect_left(held, abs(values[i - window] - center))]
+        size = len(held)
+        means.append(mean)
+        medians.append((held[(size - 1) // 2] + held[size // 2]) / 2 if size >= least else None)
+    return means, medians
+
+
+def row_series(sparse: DataFrame, order: str, window: int, least: int, alpha: float) -> DataFrame:
+    """``sparse`` (user_id, x, ...) with ``mu`` and ``mad_raw``, the positions of a series being its rows by ``order``.
+
+    As ``rolling_series`` over row numbers, in one shuffle: a task holds the rows of a user at a time.
+    """
+
+    def walked(rows: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+        x, means, medians = rows.column("x").to_pylist(), [], []
+        for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            found = row_runs(x[a:b], window, least, alpha)
+            means += found[0]
+            medians += found[1]
+        out = rows.append_column("mu", pa.array(means, pa.float64())).append_column("mad_raw", pa.array(medians, pa.float64()))
+        yield from out.combine_chunks().to_batches()
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            users = rows.column("user_id").to_pylist()
+            starts = [0, *[i for i in range(1, len(users)) if users[i] != users[i - 1]]]
+            if starts[-1]:
+                yield from walked(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1]).to_batches()
+        if held:
+            yield from walked(pa.Table.from_batches(held), [0])
+
+    rows = sparse.repartition("user_id").sortWithinPartitions("user_id", order)
+    return rows.mapInArrow(work, StructType([*sparse.schema.fields, StructField("mu", DoubleType()), StructField("mad_raw", DoubleType())]))
+
+
 def every_position(series: DataFrame, alpha: float) -> DataFrame:
     """The runs spelt out: one row for each position, zero where nothing is listed, the mean decaying."""
     offset = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("run") - 1))

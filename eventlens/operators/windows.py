@@ -117,8 +117,10 @@ def with_rolling_count(
     span = seconds * 1_000_000
 
     def counted(rows: DataFrame, *keys: str) -> DataFrame:
-        frame = Window.partitionBy(*keys).orderBy(F.unix_micros(order[0])).rangeBetween(-(span - 1), 0)
-        return rows.withColumn(name, F.count(F.lit(1)).over(frame))
+        # By the time itself, so that rows that come ordered by it need no other sort.
+        by = ", ".join(f"`{k}`" for k in keys)
+        return rows.withColumn(name, F.expr(
+            f"count(1) OVER (PARTITION BY {by} ORDER BY `{order[0]}` RANGE BETWEEN INTERVAL '{(span - 1) / 1e6:.6f}' SECOND PRECEDING AND CURRENT ROW)"))
 
     def chunked(rows: DataFrame) -> DataFrame:
         # Rows near the end of a chunk are copied into the next one as context.
