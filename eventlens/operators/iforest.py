@@ -9,14 +9,14 @@ are scored in Arrow batches. Depths are normed by the rows that a tree has.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double, rows int"
@@ -89,12 +89,51 @@ def train_forest(matrix: DataFrame, columns: list[str], trees: int, sample: int,
     return sample_rows(matrix, trees, sample, seed).groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
+#: A tree as arrays over its nodes: feature, cut, left child (the right one follows), levels, normed depth.
+Flat = tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]
+
+
+def flattened(nodes: pd.DataFrame) -> Flat:
+    """One tree in the order of its node numbers; leaves lead to themselves, so that all rows may take the same number of steps."""
+    feature, left = nodes["feature"].to_numpy(np.intp), nodes["left"].to_numpy(np.intp)
+    leaf, own = feature < 0, np.arange(len(nodes))
+    level = np.zeros(len(nodes), int)
+    for i in own[~leaf]:  # children have higher numbers
+        level[left[i]] = level[left[i] + 1] = level[i] + 1
+    depth = nodes["depth"].to_numpy() / expected_path(int(nodes["rows"].iloc[0]))
+    return np.where(leaf, 0, feature), np.where(leaf, np.inf, nodes["cut"].to_numpy()), np.where(leaf, own, left), int(level.max()), depth
+
+
+def mean_depths(points: np.ndarray, forest: list[Flat]) -> np.ndarray:
+    """Mean over the trees of each row's normed depth, 1 without a tree. NaN goes to the right like a value above all cuts."""
+    n, width = points.shape
+    if not forest or not n:
+        return np.ones(n)
+    values, row = np.where(np.isnan(points), np.inf, points).ravel(), np.arange(n) * width
+    at, step, x, c, right = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n), np.empty(n), np.empty(n, bool)
+    depth = np.zeros(n)
+    for feature, cut, left, levels, leaf_depth in forest:
+        at[:] = 0
+        for _ in range(levels):
+            # With mode "clip" numpy writes into ``out`` at once; no index is out of bounds.
+            np.take(feature, at, out=step, mode="clip")
+            step += row
+            np.take(values, step, out=x, mode="clip")
+            np.take(cut, at, out=c, mode="clip")
+            np.greater(x, c, out=right)
+            np.take(left, at, out=step, mode="clip")
+            np.add(step, right, out=at)
+        np.take(leaf_depth, at, out=x, mode="clip")
+        depth += x
+    return depth / len(forest)
+
+
 def forest_scores(
     df: DataFrame, columns: Mapping[str, Column] | Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42,
 ) -> DataFrame:
     """``df`` with ``raw``: 2 ** -(mean over trees of depth / expected depth), higher is more unusual.
 
-    ``columns`` are the features' names, or names with the Columns to compute them. All columns of ``df`` pass through the scorer.
+    ``columns`` are the features' names, or names with the Columns to compute them.
     Trees of a single row can't tell rows apart and are passed over; without any other tree all rows get 0.5.
     """
     features = columns if isinstance(columns, Mapping) else {n: F.col(n) for n in columns}
@@ -103,34 +142,12 @@ def forest_scores(
     spark = df.sparkSession
     # At most trees x (2 x sample) small rows.
     model = train_forest(matrix, columns, trees, sample, seed).toPandas()
-    packed = []
-    for _, part in model[model["rows"] > 1].sort_values(["tree", "node"]).groupby("tree"):
-        norm = expected_path(int(part["rows"].iloc[0]))
-        packed.append((*(part[c].to_numpy() for c in ("feature", "cut", "left", "right")), part["depth"].to_numpy() / norm))
+    packed = [flattened(part) for _, part in model[model["rows"] > 1].sort_values(["tree", "node"]).groupby("tree")]
     shipped = spark.sparkContext.broadcast(packed)
 
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shipped.value
-        for batch in batches:
-            points = np.column_stack([batch.column(f"__{c}").to_numpy(zero_copy_only=False) for c in columns]) if batch.num_rows else np.zeros((0, len(columns)))
-            rows = np.arange(len(points))
-            depth = np.zeros(len(points))
-            for feature, cut, left, right, leaf_depth in forest:
-                at = np.zeros(len(points), dtype=np.int64)
-                active = rows
-                while len(active):
-                    f = feature[at[active]]
-                    active = active[f >= 0]
-                    if not len(active):
-                        break
-                    node = at[active]
-                    goes_left = points[active, feature[node]] <= cut[node]
-                    at[active] = np.where(goes_left, left[node], right[node])
-                depth += leaf_depth[at]
-            mean = depth / len(forest) if forest else np.ones(len(points))
-            kept = [i for i, n in enumerate(batch.schema.names) if n in names]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(2.0 ** -mean)], names=[*[batch.schema.names[i] for i in kept], "raw"])
-
-    names = set(df.columns)
-    out = StructType([*df.schema.fields, StructField("raw", DoubleType())])
-    return df.select("*", *[c.cast("double").alias(f"__{n}") for n, c in features.items()]).mapInArrow(score, out)
+    def score(*values: pa.Array) -> pa.Array:
+        return pa.array(2.0 ** -mean_depths(np.column_stack([x.to_numpy(zero_copy_only=False) for x in values]), shipped.value))
+
+    # Only the features go to Python. Not to be evaluated again where a plan moves or repeats the column.
+    scorer = F.arrow_udf(score, DoubleType()).asNondeterministic()
+    return df.withColumn("raw", scorer(*[c.cast("double") for c in features.values()]))

@@ -1,12 +1,18 @@
 """What the features and the forest sort, write and send to Python, and that the cheaper ways give what the plain ones give."""
 
+import glob
 import random
 import re
 
+import numpy as np
+import pandas as pd
 from conftest import rows
+from eventlens.operators import anomaly as an
 from eventlens.operators import features as ft
+from eventlens.operators.iforest import flattened, forest_scores, grow, mean_depths
 from eventlens.operators.rolling import rolling_series, row_series
 from eventlens.operators.windows import with_previous, with_rolling_count
+from eventlens.session import scratch_folder
 from pyspark.sql import functions as F
 
 
@@ -46,3 +52,40 @@ def test_features_of_narrow_rows_are_the_same(events):
     assert rows(ft.behaviour_features(events, keep=()), *columns) == rows(ft.behaviour_features(events), *columns)
     kept = ft.behaviour_features(events, keep=("amount",)).columns
     assert "amount" in kept and "legs" not in kept
+
+
+def test_forest_walk_equals_a_plain_one():
+    rng = np.random.default_rng(5)
+    trees = [grow(rng.normal(size=(n, 3)).round(1), np.random.default_rng(t), 6) for t, n in enumerate((60, 60, 2))]
+    forest = [flattened(pd.DataFrame(sorted((*node, n) for node in tree), columns=["node", "feature", "cut", "left", "right", "depth", "rows"]))
+              for tree, n in zip(trees, (60, 60, 2), strict=True)]
+    points = rng.normal(size=(300, 3)).round(1)
+    points[:4, 0] = [np.nan, np.inf, -np.inf, 0.0]
+
+    def depth(tree, point):
+        nodes = {node[0]: node[1:] for node in tree}
+        feature, cut, left, right, leaf_depth = nodes[0]
+        while feature >= 0:
+            feature, cut, left, right, leaf_depth = nodes[left if point[feature] <= cut else right]
+        return leaf_depth
+
+    norms = [forest[i][4] for i in range(3)]
+    want = [np.mean([depth(tree, p) * norm[-1] / sorted(tree)[-1][5] for tree, norm in zip(trees, norms, strict=True)]) for p in points]
+    assert np.allclose(mean_depths(points, forest), want, rtol=1e-12)
+    assert mean_depths(points[:0], forest).shape == (0,) and (mean_depths(points, []) == 1).all()
+
+
+def test_forest_sends_features_only_to_python(spark, events):
+    out = forest_scores(events.select("event_id", "meta", F.col("geo_lat").alias("a"), F.map_from_arrays(F.array("event_id"), F.array("ip")).alias("m")).na.drop(subset=["a"]), ["a"], trees=5)
+    assert "MapInArrow" not in plan(out) and re.search(r"ArrowEvalPython", plan(out))
+    assert out.columns == ["event_id", "meta", "a", "m", "raw"] and out.where("raw > 0 AND meta IS NOT NULL").count() == out.count()
+
+
+def test_advanced_anomalies_write_narrow_rows(spark, events):
+    folder = scratch_folder(spark).removeprefix("file://").removeprefix("file:")
+    before = set(glob.glob(f"{folder}/forest-*"))
+    narrow = an.advanced_anomalies(events, trees=10, keep=())
+    (path,) = set(glob.glob(f"{folder}/forest-*")) - before
+    assert "legs" not in spark.read.parquet(path).columns
+    columns = ("event_id", "anom_score", "anomaly", "explain")
+    assert rows(narrow, *columns) == rows(an.advanced_anomalies(events, trees=10), *columns)
