@@ -114,7 +114,7 @@ def anomaly_advanced(spark, sf):
 SELECT count(*) AS events, count(DISTINCT event_id) AS distinct_events, 0::BIGINT AS outside, true AS reaches_both_ends, true AS flags_few, true AS flags_some,
   true AS flags_are_highest, count(DISTINCT user_id) AS users FROM ev"""))
 def forest_check(spark, sf):
-    out = an.advanced_anomalies(load_events(spark, sf), contamination=0.05, keep=())
+    out = an.advanced_anomalies(load_events(spark, sf), contamination=0.05, keep=("user_id",))
     rows = F.count(F.lit(1))
     return out.agg(
         rows.alias("events"), F.countDistinct("event_id").alias("distinct_events"), F.count_if(~F.col("anom_score").between(0, 1)).alias("outside"),

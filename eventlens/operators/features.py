@@ -332,7 +332,8 @@ NEEDED = ["event_id", "ts", "event_type", "user_id", "device_id", "ip", "geo_lat
 
 
 def behaviour_features(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
-    """All features side by side, with all columns of ``df``, or with those they are made of and ``keep``.
+    """All features side by side, with all columns of ``df`` and what the features are made of; given ``keep``, only event_id, what
+    scores and reasons read, and these columns of ``df``.
 
     For users of ordinary size the whole per-user part runs in one shuffle by user. Statistics of other keys are attached before, while
     rows are narrow. They read the input, so only the result is written; with ``keep`` the narrow input is written, too, as it is read many times.
@@ -352,7 +353,10 @@ def behaviour_features(df: DataFrame, keep: Sequence[str] | None = None) -> Data
         return add_hour_circle(add_hour_rarity(add_velocity_z(add_home(rows, size), size), size))
 
     out = add_global_rarity(base, {"device_rarity_global": "device_id", "ip_rarity_global": "ip"}, base)
-    return materialize(per_user(add_failure_spikes(out, base), heavy), "features")
+    out = per_user(add_failure_spikes(out, base), heavy)
+    if keep is not None:
+        out = out.select(*dict.fromkeys(["event_id", *FEATURES, "event_velocity_mean", "event_velocity_std", *keep]))
+    return materialize(out, "features")
 
 
 def finite(name: str) -> Column:
