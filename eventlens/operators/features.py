@@ -111,7 +111,9 @@ def add_hour_rarity(df: DataFrame, heavy: Heavy | None = None) -> DataFrame:
     heavy = heavy or Heavy(df, "user_id")
 
     def plain(rows: DataFrame) -> DataFrame:
-        mine, at_hour = Window.partitionBy("user_id"), Window.partitionBy("user_id", "hour")
+        mine = Window.partitionBy("user_id")
+        # Over the whole hour; ordered, so that rows come out in the order of time.
+        at_hour = Window.partitionBy("user_id", "hour").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = rows.withColumn("hour_prob", F.count(F.lit(1)).over(at_hour) / F.count(F.lit(1)).over(mine))
         return rows.withColumn("hour_rarity", rarity(F.col("hour_prob")))
 
