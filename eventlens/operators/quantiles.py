@@ -154,6 +154,7 @@ def column_medians(df: DataFrame, names: Sequence[str], zone_rows: int = 1_000_0
         return F.when(c.between(*[F.lit(v) for v in zone[name]]), c) if name in zone else c
 
     todo, found = list(names), dict.fromkeys(names)
+    held: dict[str, int] = {}
     while todo:
         row = df.agg(*[a for n in todo for a in (
             F.count(n).alias(f"n_{n}"), F.count(inside(n)).alias(f"in_{n}"),
@@ -168,12 +169,15 @@ def column_medians(df: DataFrame, names: Sequence[str], zone_rows: int = 1_000_0
         for n in [n for n in todo if n in zone and zone[n][0] == zone[n][1]]:
             found[n] = zone[n][0]
             todo.remove(n)
-        if not todo or max(state[n][1] for n in todo) <= zone_rows:
+        # A zone that keeps over half of its rows is made of equal values at its ends, which the cells count as one: no sketch narrows it.
+        narrow = [n for n in todo if n not in zone or 2 * state[n][1] <= held[n]]
+        if not narrow or max(state[n][1] for n in narrow) <= zone_rows:
             break
-        sketched = df.agg(*[F.kll_sketch_agg_double(inside(n), KLL_SIZE).alias(n) for n in todo])
-        probes = {n: [min(max(((state[n][0] - 1) / 2 - state[n][2]) / state[n][1] + d, 0.0), 1.0) for d in (-width, width)] for n in todo}
-        cut = sketched.select(*[F.array(*[F.kll_sketch_get_quantile_double(F.col(n), F.lit(p)) for p in probes[n]]).alias(n) for n in todo]).first()
-        zone.update({n: tuple(cut[n]) for n in todo})
+        held.update({n: state[n][1] for n in narrow})
+        sketched = df.agg(*[F.kll_sketch_agg_double(inside(n), KLL_SIZE).alias(n) for n in narrow])
+        probes = {n: [min(max(((state[n][0] - 1) / 2 - state[n][2]) / state[n][1] + d, 0.0), 1.0) for d in (-width, width)] for n in narrow}
+        cut = sketched.select(*[F.array(*[F.kll_sketch_get_quantile_double(F.col(n), F.lit(p)) for p in probes[n]]).alias(n) for n in narrow]).first()
+        zone.update({n: tuple(cut[n]) for n in narrow})
     if todo:
         cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), inside(n).alias("x")) for i, n in enumerate(todo)])).alias("c")).where("c.x IS NOT NULL")
         values = cells.groupBy("c.i", "c.x").agg(F.count(F.lit(1)).alias("w"))

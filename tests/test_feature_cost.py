@@ -10,6 +10,7 @@ from conftest import rows
 from eventlens.operators import anomaly as an
 from eventlens.operators import features as ft
 from eventlens.operators.iforest import flattened, forest_scores, grow, mean_depths
+from eventlens.operators.quantiles import column_medians
 from eventlens.operators.rolling import rolling_series, row_series
 from eventlens.operators.windows import with_previous, with_rolling_count
 from eventlens.session import scratch_folder
@@ -89,3 +90,9 @@ def test_advanced_anomalies_write_narrow_rows(spark, events):
     assert "legs" not in spark.read.parquet(path).columns
     columns = ("event_id", "anom_score", "anomaly", "explain")
     assert rows(narrow, *columns) == rows(an.advanced_anomalies(events, trees=10), *columns)
+
+
+def test_medians_between_two_large_ties_end(spark):
+    """No zone around the middle has fewer rows than both ties together."""
+    df = spark.createDataFrame([(float(i % 2), float(i % 7 > 3), float(i)) for i in range(400)], "a double, b double, c double")
+    assert column_medians(df, ["a", "b", "c"], zone_rows=10) == {"a": 0.5, "b": 0.0, "c": 199.5}
